@@ -5,17 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import parity_join
-from tessera.llm.common import table
+from tessera.llm import bradley_terry, ftrl, parity_join
+from tessera.llm.common import crc_part, table
+
+
+def _judged(scored: DataFrame, held_out, cut: float) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def op2_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranking = bradley_terry.train(docs, table(spark, sf_dir, "labels"), crc_part("doc_id", 4) != 2, max_rows=20_000)
+    return _judged(bradley_terry.score(docs, ranking), crc_part("doc_id", 4) == 2, bradley_terry.CUT)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op8_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = ftrl.train(docs, table(spark, sf_dir, "labels"), crc_part("doc_id", 5) != 0, max_rows=20_000)
+    return _judged(ftrl.score(docs, weights), crc_part("doc_id", 5) == 0, 0.5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op2_quality_bradley_terry, op6_ngram_jaccard_join, op8_toxicity_ftrl)}
 
 
 def oracle_sql() -> dict[str, str]:
