@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts handled at a time inside a task, by number and by characters.
-SLICE_ROWS, SLICE_CHARS = 2_000, 4_000_000
-_MEMO_WORDS = 400_000
+SLICE_ROWS, SLICE_CHARS = 1_000, 2_000_000
+_MEMO_WORDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

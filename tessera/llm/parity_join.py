@@ -5,15 +5,21 @@ one bit; a set's sketch is the XOR of its bits. The XOR of two sketches is the
 sketch of the symmetric difference, so the Hamming distance of the sketches
 never exceeds the size of the symmetric difference. For sets of sizes a and b
 with Jaccard similarity of num/den or more, that size is at most
-d = (a + b) * (den - num) / (den + num). A sketch of d + 1 words of 64 bits
-therefore agrees in one whole word at least (pigeonhole). Sizes are cut into
-bands, each with the d of its largest pair; a document also joins the next
-band if it is large enough to have partners there. Rows meet on (band, place,
-word) and candidates are verified on the sets themselves.
-
-Equal sets are one node from the start. Within a bucket only links to its
-smallest node are tried first; pairs still in different components are tried
-after that, so no link between different sets is lost, and copies or chains of
+d = (a + b) * (den - num) / (den + num).
+
+Pigeonhole: a sketch is cut into d + 1 + s parts, of which s + 1 agree at least.
+A part with few bits set says little and agrees by chance, so a set leaves such
+parts out if it has at most s of them: of the s + 1 parts that agree one at
+least is then another one, and what agrees is poor on both sides or on neither.
+(A set with more poor parts sends them all, so nothing is lost.) Sizes are cut
+into bands, each with the d of its largest pair; a set also joins the next band
+if it is large enough to have partners there. Parts have 2**20 bits, of which
+only those set are held, and rows meet on a hash of (band, place, part).
+
+Equal sets are one node from the start. Within a bucket the links to its first
+and last node are tried first. Pairs of a bucket that are still in different
+components are compared after that: those whose 1024-bit sketches allow it are
+verified on the sets. So no link between different sets is lost, and copies or
 near copies are never expanded into all pairs.
 
 Defined results: null and empty texts and those without words have an empty
@@ -25,7 +31,10 @@ empty table.
 
 from __future__ import annotations
 
+import math
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +66,9 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+_LONGS = 16  # of the sketch that a pair is compared by before it is verified
+
+
 def bands(largest: int, num: int, den: int) -> list[int]:
     """Lower ends of the size bands up to one that lies above ``largest``; wider than the largest size ratio of a pair."""
     ends, ratio = [1], 0.9 * num / den
@@ -65,20 +77,49 @@ def bands(largest: int, num: int, den: int) -> list[int]:
     return [*ends, max(ends[-1] + 1, int(np.ceil(ends[-1] / ratio)))]
 
 
+def plan(low: int, high: int, num: int, den: int) -> tuple[int, int, int]:
+    """For a band of sizes from low to under high: number of parts, spare parts s, and the most bits of a poor part.
+
+    Poor parts are those with up to so many bits that, at the band's least size,
+    half of s of them are expected.
+    """
+    d = 2 * (high - 1) * (den - num) // (den + num)
+    spare = (d + 1) // 4
+    places = d + 1 + spare
+    mean, poor, chance = low / places, -1, 0.0
+    while (chance := chance + np.exp(-mean + (poor + 1) * np.log(mean)) / float(math.factorial(poor + 1))) <= 0.5 * spare / places:
+        poor += 1
+    return places, spare, poor
+
+
 def sketch_keys(values: np.ndarray, num: int, den: int, ends: list[int]) -> np.ndarray:
-    """The join keys of one set: a 64-bit mix of (band, place, sketch word)."""
+    """The join keys of one set: a 64-bit hash of (band, place, part of the sketch)."""
     n, out = len(values), []
     k = int(np.searchsorted(ends, n, "right")) - 1
     for band in (k, k + 1) if den * n >= num * ends[k + 1] else (k,):
-        places = 2 * (ends[band + 1] - 1) * (den - num) // (den + num) + 1
+        # The next band's least size is for its own sets; one from below has fewer bits a part, and then may send all.
+        places, spare, poor = plan(ends[band], ends[band + 1], num, den)
         spread = mix(values + np.uint64(band))
-        at = (spread >> np.uint64(6)) % np.uint64(places) * np.uint64(64) + (spread & np.uint64(63))
-        parity = np.bincount(at.astype(np.int64), minlength=places * 64) & 1
-        word = np.packbits(parity.astype(np.uint8)).view(np.uint64)
-        out.append(mix(mix(word) + np.arange(places, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band << 40)))
+        at, times = np.unique((spread >> np.uint64(24)) % np.uint64(places) << np.uint64(20) | (spread & np.uint64(0xFFFFF)), return_counts=True)
+        at = at[times & 1 == 1]
+        place = (at >> np.uint64(20)).astype(np.int64)
+        bits = np.bincount(place, minlength=places)
+        part = np.zeros(places, np.uint64)
+        if len(at):
+            first = np.flatnonzero(np.diff(place, prepend=-1))
+            part[place[first]] = np.bitwise_xor.reduceat(mix(at), first)
+        key = mix(mix(part) + np.arange(places, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band << 40))
+        rich = bits > poor
+        out.append(key[rich] if places - np.count_nonzero(rich) <= spare else key)
     return np.concatenate(out)
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """The parity sketch of a whole set, as 64-bit integers."""
+    bits = np.bincount((mix(values ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(64 * _LONGS)).astype(np.int64), minlength=64 * _LONGS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _node(values: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(values.tobytes()))))
 
@@ -104,7 +145,13 @@ def _emit_nodes(ids, sets, _):
 def _emit_sets(ids, sets, _):
     for at in range(0, len(ids), 200):
         some = sets[at : at + 200]
-        yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in some], pa.int64()), pa.array([s.tobytes() for s in some], pa.binary())], ["node", "members"])
+        wide = np.array([sketch(s) for s in some]).reshape(-1, _LONGS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([_node(s) for s in some], pa.int64()), pa.array([s.tobytes() for s in some], pa.binary()), *(pa.array(wide[:, k]) for k in range(_LONGS))], ["node", "members", *_SKETCH]
+        )
+
+
+_SKETCH = tuple(f"s{k}" for k in range(_LONGS))
 
 
 def _emit_keys(num: int, den: int):
@@ -126,8 +173,10 @@ def _emit_keys(num: int, den: int):
     return emit
 
 
-def _alike(a: str, b: str, num: int, den: int):
-    return (F.least(a, b) * den >= F.greatest(a, b) * num)
+def _close(num: int, den: int):
+    """Whether the sketches p.* and q.* allow the similarity for sizes p.n and q.n."""
+    apart = reduce(operator.add, (F.bit_count(F.col(f"p.{c}").bitwiseXOR(F.col(f"q.{c}"))) for c in _SKETCH))
+    return apart * (den + num) <= (F.col("p.n") + F.col("q.n")) * (den - num)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -168,21 +217,26 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     nodes = materialize(_sets(source, width, _emit_nodes, "doc_id long, node long, n long"))
     rows = _sets(source, width, _emit_keys(num, den), "key long, node long, n int")
     w = Window.partitionBy("key")
-    met = rows.withColumns({"rep": F.min(F.struct("node", "n")).over(w), "last": F.max("node").over(w)}).filter(F.col("rep.node") != F.col("last"))
-    met = materialize(met.select("key", "node", "n", F.col("rep.node").alias("rep"), F.col("rep.n").alias("rep_n")).distinct())
+    met = rows.withColumns({"first": F.min("node").over(w), "last": F.max("node").over(w)}).filter(F.col("first") != F.col("last"))
+    met = materialize(met.distinct())
     holders = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     holders = holders.join(met.select("node").distinct(), "node", "left_semi").select("doc_id")
-    sets = materialize(_sets(source.join(holders, "doc_id", "left_semi"), width, _emit_sets, "node long, members binary").dropDuplicates(["node"]))
-    stars = materialize(met.filter("node <> rep").filter(_alike("n", "rep_n", num, den)).select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())
+    made = _sets(source.join(holders, "doc_id", "left_semi"), width, _emit_sets, "node long, members binary, " + ", ".join(f"{c} long" for c in _SKETCH))
+    sets = materialize(made.dropDuplicates(["node"]))
+    sketches = sets.select("node", (F.octet_length("members") / 8).cast("long").alias("n"), *_SKETCH)
+
+    stars = met.select(F.col("first").alias("a"), F.col("node").alias("b")).union(met.select(F.col("last").alias("a"), F.col("node").alias("b")))
+    stars = stars.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    stars = materialize(stars.join(sketches.alias("p"), F.col("a") == F.col("p.node")).join(sketches.alias("q"), F.col("b") == F.col("q.node")).filter(_close(num, den)).select("a", "b"))
     edges = materialize(_verified(stars, sets, num, den))
     labels = components(edges)
-    left = met.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-    left = left.withColumns({"low": F.min("c").over(w), "high": F.max("c").over(w)}).filter("low <> high").select("key", "node", "n", "c")
-    left = materialize(left)
-    p, q = left.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), left.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = p.join(q, "key").filter("ca <> cb and a < b").filter(_alike("na", "nb", num, den)).select("a", "b").distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = materialize(_verified(rest.join(tried, ["a", "b"], "left_anti"), sets, num, den))
+
+    left = met.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    left = left.withColumns({"low": F.min("c").over(w), "high": F.max("c").over(w)}).filter("low <> high").select("key", "node", "c")
+    left = materialize(left.join(sketches, "node"))
+    apart = (F.col("p.key") == F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & (F.col("p.node") < F.col("q.node")) & _close(num, den)
+    rest = left.alias("p").join(left.alias("q"), apart).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+    late = materialize(_verified(rest.join(stars, ["a", "b"], "left_anti"), sets, num, den))
     edges = edges.union(late)
     if not late.isEmpty():
         labels = components(edges)
