@@ -86,12 +86,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, epochs: int = 3,
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = 20, max_rows: int = 20_000) -> Weights:
     """Fits on at most ``max_rows`` rows of ``labels`` for which ``usable`` (over id_col) holds.
 
-    The features are made where the texts are; one task reads those of the
+    The sample, of at most max_rows ids, is broadcast; its features are made where the texts are; one task reads those of the
     bounded sample, and a vector of at most 2**bits weights returns.
     """
     chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1)).withColumn(id_col, F.col("doc_id")).filter(usable)
     chosen = chosen.withColumn("turn", F.xxhash64("doc_id")).select("doc_id", "label", "turn").orderBy("turn", "doc_id", "label").limit(max_rows)
-    sample = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "doc_id")
+    sample = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
