@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bradley_terry, ftrl, parity_join
+from tessera.llm import bradley_terry, byte_bpe, ftrl, parity_join
 from tessera.llm.common import crc_part, table
 
 
@@ -21,6 +22,13 @@ def op2_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(bradley_terry.score(docs, ranking), crc_part("doc_id", 4) == 2, bradley_terry.CUT)
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).select("doc_id", "ids")
+    back = byte_bpe.decode(coded, path, pattern)
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
@@ -32,7 +40,7 @@ def op8_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_bradley_terry, op6_ngram_jaccard_join, op8_toxicity_ftrl)}
+    return {f.__name__: f for f in (op2_quality_bradley_terry, op3_byte_bpe, op6_ngram_jaccard_join, op8_toxicity_ftrl)}
 
 
 def oracle_sql() -> dict[str, str]:
