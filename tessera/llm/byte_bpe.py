@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import slices
+from tessera.llm.common import slices, with_field
 
 LONG = 96
 _REMEMBERED = 400_000
@@ -161,7 +161,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def _over(df: DataFrame, column: str, made: str, kind: str, run) -> DataFrame:
-    schema = df.drop(made).schema.add(made, kind)
+    schema = with_field(df, made, kind)
     names = [f.name for f in schema][:-1]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Texts handled at a time inside a task, by number and by characters.
 SLICE_ROWS, SLICE_CHARS = 1_000, 2_000_000
@@ -80,6 +81,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def with_field(df: DataFrame, name: str, kind: str) -> T.StructType:
+    """The schema of ``df`` with a last field of that name, which takes the place of any other of that name; kind is DDL."""
+    return T.StructType([*df.drop(name).schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
+
+
 def crc_part(id_col: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

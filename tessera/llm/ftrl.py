@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, mix, slices
+from tessera.llm.common import WordHashes, mix, slices, with_field
 
 _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACES = bytes(c if c >= 128 or chr(c).isalnum() or c == 39 else 32 for c in range(256))
@@ -123,7 +123,7 @@ def score(docs: DataFrame, weights: Weights, text_col: str = "text", score_col:
     """Adds ``score_col`` (0 to 1) to every row, from its whole text alone; takes the place of a column of that name."""
     model = docs.sparkSession.sparkContext.broadcast((weights.index, weights.value))
     bits, bias = weights.bits, weights.bias
-    schema = docs.drop(score_col).schema.add(score_col, "double")
+    schema = with_field(docs, score_col, "double")
     names = [f.name for f in schema][:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bradley_terry, byte_bpe, ftrl, parity_join
+from tessera.llm import bradley_terry, byte_bpe, ftrl, gif, parity_join, secrets
 from tessera.llm.common import crc_part, table
 
 
@@ -39,8 +39,41 @@ def op8_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(ftrl.score(docs, weights), crc_part("doc_id", 5) == 0, 0.5)
 
 
+def op9_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    shown = gif.frames(gif.store(docs).select("doc_id", "n_bytes", "media"))
+    back = shown.withColumn("payload", F.aggregate("frames.samples", F.lit(b""), lambda a, x: F.concat(a, x)))
+    colours = F.aggregate("frames.histogram", F.array_repeat(F.lit(0), 24), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    feature = F.concat_ws(";", F.size("frames").cast("string"), F.aggregate("frames.delay_ms", F.lit(0), lambda a, x: a + x).cast("string"), F.array_join(colours.cast("array<string>"), ","))
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
+def op10_secrets_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs)).select("doc_id", "secrets")
+    line = lambda some: F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(line(F.filter("secrets", lambda s: s["kind"] != "markov")).cast("binary"), 256).alias("base_sha256"),
+        line(F.col("secrets")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_bradley_terry, op3_byte_bpe, op6_ngram_jaccard_join, op8_toxicity_ftrl)}
+    return {f.__name__: f for f in (op2_quality_bradley_terry, op3_byte_bpe, op6_ngram_jaccard_join, op8_toxicity_ftrl, op9_media_gif, op10_secrets_markov)}
 
 
 def oracle_sql() -> dict[str, str]:
