@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bradley_terry, byte_bpe, ftrl, gif, parity_join, secrets
+from tessera.llm import best_fit, bradley_terry, byte_bpe, ftrl, gif, parity_join, secrets, surrogates
 from tessera.llm.common import crc_part, table
 
 
@@ -16,6 +16,15 @@ def _judged(scored: DataFrame, held_out, cut: float) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
+#: The key of the surrogates in the registered query; a deployment passes its own.
+DEMO_KEY = b"tessera-demonstration-key"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = surrogates.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+    return done.select("doc_id", "text", "n_entities")
+
+
 def op2_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranking = bradley_terry.train(docs, table(spark, sf_dir, "labels"), crc_part("doc_id", 4) != 2, max_rows=20_000)
@@ -33,6 +42,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = ftrl.train(docs, table(spark, sf_dir, "labels"), crc_part("doc_id", 5) != 0, max_rows=20_000)
@@ -73,7 +86,7 @@ def op10_secrets_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_bradley_terry, op3_byte_bpe, op6_ngram_jaccard_join, op8_toxicity_ftrl, op9_media_gif, op10_secrets_markov)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_quality_bradley_terry, op3_byte_bpe, op6_ngram_jaccard_join, op7_best_fit_packing, op8_toxicity_ftrl, op9_media_gif, op10_secrets_markov)}
 
 
 def oracle_sql() -> dict[str, str]:
