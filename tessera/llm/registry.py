@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import best_fit, bradley_terry, byte_bpe, ftrl, gif, parity_join, secrets, surrogates
+from tessera.llm import best_fit, bradley_terry, byte_bpe, ftrl, gif, graph_ann, parity_join, secrets, surrogates
 from tessera.llm.common import crc_part, table
 
 
@@ -38,6 +38,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph_ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
@@ -86,7 +91,7 @@ def op10_secrets_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_surrogates, op2_quality_bradley_terry, op3_byte_bpe, op6_ngram_jaccard_join, op7_best_fit_packing, op8_toxicity_ftrl, op9_media_gif, op10_secrets_markov)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_quality_bradley_terry, op3_byte_bpe, op4_graph_ann, op6_ngram_jaccard_join, op7_best_fit_packing, op8_toxicity_ftrl, op9_media_gif, op10_secrets_markov)}
 
 
 def oracle_sql() -> dict[str, str]:
