@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import best_fit, bradley_terry, byte_bpe, ftrl, gif, graph_ann, parity_join, secrets, surrogates
+from tessera.llm import best_fit, bradley_terry, byte_bpe, ftrl, gif, graph_ann, parity_join, secrets, surrogates, wrapper
 from tessera.llm.common import crc_part, table
 
 
@@ -43,6 +43,10 @@ def op4_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op5_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
@@ -91,7 +95,7 @@ def op10_secrets_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_surrogates, op2_quality_bradley_terry, op3_byte_bpe, op4_graph_ann, op6_ngram_jaccard_join, op7_best_fit_packing, op8_toxicity_ftrl, op9_media_gif, op10_secrets_markov)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_quality_bradley_terry, op3_byte_bpe, op4_graph_ann, op5_html_wrapper, op6_ngram_jaccard_join, op7_best_fit_packing, op8_toxicity_ftrl, op9_media_gif, op10_secrets_markov)}
 
 
 def oracle_sql() -> dict[str, str]:
