@@ -1 +1 @@
-
+"""DataFrames from DataFrames."""

@@ -1 +1 @@
-
+"""The registered queries with their SQL."""

@@ -1 +1 @@
-
+"""Structured Streaming over episodes."""
