@@ -82,7 +82,7 @@ def _unit(c: Column) -> Column:
 
 def semantic_quality(score: Column, rank: Column, p: Policy) -> Column:
     """The mean of the clipped score and the rank's step; 0.5 with neither."""
-    by_score = _unit((score - p.semantic_low) / max(1e-6, p.semantic_high - p.semantic_low))
+    by_score = F.when(score.isNotNull(), _unit((score - p.semantic_low) / max(1e-6, p.semantic_high - p.semantic_low)))
     by_rank = F.when(rank <= 1, 1.0).when(rank <= 3, 0.85).when(rank <= 5, 0.70).when(rank <= 10, 0.45).when(rank.isNotNull(), 0.20)
     both = F.array_compact(F.array(by_score, by_rank))
     return F.when(F.size(both) > 0, F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / F.size(both)).otherwise(0.5)

@@ -52,7 +52,11 @@ def counts(df: DataFrame, dimensions: dict[str, Column | str]) -> DataFrame:
 
 def array_histogram(df: DataFrame, arrays: Sequence[str]) -> DataFrame:
     """source, value, count of the elements of several array columns."""
-    pairs = F.concat(*(F.transform(F.coalesce(col(a).cast("array<string>"), F.array().cast("array<string>")), lambda v, a=a: F.struct(F.lit(a).alias("source"), v.alias("value"))) for a in arrays))
+
+    def named(a: str) -> Column:
+        return F.transform(F.coalesce(col(a).cast("array<string>"), F.array().cast("array<string>")), lambda v: F.struct(F.lit(a).alias("source"), v.alias("value")))
+
+    pairs = F.concat(*map(named, arrays))
     return df.select(F.explode(pairs).alias("p")).groupBy("p.source", "p.value").agg(F.count("*").alias("count"))
 
 
