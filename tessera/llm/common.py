@@ -19,7 +19,13 @@ SLICE_ROWS, SLICE_CHARS = 1_000, 2_000_000
 _MEMO_WORDS = 200_000
 
 
+#: Rows that Spark hands to Python at a time; whole texts are long, and its default of 10,000 would hold some 100 MB a task.
+BATCH_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the registered queries; their texts go to Python in batches of BATCH_ROWS."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
