@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,23 +22,27 @@ SLICE_ROWS, SLICE_CHARS = 1_000, 2_000_000
 _MEMO_WORDS = 200_000
 
 
-#: Rows that Spark hands to Python at a time; whole texts are long, and its default of 10,000 would hold some 100 MB a task.
-BATCH_ROWS = 1_000
+#: Rows and bytes that Spark hands to Python at a time; whole texts are long, and its defaults of 10,000 rows and 64 MB hold a few hundred MB a task.
+BATCH_ROWS, BATCH_BYTES = 1_000, "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the registered queries; their texts go to Python in batches of BATCH_ROWS."""
+    """A table of the registered queries; their texts go to Python in batches of BATCH_ROWS and BATCH_BYTES."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="tessera-")
+    atexit.register(shutil.rmtree, path, True)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a local one only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"{tempfile.gettempdir()}/tessera-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; only where that is unset, as in tests on one machine, a folder of this process."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -67,6 +67,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 _LONGS = 16  # of the sketch that a pair is compared by before it is verified
+_WIDE_FROM = 1_500  # shingles, from which a set also has a wider sketch
 
 
 def bands(largest: int, num: int, den: int) -> list[int]:
@@ -116,8 +117,28 @@ def sketch_keys(values: np.ndarray, num: int, den: int, ends: list[int]) -> np.n
 
 def sketch(values: np.ndarray) -> np.ndarray:
     """The parity sketch of a whole set, as 64-bit integers."""
-    bits = np.bincount((mix(values ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(64 * _LONGS)).astype(np.int64), minlength=64 * _LONGS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    return _parity(values, 64 * _LONGS).view(np.int64)
+
+
+def _parity(values: np.ndarray, bits: int) -> np.ndarray:
+    set_bits = np.bincount((mix(values ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(set_bits.astype(np.uint8), bitorder="little")
+
+
+def wide_sketch(values: np.ndarray, num: int, den: int) -> bytes | None:
+    """For large sets a sketch of four bits and more for each allowed difference; its size is a power of two, so that halves fold into a smaller one."""
+    if len(values) < _WIDE_FROM:
+        return None
+    return _parity(values, 1 << (8 * len(values) * (den - num) // (den + num)).bit_length()).tobytes()
+
+
+def _wide_gap(x: bytes, y: bytes) -> int:
+    """Hamming distance of two wide sketches, the larger one folded to the size of the other."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(p) != len(q):
+        small, large = (p, q) if len(p) < len(q) else (q, p)
+        p, q = small, large[: len(large) // 2] ^ large[len(large) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
 
 
 def _node(values: np.ndarray) -> int:
@@ -136,22 +157,31 @@ def _sets(docs: DataFrame, width: int, emit, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _emit_nodes(ids, sets, _):
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "node", "n"]
-    )
+_SKETCH = tuple(f"s{k}" for k in range(_LONGS))
+_NODES = "doc_id long, node long, n long, wide binary, " + ", ".join(f"{c} long" for c in _SKETCH)
 
 
-def _emit_sets(ids, sets, _):
-    for at in range(0, len(ids), 200):
-        some = sets[at : at + 200]
-        wide = np.array([sketch(s) for s in some]).reshape(-1, _LONGS)
+def _emit_nodes(num: int, den: int):
+    def emit(ids, sets, _):
+        narrow = np.array([sketch(s) for s in sets]).reshape(-1, _LONGS)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([_node(s) for s in some], pa.int64()), pa.array([s.tobytes() for s in some], pa.binary()), *(pa.array(wide[:, k]) for k in range(_LONGS))], ["node", "members", *_SKETCH]
+            [
+                pa.array(ids, pa.int64()),
+                pa.array([_node(s) for s in sets], pa.int64()),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([wide_sketch(s, num, den) for s in sets], pa.binary()),
+                *(pa.array(narrow[:, k]) for k in range(_LONGS)),
+            ],
+            ["doc_id", "node", "n", "wide", *_SKETCH],
         )
 
+    return emit
 
-_SKETCH = tuple(f"s{k}" for k in range(_LONGS))
+
+def _emit_sets(ids, sets, _):
+    for at in range(0, len(ids), 100):
+        some = sets[at : at + 100]
+        yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in some], pa.int64()), pa.array([s.tobytes() for s in some], pa.binary())], ["node", "members"])
 
 
 def _emit_keys(num: int, den: int):
@@ -179,8 +209,22 @@ def _close(num: int, den: int):
     return apart * (den + num) <= (F.col("p.n") + F.col("q.n")) * (den - num)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, exactly counted."""
+def _plausible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow the similarity."""
+    p, q = sketches.alias("p"), sketches.alias("q")
+    near = pairs.join(p, F.col("a") == F.col("p.node")).join(q, F.col("b") == F.col("q.node")).filter(_close(num, den))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n", "x", "y")), strict=True)
+            keep = [x is None or y is None or _wide_gap(x, y) * (den + num) <= n * (den - num) for n, x, y in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return near.select("a", "b", (F.col("p.n") + F.col("q.n")).alias("n"), F.col("p.wide").alias("x"), F.col("q.wide").alias("y")).mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, source: DataFrame, holders: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, exactly counted; sets are made again from the texts of the pairs' nodes alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,8 +237,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 keep.append(den * both >= num * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = holders.join(nodes, "node", "left_semi").select("doc_id")
+    sets = materialize(_sets(source.join(ids, "doc_id", "left_semi"), width, _emit_sets, "node long, members binary"))
     met = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
-    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return materialize(met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -214,35 +261,32 @@ def components(edges: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the component) and links (number of linked nodes seen) of each document."""
     source = texts(docs, id_col, text_col).filter("doc_id IS NOT NULL")
-    nodes = materialize(_sets(source, width, _emit_nodes, "doc_id long, node long, n long"))
+    nodes = materialize(_sets(source, width, _emit_nodes(num, den), _NODES))
     rows = _sets(source, width, _emit_keys(num, den), "key long, node long, n int")
     w = Window.partitionBy("key")
     met = rows.withColumns({"first": F.min("node").over(w), "last": F.max("node").over(w)}).filter(F.col("first") != F.col("last"))
-    met = materialize(met.distinct())
+    met = materialize(met.select("key", "node", "first", "last").distinct())
     holders = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    holders = holders.join(met.select("node").distinct(), "node", "left_semi").select("doc_id")
-    made = _sets(source.join(holders, "doc_id", "left_semi"), width, _emit_sets, "node long, members binary, " + ", ".join(f"{c} long" for c in _SKETCH))
-    sets = materialize(made.dropDuplicates(["node"]))
-    sketches = sets.select("node", (F.octet_length("members") / 8).cast("long").alias("n"), *_SKETCH)
+    sketches = materialize(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "n", "wide", *_SKETCH).dropDuplicates(["node"]))
 
     stars = met.select(F.col("first").alias("a"), F.col("node").alias("b")).union(met.select(F.col("last").alias("a"), F.col("node").alias("b")))
     stars = stars.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    stars = materialize(stars.join(sketches.alias("p"), F.col("a") == F.col("p.node")).join(sketches.alias("q"), F.col("b") == F.col("q.node")).filter(_close(num, den)).select("a", "b"))
-    edges = materialize(_verified(stars, sets, num, den))
+    stars = materialize(_plausible(stars, sketches, num, den))
+    edges = _verified(stars, source, holders, width, num, den)
     labels = components(edges)
 
     left = met.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     left = left.withColumns({"low": F.min("c").over(w), "high": F.max("c").over(w)}).filter("low <> high").select("key", "node", "c")
-    left = materialize(left.join(sketches, "node"))
+    left = materialize(left.join(sketches.drop("wide"), "node"))
     apart = (F.col("p.key") == F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & (F.col("p.node") < F.col("q.node")) & _close(num, den)
     rest = left.alias("p").join(left.alias("q"), apart).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    late = materialize(_verified(rest.join(stars, ["a", "b"], "left_anti"), sets, num, den))
-    edges = edges.union(late)
-    if not late.isEmpty():
+    rest = materialize(_plausible(rest.join(stars, ["a", "b"], "left_anti"), sketches, num, den))
+    if not rest.isEmpty():
+        edges = edges.union(_verified(rest, source, holders, width, num, den))
         labels = components(edges)
     links = edges.select("a").union(edges.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
     # Documents of a set meet at its node first, so a component's least doc_id comes from one row a node.
     least = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
     named = least.join(least.groupBy("c").agg(F.min("least").alias("component_id")), "c").join(links, "node", "left").select("node", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
-    full = nodes.filter("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "links")
+    full = nodes.select("doc_id", "node", "n").filter("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "links")
     return full.unionByName(nodes.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("links")))
