@@ -80,7 +80,7 @@ def delimited(spark: SparkSession, path: str, schema: T.StructType | str, sep: s
 def lanes(spark: SparkSession, path: str) -> DataFrame:
     """lane, gpu, scenes (array), dataset of a tab-separated table of three or four columns."""
     rows = spark.read.schema("lane string, gpu string, scenes string, dataset string").option("sep", "\t").option("mode", "PERMISSIVE").csv(path)
-    scenes = F.filter(F.transform(F.split("scenes", ","), F.trim), lambda s: F.length(s) > 0)
+    scenes = F.filter(F.transform(F.split("scenes", ","), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
     return rows.filter(F.col("lane").isNotNull()).withColumn("scenes", scenes)
 
 
@@ -124,18 +124,22 @@ def file_listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame
     return rows.select("path", "length", F.col("modificationTime").alias("modified"))
 
 
-@F.pandas_udf("struct<height:int,width:int,finite:long,least:double>")
-def npy_shape(content: pd.Series) -> pd.DataFrame:
-    """Height, width, finite values and their least of stored arrays; nulls for what is no array of two dimensions."""
-    rows = []
-    for data in content:
-        try:
-            a = np.load(io.BytesIO(data), allow_pickle=False)
-            ok = np.isfinite(a) if a.ndim == 2 else None
-        except (ValueError, EOFError, OSError, TypeError):
-            ok = None
-        rows.append((None,) * 4 if ok is None else (*a.shape, int(ok.sum()), float(a[ok].min()) if ok.any() else None))
-    return pd.DataFrame(rows, columns=["height", "width", "finite", "least"])
+def npy_shapes(files: DataFrame) -> DataFrame:
+    """path, height, width, finite, least of stored arrays (binaryFile rows): finite values and their least; nulls for what is no array of two dimensions."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for path, data in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    a = np.load(io.BytesIO(data), allow_pickle=False)
+                    ok = np.isfinite(a) if a.ndim == 2 else None
+                except (ValueError, EOFError, OSError, TypeError):
+                    ok = None
+                rows.append((path, None, None, None, None) if ok is None else (path, *a.shape, int(ok.sum()), float(a[ok].min()) if ok.any() else None))
+            yield pd.DataFrame(rows, columns=["path", "height", "width", "finite", "least"]).astype({"height": "Int32", "width": "Int32", "finite": "Int64"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, height int, width int, finite long, least double")
 
 
 def stem(path: str) -> str:
