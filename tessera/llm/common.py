@@ -46,10 +46,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: cuts lineage, survives lost executors, keeps columns prunable."""
+    """Writes ``df`` once to the shared folder and reads it back: cuts lineage, survives lost executors, keeps columns prunable.
+
+    Not more files than four a core: intermediate tables are small beside their
+    inputs, and each file costs the store some calls.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(4 * spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

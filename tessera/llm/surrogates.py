@@ -13,8 +13,9 @@ script and case, separators stay; a card keeps passing or failing its check
 digit, an IBAN stays valid; given names stay in the list of their gender and
 script.
 
-``collisions`` checks this on a corpus: surrogates that two entities of a kind
-share; it counts distinct entities by keyed fingerprints, never by texts.
+Before anything is replaced, ``collisions`` checks this on the corpus at hand:
+surrogates that two entities of a kind share, from distinct pairs of surrogates
+and keyed fingerprints of entities, never texts. One found is an error.
 
 Defined results: null texts stay null, empty ones empty; without entities a
 text is unchanged; overlapping finds give way to the leftmost, then the longest;
@@ -48,6 +49,18 @@ _LISTED = {name: (group, k) for group, names in NAMES.items() for k, name in enu
 _LETTERS = ("aeiouy", "bcdfghjklmnpqrstvwxz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "äöü", "áéíóú", "àèìòù", "âêîôû")
 _CLASS = {c: letters for letters in (*_LETTERS, "0123456789") for c in letters}
 
+
+@lru_cache(maxsize=10_000)
+def _class_of(c: str) -> str | None:
+    """The letters or digits that a character in lower case may become: those of its class, or of its aligned block of 64 in other scripts."""
+    if c in _CLASS:
+        return _CLASS[c]
+    if len(c) != 1 or not c.isalpha():
+        return None
+    start = ord(c) & ~63
+    block = "".join(x for x in map(chr, range(start, start + 64)) if x.isalpha() and x.lower() == x and len(x.upper()) == 1 and x not in _CLASS)
+    return block if c in block else None
+
 _PATTERNS = (
     ("email", re.compile(r"(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), "@"),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), None),
@@ -73,7 +86,7 @@ def _iban(value: str) -> bool:
 def _holds(kind: str, value: str) -> bool:
     if kind == "ipv4":
         return all(int(x) < 256 for x in value.split("."))
-    digits = re.sub(r"\D", "", value)
+    digits = "".join(str(int(c)) for c in value if c.isdecimal())
     if kind == "card":
         return len(digits) == 16 or len(digits) >= 13 and _luhn(digits)
     if kind == "phone":
@@ -145,30 +158,40 @@ class Cipher:
 
 def _relettered(value: str, kind: str, cipher: Cipher) -> str:
     """Moves the characters that have a class within it, case by case kept; one number for the whole value in lower case."""
-    places = [(k, _CLASS[c.lower()]) for k, c in enumerate(value) if c.lower() in _CLASS]
+    classes = [_class_of(c.lower()) for c in value]
     number, size = 0, 1
-    for k, letters in places:
-        number, size = number * len(letters) + letters.index(value[k].lower()), size * len(letters)
-    form = hashlib.blake2b("|".join(letters[0] for _, letters in places).encode() + "".join(c if c.lower() not in _CLASS else "?" for c in value).encode(), digest_size=8).hexdigest()
-    number, out = cipher.move(number, size, f"{kind}:{form}"), list(value)
-    for k, letters in reversed(places):
-        number, at = divmod(number, len(letters))
-        out[k] = letters[at].upper() if value[k].isupper() else letters[at]
+    for c, letters in zip(value, classes, strict=True):
+        if letters:
+            number, size = number * len(letters) + letters.index(c.lower()), size * len(letters)
+    form = "|".join(letters[0] if letters else f"={c}" for c, letters in zip(value, classes, strict=True))
+    number, out = cipher.move(number, size, f"{kind}:{hashlib.blake2b(form.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"), list(value)
+    for k in range(len(value) - 1, -1, -1):
+        if letters := classes[k]:
+            number, at = divmod(number, len(letters))
+            out[k] = letters[at].upper() if value[k].isupper() else letters[at]
     return "".join(out)
 
 
 def _redigited(value: str, digits: str, start: int = 0) -> str:
-    """``value`` with its digits from the start-th on replaced in turn."""
+    """``value`` with its digits from the start-th on replaced in turn, each in its own script."""
     new, seen, out = iter(digits), 0, []
     for c in value:
-        out.append(next(new) if c.isdigit() and seen >= start else c)
-        seen += c.isdigit()
+        if c.isdecimal():
+            out.append(chr(ord(c) - int(c) + int(next(new))) if seen >= start else c)
+            seen += 1
+        else:
+            out.append(c)
     return "".join(out)
 
 
+def normal(kind: str, value: str) -> str:
+    """What makes two finds the same entity."""
+    return ".".join(str(int(x)) for x in value.split(".")) if kind == "ipv4" else value.lower()
+
+
 def surrogate(kind: str, value: str, cipher: Cipher) -> str:
     """The replacement of an entity; equal normalised entities have equal ones, others of the same form never."""
-    digits = "".join(str(int(c)) for c in value if c.isdigit())
+    digits = "".join(str(int(c)) for c in value if c.isdecimal())
     n = len(digits)
     if kind == "given":
         group, k = _LISTED[value]
@@ -193,8 +216,8 @@ def surrogate(kind: str, value: str, cipher: Cipher) -> str:
                 return _redigited(value, digits)
     if kind == "iban":
         plain = value.replace(" ", "")
-        body = "".join("0123456789"[int(c)] if c.isdigit() else c for c in plain[4:])
-        places = [k for k, c in enumerate(body) if c.isdigit()]
+        body = "".join(str(int(c)) if c.isdecimal() else c for c in plain[4:])
+        places = [k for k, c in enumerate(body) if c.isdecimal()]
         number = str(cipher.move(int("".join(body[k] for k in places) or "0"), 10 ** len(places), f"iban:{plain[:2]}{re.sub(r'[0-9]', '0', body)}")).zfill(len(places))
         body = _redigited(body, number)
         check = 98 - int("".join(str(int(c, 36)) for c in body + plain[:2] + "00")) % 97
@@ -222,8 +245,10 @@ def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     return "".join([*out, text[at:]]), found
 
 
-def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
-    """Replaces the entities of every whole text and adds their number; needs no shuffle."""
+def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str = "n_entities", check: bool = True) -> DataFrame:
+    """Replaces the entities of every whole text and adds their number; the check reads the texts once more, the replacement needs no shuffle."""
+    if check and (clash := collisions(docs, key, text_col).first()) is not None:
+        raise ValueError(f"{clash['entities']} entities of kind {clash['kind']} share a surrogate")
     schema = with_field(docs, count_col, "int")
     names = [f.name for f in schema][:-1]
 
@@ -242,7 +267,7 @@ def collisions(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cipher, put = Cipher(key), _remembering(key)
         for part in slices(batches, text_col):
-            rows = {(kind, put(kind, t[a:b]).lower(), cipher.fingerprint(t[a:b].lower())) for t in part.column(text_col).to_pylist() if t for kind, a, b in find(t)}
+            rows = {(kind, normal(kind, put(kind, t[a:b])), cipher.fingerprint(normal(kind, t[a:b]))) for t in part.column(text_col).to_pylist() if t for kind, a, b in find(t)}
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.binary())], ["kind", "surrogate", "entity"])
 

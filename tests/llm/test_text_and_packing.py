@@ -58,6 +58,21 @@ def test_texts_lose_their_entities(spark, awkward, nothing):
     assert surrogates.pseudonymize(nothing, KEY).count() == 0
 
 
+def test_other_scripts_and_odd_characters():
+    put = lambda kind, value: surrogates.surrogate(kind, value, surrogates.Cipher(KEY))
+    new = put("email", "日本²İ@例え.jp")
+    assert new.endswith(".jp") and new[2] == "²" and new[:2] != "日本" and "\u4e00" <= new[0] <= "\u9fff"
+    assert re.fullmatch("\\+[٠-٩]{1,3} [٠-٩]{3} [٠-٩]{4}", put("phone", "+٤٩ ١٢٣ ٤٥٦٧"))
+    assert surrogates.normal("ipv4", "01.2.3.4") == "1.2.3.4"
+
+
+def test_a_collision_is_an_error(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a@x.org b@x.org")], "doc_id long, text string")
+    monkeypatch.setattr(surrogates, "collisions", lambda *_: spark.sql("SELECT 'email' AS kind, 'x' AS surrogate, 2 AS entities"))
+    with pytest.raises(ValueError, match="share a surrogate"):
+        surrogates.pseudonymize(docs, KEY)
+
+
 def test_no_collisions(spark):
     rnd = random.Random(1)
     rows = [(i, f"{rnd.choice('abc')}{rnd.randrange(300)}@x{rnd.randrange(9)}.example.com +1 ({rnd.randrange(100, 999)}) 555-{rnd.randrange(1000, 9999)}") for i in range(800)]
