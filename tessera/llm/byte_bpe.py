@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import slices, with_field
 
 LONG = 96
-_REMEMBERED = 700_000
+_REMEMBERED = 500_000
 
 _CONTRACT = """
 WITH RECURSIVE step(w, p, t, live) AS (
