@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry, prompts, rasters, text, visibility
 from tessera.operators import aggregates as agg
-from tessera.operators import rows, stats
+from tessera.operators import outcomes, rows, stats
 from tessera.operators import sequence as seq
 from tessera.operators.memory import restart_reason, states
 from tessera.plans.base import query, r, table
@@ -122,3 +122,42 @@ def gated_groups(spark, d):
 def approximate_distinct(spark, d):
     g = table(spark, d, "documents").groupBy("lang").agg(F.count_distinct("source").alias("exact"), F.approx_count_distinct("source").alias("about"))
     return g.select("lang", F.col("about").between(0.85 * F.col("exact"), 1.15 * F.col("exact")).alias("close"))
+
+
+_STEPS = """WITH s AS (SELECT user_id AS episode, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, CASE event_type WHEN 'purchase' THEN 'stop' ELSE event_type END AS action, value / 2 AS distance, event_id % 29 = 0 AS hit FROM events),
+    e AS (SELECT *, CASE WHEN hit THEN 'collision' WHEN action = 'stop' THEN 'stop' WHEN step = 19 THEN 'step_limit' END AS ended FROM s),
+    f AS (SELECT episode, min(step) FILTER (ended IS NOT NULL) AS last, arg_min(ended, step) FILTER (ended IS NOT NULL) AS termination FROM e GROUP BY episode),
+    k AS (SELECT e.*, termination FROM e JOIN f USING (episode) WHERE last IS NULL OR step <= last),
+    g AS (SELECT episode, coalesce(min(termination), 'unfinished') AS termination, count(*) AS steps, arg_max(distance, step) AS final_distance, bool_or(NOT hit AND distance <= 20) AS reach, bool_or(distance < 20) AS legacy_reach FROM k GROUP BY episode),
+    o AS (SELECT episode, termination, steps, final_distance, termination = 'stop' AND final_distance <= 20 AS success, termination <> 'collision' AND reach AS oracle_reach, final_distance <= 20 AS legacy_success, legacy_reach FROM g)"""
+
+
+def _ended(spark, d):
+    e = seq.with_row(table(spark, d, "events"), ["user_id"], ["ts", "event_id"])
+    action = F.when(F.col("event_type") == "purchase", "stop").otherwise(F.col("event_type"))
+    steps = e.select(F.col("user_id").alias("episode"), (F.col("_row") - 1).cast("long").alias("step"), action.alias("action"), (F.col("value") / 2).alias("distance"), (F.col("event_id") % 29 == 0).alias("hit"))
+    return outcomes.end_episodes(steps, ["episode"], "step", "action", "distance", "hit", 20)
+
+
+@query(_STEPS + " SELECT * FROM o")
+def episode_outcomes(spark, d):
+    return _ended(spark, d)
+
+
+@query(_STEPS + """ SELECT CASE WHEN success THEN 'success' WHEN oracle_reach THEN 'osr_only' ELSE 'no_official_osr' END AS "group", count(*) AS num, round(avg(CAST(success AS INT)), 6) AS acc, round(avg(CAST(oracle_reach AS INT)), 6) AS osr, round(avg(final_distance), 4) AS ne FROM o GROUP BY 1""")
+def outcome_report(spark, d):
+    out = outcomes.report(_ended(spark, d), outcomes.outcome(F.col("success"), F.col("oracle_reach")))
+    return out.select("group", "num", r(F.col("acc")).alias("acc"), r(F.col("osr")).alias("osr"), r(F.col("ne"), 4).alias("ne"))
+
+
+@query("""SELECT event_type, CASE event_type WHEN 'view' THEN 'turn_left' WHEN 'click' THEN 'forward' WHEN 'error' THEN 'unknown' ELSE event_type END AS action, count(*) AS n FROM events GROUP BY event_type""")
+def action_aliases(spark, d):
+    name = F.when(F.col("event_type") == "view", " Turn Left ").when(F.col("event_type") == "click", "Move Forward").when(F.col("event_type") == "error", "").otherwise(F.col("event_type"))
+    return table(spark, d, "events").groupBy("event_type", outcomes.canonical_action(name).alias("action")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH f AS (SELECT a.i * 3.0 AS dx, b.i * 3.0 AS dy FROM range(-4, 5) a(i), range(-4, 5) b(i) WHERE sqrt((a.i * 3.0) ** 2 + (b.i * 3.0) ** 2) <= 12.000001),
+    l AS (SELECT dx, dy, unnest(CASE WHEN dx = 0 AND dy = 0 THEN [-3.0, -6.0, -9.0, 3.0] ELSE [0.0, -3.0, -6.0, 3.0] END) AS dz FROM f)
+    SELECT CAST(dx AS DOUBLE) AS dx, CAST(dy AS DOUBLE) AS dy, CAST(dz AS DOUBLE) AS dz, CAST(row_number() OVER (ORDER BY sqrt(CAST(dx * dx + dy * dy + dz * dz AS DOUBLE)), CAST(dz >= 0 AS INT), abs(dz), abs(dx) + abs(dy), dx, dy, dz) - 1 AS INT) AS rank FROM l""")
+def recovery_offsets(spark, d):
+    return outcomes.offset_lattice(spark, 12.0)
