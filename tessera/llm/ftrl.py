@@ -60,37 +60,44 @@ def features(texts: list[str], bits: int, hashes: WordHashes) -> tuple[np.ndarra
     return np.concatenate([owner, owner[:-1][same], owner[:-2][apart]]), (np.concatenate([mix(h), pair, skip]) & mask).astype(np.int64)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.0) -> Weights:
-    """FTRL-proximal over rows of distinct feature indices, in the order given."""
-    size, rate = 1 << bits, float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
-    z, n = np.zeros(size), np.zeros(size)
-    bias, bias_n = float(np.log(rate / (1 - rate))), 0.0
-
-    def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
-
-    for _ in range(epochs if 0 < labels.sum() < len(labels) else 0):
-        for at, y in zip(rows, labels, strict=True):
-            zi, ni = z[at], n[at]
-            w = weights(zi, ni)
-            g = 1.0 / (1.0 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - y
-            root = np.sqrt(ni + g * g)
-            z[at] = zi + g - (root - np.sqrt(ni)) / alpha * w
-            n[at] = ni + g * g
-            bias_n += g * g
-            bias -= 0.02 * g / (1.0 + np.sqrt(bias_n))
-    kept = np.flatnonzero(np.abs(z) > l1)
-    return Weights(bits, kept, weights(z[kept], n[kept]).astype(np.float32), bias)
-
-
-def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = 20, max_rows: int = 20_000) -> Weights:
+class Learner:
+    """FTRL-proximal: takes examples one by one, each a set of distinct feature indices with its label."""
+
+    def __init__(self, bits: int, rate: float = 0.5, alpha: float = 2.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.0):
+        self._bits, self._alpha, self._beta, self._l1, self._l2 = bits, alpha, beta, l1, l2
+        self._z, self._n = np.zeros(1 << bits), np.zeros(1 << bits)
+        rate = float(np.clip(rate, 1e-3, 1 - 1e-3))
+        self._bias, self._bias_n = float(np.log(rate / (1 - rate))), 0.0
+
+    def _weights(self, z: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(z) <= self._l1, 0.0, (np.sign(z) * self._l1 - z) / ((self._beta + np.sqrt(n)) / self._alpha + self._l2))
+
+    def learn(self, at: np.ndarray, label: float) -> None:
+        z, n = self._z[at], self._n[at]
+        w = self._weights(z, n)
+        g = 1.0 / (1.0 + np.exp(-np.clip(w.sum() + self._bias, -35, 35))) - label
+        self._z[at] = z + g - (np.sqrt(n + g * g) - np.sqrt(n)) / self._alpha * w
+        self._n[at] = n + g * g
+        self._bias_n += g * g
+        self._bias -= 0.02 * g / (1.0 + np.sqrt(self._bias_n))
+
+    def weights(self) -> Weights:
+        kept = np.flatnonzero(np.abs(self._z) > self._l1)
+        return Weights(self._bits, kept.astype(np.int32), self._weights(self._z[kept], self._n[kept]).astype(np.float32), self._bias)
+
+
+def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = 20, max_rows: int = 20_000, epochs: int = 3) -> Weights:
     """Fits on at most ``max_rows`` rows of ``labels`` for which ``usable`` (over id_col) holds.
 
-    The sample, of at most max_rows ids, is broadcast; its features are made where the texts are; one task reads those of the
-    bounded sample, and a vector of at most 2**bits weights returns.
+    The ids of the sample are broadcast, and its features are made where the
+    texts are. One task then reads them in the order of the ids' hashes, once an
+    epoch, and holds no more than a batch of them and two numbers a feature.
     """
     chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1)).withColumn(id_col, F.col("doc_id")).filter(usable)
     chosen = chosen.withColumn("turn", F.xxhash64("doc_id")).select("doc_id", "label", "turn").orderBy("turn", "doc_id", "label").limit(max_rows)
+    rate = chosen.agg(F.avg("label")).first()[0]
+    if rate is None:
+        return Learner(bits).weights()
     sample = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,17 +112,18 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
             )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, labels = [], []
+        learner = Learner(bits, rate)
         for batch in batches:
-            rows += [np.frombuffer(x, np.int32) for x in batch.column("at").to_pylist()]
-            labels += batch.column("label").to_pylist()
-        w = fit(rows, np.array(labels, float), bits)
-        yield pa.RecordBatch.from_arrays([pa.array([w.index.astype(np.int32).tobytes()]), pa.array([w.value.tobytes()]), pa.array([w.bias])], ["index", "value", "bias"])
+            for at, label in zip(batch.column("at"), batch.column("label").to_pylist(), strict=True):
+                learner.learn(np.frombuffer(at.as_buffer(), np.int32), label)
+        w = learner.weights()
+        yield pa.RecordBatch.from_arrays([pa.array([w.index.tobytes()]), pa.array([w.value.tobytes()]), pa.array([w.bias])], ["index", "value", "bias"])
 
-    made = sample.mapInArrow(featurize, "turn long, label int, at binary").repartition(1).sortWithinPartitions("turn", "label", "at")
+    passes = F.sequence(F.lit(1), F.lit(epochs)) if 0 < rate < 1 else F.array().cast("array<int>")
+    made = sample.mapInArrow(featurize, "turn long, label int, at binary").withColumn("epoch", F.explode(passes)).repartition(1).sortWithinPartitions("epoch", "turn", "label", "at")
     out = made.mapInArrow(learn, "index binary, value binary, bias double").collect()
     if not out:
-        return Weights(bits, np.empty(0, np.int32), np.empty(0, np.float32), 0.0)
+        return Learner(bits, rate).weights()
     return Weights(bits, np.frombuffer(out[0]["index"], np.int32), np.frombuffer(out[0]["value"], np.float32), out[0]["bias"])
 
 
