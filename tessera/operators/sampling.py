@@ -108,3 +108,77 @@ def diverse(quality: str, bits: str, n: int, path: str, weight: float = 0.25) ->
 
 def hamming(a: Column | str, b: Column | str) -> Column:
     return F.bit_count(col(a).bitwiseXOR(col(b)))
+
+
+def subset_in_order(df: DataFrame, index: str, n: int, seed: int) -> DataFrame:
+    """n rows by the hash of their index, in the order of the index."""
+    return df.orderBy(order_key(seed, index), index).limit(n).orderBy(index)
+
+
+def rounds_from_end(df: DataFrame, lane: str, order: Sequence[Column | str], n: int) -> DataFrame:
+    """n rows, taken one of each lane a round from the end of its order."""
+    back = Window.partitionBy(lane).orderBy(*(col(c).desc() for c in order))
+    rows = df.withColumn("_round", F.row_number().over(back))
+    return rows.orderBy("_round", lane).limit(n).drop("_round")
+
+
+def covering(weights: dict[str, float], typical: str, key: str, n: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A choice of n rows, each adding most weight of values not yet seen in the columns, then typicality; of equals the smallest key."""
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, taken = pdf.sort_values(key, kind="stable").reset_index(drop=True), []
+        seen: dict[str, set] = {c: set() for c in weights}
+        while len(taken) < min(n, len(rows)):
+            score = {i: sum(w for c, w in weights.items() if rows[c][i] not in seen[c]) + float(rows[typical][i]) for i in range(len(rows)) if i not in taken}
+            best = min(score, key=lambda i: (-score[i], i))
+            taken.append(best)
+            for c in weights:
+                seen[c].add(rows[c][best])
+        return rows.iloc[taken]
+
+    return choose
+
+
+def typicality(df: DataFrame, value: Column, keys: Sequence[str], out: str = "typicality") -> DataFrame:
+    """Adds how near the logarithm of a value is to its median within the keys: 1 at the median, falling with the distance."""
+    log = F.log1p(value)
+    middle = df.groupBy(*keys).agg(F.percentile(log, F.lit(0.5)).alias("_m"))
+    return df.join(middle, list(keys)).withColumn(out, 1 / (1 + F.abs(log - F.col("_m")))).drop("_m")
+
+
+def unique_first(unique: Sequence[str], never: Sequence[str], order: str, n: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A choice of n rows in order: first those with new values of ``unique``, then any; values of ``never`` never twice."""
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, taken = pdf.sort_values(order, kind="stable").reset_index(drop=True), []
+        fresh, used = set(), {c: set() for c in never}
+        for strict in (True, False):
+            for i in range(len(rows)):
+                value = tuple(rows[c][i] for c in unique)
+                if len(taken) == n or i in taken or (strict and value in fresh) or any(rows[c][i] in used[c] for c in never):
+                    continue
+                taken.append(i)
+                fresh.add(value)
+                for c in never:
+                    used[c].add(rows[c][i])
+        return rows.iloc[taken]
+
+    return choose
+
+
+def representatives(df: DataFrame, value: str, size: str, scene: str, key: str, n: int) -> DataFrame:
+    """n rows by nearness to the upper median: one of each size, then of scenes not seen yet, then the rest.
+
+    The order is made of ranks alone: the place of a row in its size, and
+    whether its scene occurs among the first of the sizes.
+    """
+    middle = df.agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("_low"), F.count(value).alias("_n"), F.percentile(value, F.lit(0.5)).alias("_mid"))
+    # The upper median is 2 * mid - low for an even count, the median itself for an odd one.
+    upper = F.when(F.col("_n") % 2 == 0, 2 * F.col("_mid") - F.col("_low")).otherwise(F.col("_mid"))
+    rows = df.crossJoin(F.broadcast(middle.select(upper.alias("_m")))).withColumn("_gap", F.abs(F.col(value) - F.col("_m")))
+    rows = rows.withColumn("_in_size", F.row_number().over(Window.partitionBy(size).orderBy("_gap", key)))
+    firsts = rows.filter("_in_size = 1").select(F.col(scene).alias("_scene")).distinct().withColumn("_seen", F.lit(1))
+    rows = rows.join(firsts, F.col(scene).eqNullSafe(F.col("_scene")), "left")
+    rows = rows.withColumn("_in_scene", F.row_number().over(Window.partitionBy(scene, F.col("_in_size") == 1).orderBy("_gap", key)))
+    turn = F.when(F.col("_in_size") == 1, 0).when(F.col("_seen").isNull() & (F.col("_in_scene") == 1), 1).otherwise(2)
+    return rows.withColumn("_turn", turn).orderBy("_turn", "_gap", key).limit(n).drop("_m", "_gap", "_in_size", "_scene", "_seen", "_in_scene", "_turn")

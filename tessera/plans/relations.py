@@ -240,3 +240,32 @@ def sft_sample_build(spark, d):
 def allowed_semi_join(spark, d):
     allowed = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
     return table(spark, d, "events").join(allowed, "user_id", "left_semi").select("user_id", "event_id", F.floor(micros() / 86_400_000_000).alias("day"))
+
+
+@query("""SELECT doc_id, lang FROM (SELECT doc_id, lang FROM documents ORDER BY sha1('7:' || doc_id), doc_id LIMIT 40)""")
+def subset_in_order(spark, d):
+    return sampling.subset_in_order(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 40, 7)
+
+
+@query("""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS k FROM documents) ORDER BY k, source LIMIT 50""")
+def rounds_from_end(spark, d):
+    return sampling.rounds_from_end(table(spark, d, "documents").select("doc_id", "source"), "source", ["doc_id"], 50)
+
+
+@query()
+def covering_pick(spark, d):
+    docs = sampling.typicality(table(spark, d, "documents").select("lang", "source", "doc_id", "n_chars"), F.col("n_chars"), ["lang"])
+    return sampling.greedy(docs, ["lang"], 200, [F.desc("typicality"), "doc_id"], sampling.covering({"source": 5.0}, "typicality", "doc_id", 8)).select("lang", "doc_id")
+
+
+@query()
+def representative_order(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.col("n_chars").cast("double").alias("v"))
+    return sampling.representatives(docs, "v", "lang", "source", "doc_id", 30).select("doc_id", "lang", "source")
+
+
+@query("""WITH RECURSIVE b AS (SELECT o_orderkey AS k, o_custkey AS c, o_totalprice AS p FROM orders)
+    SELECT c AS o_custkey, arg_max(k, p) AS best, count(*) AS n, CAST(sum(CAST(p > 100000 AS INT)) AS BIGINT) AS big, bool_or(p > 300000) AS huge FROM b GROUP BY c""")
+def best_rows(spark, d):
+    o = table(spark, d, "orders")
+    return o.groupBy("o_custkey").agg(F.max_by("o_orderkey", "o_totalprice").alias("best"), F.count("*").alias("n"), F.count_if(F.col("o_totalprice") > 100_000).alias("big"), F.bool_or(F.col("o_totalprice") > 300_000).alias("huge"))

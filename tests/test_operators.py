@@ -211,3 +211,19 @@ def test_streamed_windows(spark, tmp_path):
     parts = [[(at(1), "a", 1.0), (at(4), "a", 3.0), (at(12), "b", 5.0)], [(at(59), "a", 1.0)], [(at(2), "a", 9.0)]]
     out = _stream(spark, tmp_path / "w", parts, "ts timestamp, k string, value double", lambda s: episodes.windowed(s, "ts", ["k"], "10 minutes"), "append", "windows")
     assert all(r["n"] in (1, 2, 3) for r in out)
+
+
+def test_greedy_choices(spark):
+    import pandas as pd
+
+    pdf = pd.DataFrame({"k": range(6), "scene": list("aabbcc"), "target": list("xyxyxy"), "t": [0.1, 0.9, 0.2, 0.3, 0.0, 0.5]})
+    assert sampling.covering({"scene": 5, "target": 3}, "t", "k", 3)(pdf)["k"].tolist() == [1, 2, 5]
+    assert sampling.unique_first(["scene"], ["t"], "k", 4)(pdf)["k"].tolist() == [0, 2, 4, 1]
+    df = spark.createDataFrame([(k, s, c, float(v)) for k, (s, c, v) in enumerate([("small", "p", 1), ("small", "p", 5), ("mid", "p", 9), ("mid", "q", 4), ("mid", "r", 6), ("small", "q", 5)])], "k int, size string, scene string, v double")
+    picked = [r["k"] for r in sampling.representatives(df, "v", "size", "scene", "k", 3).collect()]
+    assert picked[0] == 1 and len(set(picked)) == 3
+    assert [r["k"] for r in sampling.rounds_from_end(df, "scene", ["k"], 4).collect()] == [2, 5, 4, 1]
+    some = [r["k"] for r in sampling.subset_in_order(df, "k", 3, 7).collect()]
+    assert some == sorted(some) and len(some) == 3
+    near = {r["k"]: r["typicality"] for r in sampling.typicality(df, F.col("v"), ["size"]).collect()}
+    assert near[1] == 1.0 and near[4] == 1.0 and near[0] < 1
