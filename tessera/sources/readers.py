@@ -99,11 +99,22 @@ def progress(spark: SparkSession, path: str, expected: int) -> DataFrame:
     return spark.read.text(path).select(F.explode(found).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("step")).withColumn("completed", F.col("step") >= expected)
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on whatever file system it names."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def parquet_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of the Parquet files of a folder, or of one file, with the schema they have now."""
+    fs, p = _file_system(spark, path)
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    return source.parquet(path) if fs.getFileStatus(p).isDirectory() else source.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
 
 
 def merged_or_parts(spark: SparkSession, merged: str, parts: str, schema: T.StructType | str) -> DataFrame:

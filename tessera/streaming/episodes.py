@@ -40,14 +40,15 @@ _STATE = "steps long, turns long, distance double, last double, reached long, en
 _OUT = "episode long, steps long, turn_run long, distance double, first_reach long, ended string"
 
 
-def episode_state(steps: DataFrame, stop: str, turns: list[str], radius: float, most_steps: int, idle_ms: int = 1_200_000) -> DataFrame:
+def episode_state(steps: DataFrame, stop: str, turns: list[str], radius: float, most_steps: int, idle_ms: int | None = None) -> DataFrame:
     """Each episode's progress after every batch that has steps of it: steps, current run of turns, distance, first step within the radius, and how it ended.
 
     ``steps`` has episode (long), step (long), action (string), value (double,
     the distance to the target) and collided (boolean). An episode ends by
     collision, then by a stop, then by the step limit; later steps of it are
-    ignored. One without steps for ``idle_ms`` of processing time is given up as
-    stale. State is six numbers an episode.
+    ignored. With ``idle_ms``, one without steps for so long in processing time is
+    given up as stale; such a plan never runs out of batches, so it is for
+    services, not for a run over what is there. State is six numbers an episode.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -66,11 +67,13 @@ def episode_state(steps: DataFrame, stop: str, turns: list[str], radius: float,
                 n += 1
                 ended = "collision" if hit else "stop" if action == stop else "step_limit" if n >= most_steps else None
             state.update((n, run_, far, last, reached, ended))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         out = pd.DataFrame({"episode": [key[0]], "steps": [n], "turn_run": [run_], "distance": [far], "first_reach": pd.array([reached], dtype="Int64"), "ended": pd.array([ended], dtype="object")})
         yield out
 
-    return steps.groupBy("episode").applyInPandasWithState(run, _OUT, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return steps.groupBy("episode").applyInPandasWithState(run, _OUT, _STATE, "update", timeout)
 
 
 def success(ended: Column, final_distance: Column, radius: float = 20.0) -> Column:

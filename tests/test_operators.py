@@ -188,7 +188,7 @@ def _stream(spark, folder, rows, schema, build, mode, name):
         if k == 0:
             src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
     q = build(src).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     return spark.table(name).collect()
 
 
