@@ -11,7 +11,7 @@ from tessera.functions.geometry import heading_alignment
 from tessera.functions.text import col, safe_name
 from tessera.operators.aggregates import number
 
-# The success radius in metres, and short names of actions.
+# The success radius in metres, short names of actions, and in stop_category the names of sources and categories.
 RADIUS = 20.0
 ALIASES = {
     "move forward": "forward", "forward 3m": "forward", "turn left": "turn_left", "turn left 30 degree": "turn_left", "turn right": "turn_right",

@@ -22,9 +22,10 @@ def stored_or_built(key: Column | str, built: Column) -> Column:
     return falsy_coalesce(col(key), built)
 
 
-def key_from_image_path(path: Column | str) -> Column:
-    """scene::episode::pose::frame of .../images/scene/episode/pose/uav_on_0/frame.ext; null for other paths."""
-    pattern = r".*[/\\]images[/\\]([^/\\]+)[/\\]([^/\\]+)[/\\]([^/\\]+)[/\\]uav_on_0[/\\](\d+)\.[^./\\]+$"
+def key_from_image_path(path: Column | str, camera: str = "camera_0") -> Column:
+    """scene::episode::pose::frame of .../images/scene/episode/pose/<camera>/frame.ext; null for other paths."""
+    part = r"([^/\\]+)[/\\]"
+    pattern = rf".*[/\\]images[/\\]{part}{part}{part}{camera}[/\\](\d+)\.[^./\\]+$"
     parts = [F.regexp_extract(col(path), pattern, k) for k in range(1, 5)]
     return F.when(parts[0] != "", F.concat_ws("::", *parts[:3], parts[3].try_cast("long").cast("string")))
 

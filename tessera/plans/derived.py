@@ -63,7 +63,7 @@ def keys_and_bins(spark, d):
 
 @query("""SELECT p_partkey, 'a::b' || '::' || p_size || '::' || (p_partkey % 100) AS key FROM part""")
 def keys_from_paths(spark, d):
-    path = F.concat(F.lit("/data/images/a/b/"), F.col("p_size").cast("string"), F.lit("/uav_on_0/"), F.format_string("%06d", F.col("p_partkey") % 100), F.lit(".png"))
+    path = F.concat(F.lit("/data/images/a/b/"), F.col("p_size").cast("string"), F.lit("/camera_0/"), F.format_string("%06d", F.col("p_partkey") % 100), F.lit(".png"))
     return table(spark, d, "part").select("p_partkey", rows.key_from_image_path(path).alias("key"))
 
 

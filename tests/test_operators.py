@@ -76,7 +76,7 @@ def test_repair_overrides_original(spark):
 
 
 def test_key_from_path(spark):
-    p = ["/x/images/Park/12/0/uav_on_0/0007.png", "C:\\images\\A\\b\\1\\uav_on_0\\3.jpg", "/images/A/b/1/other/3.jpg", None]
+    p = ["/x/images/Park/12/0/camera_0/0007.png", "C:\\images\\A\\b\\1\\camera_0\\3.jpg", "/images/A/b/1/other/3.jpg", None]
     out = spark.createDataFrame([(x,) for x in p], "p string").select(rows.key_from_image_path("p").alias("k")).collect()
     assert [r["k"] for r in out] == ["Park::12::0::7", "A::b::1::3", None, None]
 
