@@ -137,9 +137,10 @@ def test_tree_matching_is_the_largest():
     assert wrapper.match(a, tree(("z",))) == []
 
 
-def test_wrapper_drops_what_a_host_repeats(spark):
+@pytest.mark.parametrize("most", [0, wrapper.BROADCAST_BYTES])
+def test_wrapper_drops_what_a_host_repeats(spark, most):
     rows = [(k, f"http://h.example/{k}", PAGE.format(k=k)) for k in range(6)] + [(9, "http://other.example/", PAGE.format(k=9)), (10, None, PAGE.format(k=10)), (11, "http://h.example/x", None)]
-    out = {r["page_id"]: r for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()}
+    out = {r["page_id"]: r for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")), broadcast_bytes=most).collect()}
     assert out[3]["text"] == "Title 3\nBody 3 & more text" and out[3]["n_chars"] == len(out[3]["text"])
     assert out[9]["text"].endswith("Subscribe to our letter now")  # nothing to compare with
     assert out[11]["text"] == "" and out[11]["n_chars"] == 0 and len(out) == 9
