@@ -57,7 +57,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    weights = ftrl.train(docs, table(spark, sf_dir, "labels"), crc_part("doc_id", 5) != 0, max_rows=20_000)
+    weights = ftrl.train(docs, table(spark, sf_dir, "labels"), crc_part("doc_id", 5) != 0, max_rows=50_000)
     return _judged(ftrl.score(docs, weights), crc_part("doc_id", 5) == 0, 0.5)
 
 
@@ -101,7 +101,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: Sets of shingles, pairs that share one, and reachability: plain, and for small tables only.
 _JACCARD_SQL = r"""
 WITH RECURSIVE words AS (
-    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents
 ), shingles AS (
     SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]) END) AS s FROM words
 ), sizes AS (
