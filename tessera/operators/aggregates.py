@@ -39,9 +39,9 @@ def describe(c: Column | str, quantiles: Sequence[float] = (0.5, 0.75, 0.9, 0.95
     ]
 
 
-def upper_median(c: Column | str) -> Column:
-    """The middle value, the upper of two: the discrete percentile just over a half."""
-    return F.expr(f"element_at(sort_array(collect_list({c})), int(count({c}) div 2) + 1)") if isinstance(c, str) else F.element_at(F.sort_array(F.collect_list(c)), (F.floor(F.count(c) / 2) + 1).cast("int"))
+def upper_median(column: str) -> Column:
+    """The middle value, the upper of two: the discrete median from above, which counts distinct values."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column} DESC)")
 
 
 def counts(df: DataFrame, dimensions: dict[str, Column | str]) -> DataFrame:

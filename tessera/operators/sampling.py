@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import col, order_key
+from tessera.operators.aggregates import upper_median
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int | Column) -> DataFrame:
@@ -172,10 +173,8 @@ def representatives(df: DataFrame, value: str, size: str, scene: str, key: str,
     The order is made of ranks alone: the place of a row in its size, and
     whether its scene occurs among the first of the sizes.
     """
-    middle = df.agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("_low"), F.count(value).alias("_n"), F.percentile(value, F.lit(0.5)).alias("_mid"))
-    # The upper median is 2 * mid - low for an even count, the median itself for an odd one.
-    upper = F.when(F.col("_n") % 2 == 0, 2 * F.col("_mid") - F.col("_low")).otherwise(F.col("_mid"))
-    rows = df.crossJoin(F.broadcast(middle.select(upper.alias("_m")))).withColumn("_gap", F.abs(F.col(value) - F.col("_m")))
+    middle = df.agg(upper_median(value).alias("_m"))
+    rows = df.crossJoin(F.broadcast(middle)).withColumn("_gap", F.abs(F.col(value) - F.col("_m")))
     rows = rows.withColumn("_in_size", F.row_number().over(Window.partitionBy(size).orderBy("_gap", key)))
     firsts = rows.filter("_in_size = 1").select(F.col(scene).alias("_scene")).distinct().withColumn("_seen", F.lit(1))
     rows = rows.join(firsts, F.col(scene).eqNullSafe(F.col("_scene")), "left")

@@ -29,11 +29,22 @@ def exact_paired_p(gains: Column, losses: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
-def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Ranks from 1, equal values sharing the mean of theirs: by counts of distinct values, so the order runs over those only."""
-    per = df.groupBy(value).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(per.select(F.col(value).alias("_v"), (before + (F.col("_n") + 1) / 2).alias(out)), F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
+def average_rank(df: DataFrame, value: str, out: str, parts: int = 200) -> DataFrame:
+    """Ranks from 1, equal values sharing the mean of theirs; rows without a value go.
+
+    The distinct values are dealt to parts by cuts, of which ``parts`` numbers
+    reach the driver; each part is ordered by itself, after the rows of the
+    parts below it. The cuts need not be exact: they only share out the work.
+    """
+    per = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    cuts = per.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 1_000)).first()[0] or []
+    part = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c <= F.col(value))) if cuts else F.lit(0)
+    per = per.withColumn("_part", part)
+    sizes = per.groupBy("_part").agg(F.sum("_n").alias("_size"))
+    sizes = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"))
+    within = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = per.join(F.broadcast(sizes), "_part").select(F.col(value).alias("_v"), (F.col("_below") + within + (F.col("_n") + 1) / 2).alias(out))
+    return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

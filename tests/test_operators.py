@@ -135,6 +135,14 @@ def test_exact_p(spark):
     assert all(math.isclose(r["p"], plain(r["g"], r["l"]), rel_tol=1e-9, abs_tol=1e-300) for r in out)
 
 
+@pytest.mark.parametrize("values", [[3.0, 1.0, 3.0, None, 2.0, 3.0], [float(v % 37) for v in range(900)], [float(v) for v in range(700)], [5.0] * 40, []])
+def test_average_ranks(spark, values):
+    known = sorted(v for v in values if v is not None)
+    expected = sorted((v, known.index(v) + (known.count(v) + 1) / 2) for v in known)
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert sorted((r["v"], r["rank"]) for r in stats.average_rank(df, "v", "rank", 20).collect()) == expected
+
+
 def test_bootstrap_covers_the_mean(spark):
     rnd = random.Random(1)
     df = spark.createDataFrame([(i, rnd.gauss(2, 1)) for i in range(400)], "i int, d double")
