@@ -18,8 +18,9 @@ only those set are held, and rows meet on a hash of (band, place, part).
 
 Equal sets are one node from the start. Within a bucket the links to its first
 and last node are tried first. Pairs of a bucket that are still in different
-components are compared after that: those whose 1024-bit sketches allow it are
-verified on the sets. So no link between different sets is lost, and copies or
+components are compared after that. Of either kind those are verified on the sets
+whose sketches allow it: 1024 bits for all, and for large sets sketches of four
+bits and more for each allowed difference. So no link between different sets is lost, and copies or
 near copies are never expanded into all pairs.
 
 Defined results: null and empty texts and those without words have an empty
