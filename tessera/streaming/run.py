@@ -11,6 +11,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tessera.sources.readers import exists
+
 
 @lru_cache(maxsize=1)
 def _own_dir() -> str:
@@ -34,4 +36,5 @@ def available(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).option("basePath", f"{at}/rows").parquet(f"{at}/rows/*")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    return spark.read.schema(schema).parquet(f"{at}/rows") if exists(spark, f"{at}/rows") else spark.createDataFrame([], schema)
