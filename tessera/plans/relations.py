@@ -174,7 +174,7 @@ def alignment_violations(spark, d):
     SELECT doc_id, lang, round, pick FROM b WHERE pick <= 20""")
 def stratified_round_robin(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"), F.least(F.lit(3), F.floor(F.col("n_chars") / 1000)).alias("bin"))
-    return sampling.stratified_rounds(docs, "lang", ["source", "bin"], ["h"], 20).select("doc_id", "lang", "round", "pick")
+    return sampling.stratified_rounds(docs, "lang", ["source", "bin"], ["h"], 20).select("doc_id", "lang", F.col("round").cast("long").alias("round"), F.col("pick").cast("long").alias("pick"))
 
 
 @query("""SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha1('42:' || doc_id), doc_id) AS k FROM documents) WHERE k <= 10""")
