@@ -26,9 +26,11 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,8 +42,10 @@ REFERENCES = 12
 SALTS = 32
 #: Up to which size of all wrappers together the pages stay where they are.
 BROADCAST_BYTES = 8 << 20
-#: Elements nested deeper than this stand beside their parent's text; no text is lost.
+#: Elements nested deeper than this stand beside their text in the nearest opened one; no text is lost, and their end tags close them alone.
 DEPTH = 200
+#: Cells of a table of two child lists held at a time; longer lists are halved first.
+CELLS = 2_000_000
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("head script style noscript template nav header footer aside form iframe object svg canvas audio video button select textarea dialog menu".split())
@@ -62,7 +66,7 @@ _CUT_TAG = re.compile(r"<[A-Za-z/!?]")
 class Node:
     """An element: its tag, its children in order (elements and texts), whether markup drops it."""
 
-    __slots__ = ("children", "dropped", "tag", "template")
+    __slots__ = ("children", "dropped", "kind", "tag", "template")
 
     def __init__(self, tag: str, dropped: bool = False):
         self.tag, self.dropped, self.children, self.template = tag, dropped, [], False
@@ -78,14 +82,15 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
-        self.open = [self.root]
+        #: Open elements as (tag, node that takes what is inside): beyond DEPTH that is the nearest opened one.
+        self.open = [("#root", self.root)]
 
     def _close(self, tags, stops=frozenset()) -> None:
         for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in tags:
+            if self.open[k][0] in tags:
                 del self.open[k:]
                 return
-            if self.open[k].tag in stops:
+            if self.open[k][0] in stops:
                 return
 
     def handle_starttag(self, tag, attrs):
@@ -97,16 +102,16 @@ class _Builder(HTMLParser):
         named = " ".join(filter(None, (a.get("class"), a.get("id"))))
         part = tag in ("html", "body", "article", "main", "#root")
         dropped = tag in DROPPED or (not part and bool(named) and bool(_NAMED.search(named))) or (a.get("role") or "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden") == "true"
-        if tag == "header" and any(n.tag in ("article", "main") for n in self.open):
+        if tag == "header" and any(t in ("article", "main") for t, _ in self.open):
             dropped = False  # an article's own heading
-        node = Node(tag, dropped)
-        self.open[-1].children.append(node)
-        if tag not in VOID and (len(self.open) < DEPTH or dropped):
-            self.open.append(node)
+        node, parent = Node(tag, dropped), self.open[-1][1]
+        parent.children.append(node)
+        if tag not in VOID:
+            self.open.append((tag, node if len(self.open) < DEPTH or (dropped and not parent.dropped) else parent))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if self.open[-1] is self.open[0] or self.open[-1].tag != tag:
+        if self.open[-1][1] is self.root or self.open[-1][0] != tag:
             return
         self.open.pop()
 
@@ -114,7 +119,7 @@ class _Builder(HTMLParser):
         self._close({tag})
 
     def handle_data(self, data):
-        self.open[-1].children.append(data)
+        self.open[-1][1].children.append(data)
 
 
 def parse(html: str) -> Node:
@@ -126,50 +131,113 @@ def parse(html: str) -> Node:
     return builder.root
 
 
-def match(a: Node, b: Node, limit: int = 1_000_000) -> list[tuple[Node, Node]]:
-    """Pairs of matched nodes of the largest simple tree matching: equal roots, children matched in order.
+class Kinds:
+    """Numbers of trees by shape (tag and the shapes of the child elements), and the largest matchings of shapes, each found once."""
 
-    Once ``limit`` pairs of siblings have been compared, the lists still to come
-    are matched place by place instead, which bounds the work.
-    """
-    found: dict[tuple[int, int], tuple[int, list]] = {}
-    spent = 0
-
-    def size(x: Node, y: Node) -> tuple[int, list]:
-        nonlocal spent
-        if x.tag != y.tag:
-            return 0, []
-        key = id(x), id(y)
-        if key not in found:
-            p, q = x.elements(), y.elements()
-            spent += len(p) * len(q)
-            if spent > limit:
-                pairs = [(s, t) for s, t in zip(p, q, strict=False) if s.tag == t.tag]
-                found[key] = 1 + sum(size(s, t)[0] for s, t in pairs), pairs
+    def __init__(self):
+        self.numbers: dict[tuple, int] = {}
+        self.shapes: list[tuple] = []
+        self.full: list[int] = []
+        self.sizes: dict[tuple[int, int], int] = {}
+        self.pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def of(self, node: Node) -> int:
+        shape = (node.tag, *[self.of(c) for c in node.children if isinstance(c, Node)])
+        if shape not in self.numbers:
+            self.numbers[shape] = len(self.shapes)
+            self.shapes.append(shape)
+            self.full.append(1 + sum(self.full[k] for k in shape[1:]))
+        node.kind = number = self.numbers[shape]
+        return number
+
+    def size(self, a: int, b: int) -> int:
+        if a == b:
+            return self.full[a]
+        x, y = self.shapes[a], self.shapes[b]
+        if x[0] != y[0]:
+            return 0
+        if (a, b) not in self.sizes:
+            self.sizes[a, b] = 1 + sum([self.size(x[i + 1], y[j + 1]) for i, j in self.aligned(a, b)])
+        return self.sizes[a, b]
+
+    def aligned(self, a: int, b: int) -> list[tuple[int, int]]:
+        """Places of the children of two shapes that the largest matching pairs."""
+        if a == b:
+            return [(i, i) for i in range(len(self.shapes[a]) - 1)]
+        if (a, b) not in self.pairs:
+            self.pairs[a, b] = self._align(self.shapes[a][1:], self.shapes[b][1:])
+        return self.pairs[a, b]
+
+    def _align(self, p: tuple, q: tuple) -> list[tuple[int, int]]:
+        # Equal shapes at both starts or both ends are a pair of some largest matching.
+        start, end, most = 0, 0, min(len(p), len(q))
+        while start < most and p[start] == q[start]:
+            start += 1
+        while end < most - start and p[-1 - end] == q[-1 - end]:
+            end += 1
+        middle = self._order(p[start : len(p) - end], q[start : len(q) - end])
+        return [*((k, k) for k in range(start)), *((start + i, start + j) for i, j in middle), *((len(p) - k, len(q) - k) for k in range(end, 0, -1))]
+
+    def _order(self, p: tuple, q: tuple) -> list[tuple[int, int]]:
+        if not p or not q:
+            return []
+        if len(p) > 1 and len(p) * len(q) > CELLS:
+            half = len(p) // 2
+            cut = int(np.argmax(np.add(self._rows(p[:half], q)[-1], self._rows(p[half:][::-1], q[::-1])[-1][::-1])))
+            return [*self._order(p[:half], q[:cut]), *((half + i, cut + j) for i, j in self._order(p[half:], q[cut:]))]
+        best, i, j, out = self._rows(p, q, keep=True), len(p), len(q), []
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
             else:
-                best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-                for i, s in enumerate(p):
-                    row, above = best[i + 1], best[i]
-                    for j, t in enumerate(q):
-                        row[j + 1] = max(row[j], above[j + 1], above[j] + size(s, t)[0])
-                i, j, pairs = len(p), len(q), []
-                while i and j:
-                    if best[i][j] == best[i - 1][j]:
-                        i -= 1
-                    elif best[i][j] == best[i][j - 1]:
-                        j -= 1
-                    else:
-                        i, j = i - 1, j - 1
-                        pairs.append((p[i], q[j]))
-                found[key] = 1 + best[len(p)][len(q)], pairs[::-1]
-        return found[key]
-
-    size(a, b)
+                i, j = i - 1, j - 1
+                out.append((i, j))
+        return out[::-1]
+
+    def _rows(self, p: tuple, q: tuple, keep: bool = False) -> list:
+        """The sizes of the largest matchings of the starts of p and q: all rows, or the last."""
+        if len(p) * len(q) <= 64:
+            rows = [[0] * (len(q) + 1)]
+            for s in p:
+                row, above = [0], rows[-1]
+                for j, t in enumerate(q):
+                    row.append(max(row[j], above[j + 1], above[j] + self.size(s, t)))
+                rows.append(row)
+            return rows
+        kinds, at = np.unique(q, return_inverse=True)
+        weights: dict[int, np.ndarray] = {}
+        row = np.zeros(len(q) + 1, np.int64)
+        rows = [row]
+        for s in p:
+            if s not in weights:
+                if len(weights) * len(q) > CELLS:
+                    weights.clear()
+                weights[s] = np.array([self.size(s, int(t)) for t in kinds])[at]
+            made = np.zeros_like(row)
+            np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights[s]), out=made[1:])
+            row = made
+            if keep:
+                rows.append(row)
+        return rows if keep else [row]
+
+
+def match(a: Node, b: Node, kinds: Kinds | None = None) -> list[tuple[Node, Node]]:
+    """Pairs of matched nodes of the largest simple tree matching: equal roots, children matched in order, at any length of the lists.
+
+    Work is shared by shape: trees of one shape are compared once, as far as
+    ``kinds`` reaches; lists meet row by row in memory of ``CELLS`` cells.
+    """
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEPTH))  # several calls a level
+    kinds = kinds or Kinds()
+    kinds.of(a), kinds.of(b)
     out, todo = [], [(a, b)] if a.tag == b.tag else []
     while todo:
-        pair = todo.pop()
-        out.append(pair)
-        todo += size(*pair)[1]
+        x, y = todo.pop()
+        out.append((x, y))
+        p, q = x.elements(), y.elements()
+        todo += [(p[i], q[j]) for i, j in kinds.aligned(x.kind, y.kind)]
     return out
 
 

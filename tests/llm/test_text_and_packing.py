@@ -213,3 +213,42 @@ def test_pipeline(spark):
         docs = kept
     packed = corpus_pipeline.run(spark, d)
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
+
+
+def test_long_lists_and_deep_elements():
+    block = "<h2>Fixed words of the host</h2>"
+    page = lambda k, first="": wrapper.parse(f"<body>{first}" + "".join(f"<p>{k} text {i}</p>{block if i % 300 == 299 else ''}" for i in range(1500)) + "</body>")
+    found = wrapper.match(page(1), page(2, "<div>new</div>"))
+    assert len(found) == 1 + 1 + 1505 and sum(y.tag == "h2" for _, y in found) == 5
+    assert len(wrapper.match(page(2, "<div>new</div>"), page(3, "<ul><li>a</ul><hr>"))) == 1 + 1 + 1505
+    nested = [wrapper.parse("<div><p>a</p>" * 190 + tail) for tail in ("<ul>x</ul><b>y</b>", "<b>y</b>")]
+    assert len(wrapper.match(*nested)) == 1 + 2 * 190 + 1
+    deep = "<div><article><p>one</p>" + "<div>" * 250 + "deep" + "</div>" * 250 + "<p>last</p></article></div><p>outside</p>"
+    assert wrapper.main_text(wrapper.parse(deep)) == "one\ndeep\nlast"
+
+
+def test_matching_in_parts_is_the_largest(monkeypatch):
+    import random
+
+    def plain(a, b):
+        if a.tag != b.tag:
+            return 0
+        p, q = a.elements(), b.elements()
+        best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i, s in enumerate(p):
+            for j, t in enumerate(q):
+                best[i + 1][j + 1] = max(best[i + 1][j], best[i][j + 1], best[i][j] + plain(s, t))
+        return 1 + best[-1][-1]
+
+    rnd = random.Random(5)
+
+    def tree(depth):
+        node = wrapper.Node(rnd.choice("ab") if depth < 3 else "r")
+        node.children = [tree(depth - 1) for _ in range(rnd.randrange(12 if depth == 3 else 4))] if depth else []
+        return node
+
+    for cells in (1, 20, wrapper.CELLS):
+        monkeypatch.setattr(wrapper, "CELLS", cells)
+        for _ in range(60):
+            a, b = tree(3), tree(3)
+            assert len(wrapper.match(a, b)) == plain(a, b)
