@@ -1,21 +1,24 @@
 """Main text of web pages by wrapper induction.
 
-Up to ``REFERENCES`` pages of a host (those with the smallest hash of their
-content) are parsed into DOM trees and folded into one: simple tree matching
-finds the largest order-preserving match of two trees, and a node of the wrapper
-counts the trees that it was matched in and the texts that it had there. A node
-with the same text in most of three or more trees is constant: template. The
-other nodes are slots. A page is matched to its host's wrapper; its nodes that
+All pages of a host are parsed into DOM trees and folded into one, its wrapper:
+simple tree matching finds the largest order-preserving match of two trees, and
+what a tree has beyond it is added to the wrapper, so that every layout of the
+host is in it. Then each page is matched to the whole wrapper, and Spark counts
+the texts that each node had. A node with the same text in most of three or more
+pages is constant: template. The other nodes are slots. Pages of a host with the
+same main text, and so copies, count once. A page is matched to its host's wrapper; its nodes that
 fall on constant nodes with the same text are dropped, and so is all that the
 markup itself names as no part of the article (menus, headers, footers, asides,
 forms, scripts, styles, and elements whose class, id or role says advert,
 notice, comment and the like). Of what is left, an article or main element is
 taken where there is one, else the body; each block's text makes a line.
 
-Wrappers of up to ``BROADCAST_BYTES`` in all, as measured, are broadcast to the
+The trees of a host are folded in groups of about ``GROUP`` pages, dealt by the
+hash of their main text, and the groups' trees are folded ``FAN`` at a time until
+one is left. That holds shapes only, no texts. Wrappers of up to
+``BROADCAST_BYTES`` in all, as measured, are broadcast to the
 pages; beyond that, pages meet their host's wrapper in a join by host and salt, so
-that a hot host is many groups. A wrapper is made from a bounded number of pages
-and exists only for hosts that have constant nodes. Pages of other hosts, null urls among them, go by markup.
+that a hot host is many groups. Pages of hosts without constant nodes, null urls among them, go by markup.
 
 Defined results: null and empty html give an empty text; unclosed, misnested
 and cut-off markup is read as far as it goes; a br is white space inside its
@@ -32,12 +35,16 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, slices
 
-REFERENCES = 12
+#: Pages of a host whose trees are folded in one task, and folded trees that are folded into one.
+GROUP, FAN = 128, 16
+#: Characters of wrappers, and matched pairs of shapes, that a task keeps at hand.
+KEPT, KEPT_PAIRS = 4_000_000, 50_000
 #: Groups that the pages of a host are dealt to when they meet its wrapper.
 SALTS = 32
 #: Up to which size of all wrappers together the pages stay where they are.
@@ -66,10 +73,10 @@ _CUT_TAG = re.compile(r"<[A-Za-z/!?]")
 class Node:
     """An element: its tag, its children in order (elements and texts), whether markup drops it."""
 
-    __slots__ = ("children", "dropped", "kind", "tag", "template")
+    __slots__ = ("children", "dropped", "kind", "tag", "template", "words")
 
     def __init__(self, tag: str, dropped: bool = False):
-        self.tag, self.dropped, self.children, self.template = tag, dropped, [], False
+        self.tag, self.dropped, self.children, self.template, self.words = tag, dropped, [], False, 0
 
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
@@ -77,6 +84,11 @@ class Node:
     def own_text(self) -> str:
         return _SPACE.sub(" ", " ".join(c for c in self.children if isinstance(c, str))).strip()
 
+    def own_words(self) -> int:
+        """A signed 64-bit hash of the own text; 0 of none."""
+        text = self.own_text()
+        return int.from_bytes(xxhash.xxh64_digest(text.encode("utf-8", "replace")), "big", signed=True) if text else 0
+
 
 class _Builder(HTMLParser):
     def __init__(self):
@@ -135,6 +147,10 @@ class Kinds:
     """Numbers of trees by shape (tag and the shapes of the child elements), and the largest matchings of shapes, each found once."""
 
     def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.fixed: Node | None = None
         self.numbers: dict[tuple, int] = {}
         self.shapes: list[tuple] = []
         self.full: list[int] = []
@@ -223,15 +239,20 @@ class Kinds:
         return rows if keep else [row]
 
 
-def match(a: Node, b: Node, kinds: Kinds | None = None) -> list[tuple[Node, Node]]:
+def match(a: Node, b: Node, kinds: Kinds | None = None, fixed: bool = False) -> list[tuple[Node, Node]]:
     """Pairs of matched nodes of the largest simple tree matching: equal roots, children matched in order, at any length of the lists.
 
     Work is shared by shape: trees of one shape are compared once, as far as
-    ``kinds`` reaches; lists meet row by row in memory of ``CELLS`` cells.
+    ``kinds`` reaches (``fixed``: b is the same, unchanged tree in all its calls); lists meet row by row in memory of ``CELLS`` cells.
     """
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEPTH))  # several calls a level
     kinds = kinds or Kinds()
-    kinds.of(a), kinds.of(b)
+    if len(kinds.pairs) > KEPT_PAIRS:
+        kinds.clear()
+    kinds.of(a)
+    if not fixed or kinds.fixed is not b:
+        kinds.of(b)
+        kinds.fixed = b
     out, todo = [], [(a, b)] if a.tag == b.tag else []
     while todo:
         x, y = todo.pop()
@@ -241,41 +262,68 @@ def match(a: Node, b: Node, kinds: Kinds | None = None) -> list[tuple[Node, Node
     return out
 
 
-def induce(pages: list[str], share: float = 0.8) -> str | None:
-    """The wrapper of pages of a host, as JSON; None without constant nodes. Pages with the same main text count once."""
-    trees = list({main_text(t): t for t in map(parse, pages)}.values())
-    if len(trees) < 3:
-        return None
-    first, seen = trees[0], {}
-    for tree in trees:
-        for x, y in match(first, tree):
-            seen.setdefault(id(x), []).append(y.own_text())
-
-    def dump(node: Node) -> list:
-        texts = seen.get(id(node), [])
-        top = max(set(texts), key=lambda t: (texts.count(t), t)) if texts else ""
-        constant = top if top and len(texts) >= 3 and texts.count(top) >= share * len(texts) else None
-        return [node.tag, constant, [dump(c) for c in node.elements()]]
-
-    made = dump(first)
-    return json.dumps(made) if _has_constant(made) else None
+def fold(wrapper: Node, tree: Node, kinds: Kinds | None = None) -> None:
+    """Adds to the wrapper the nodes of a tree, which it takes over, that match none of its own."""
+    pairs = match(wrapper, tree, kinds)
+    met = {id(y): x for x, y in pairs}
+    for x, y in pairs:
+        if len(fresh := y.children) == len(x.children) and all(id(c) in met for c in fresh):
+            continue
+        places, made, at = {id(c): k for k, c in enumerate(x.children)}, [], 0
+        for c in fresh:
+            if id(c) in met:
+                k = places[id(met[id(c)])] + 1
+                made += x.children[at:k]
+                at = k
+            else:
+                made.append(c)
+        x.children = made + x.children[at:]
 
 
-def _has_constant(dumped: list) -> bool:
-    return dumped[1] is not None or any(map(_has_constant, dumped[2]))
+def _dump(node: Node) -> list:
+    return [node.tag, node.words, [_dump(c) for c in node.elements()]]
 
 
 def _load(dumped: list) -> Node:
     node = Node(dumped[0])
-    node.children = [*([dumped[1]] if dumped[1] is not None else []), *map(_load, dumped[2])]
+    node.words, node.children = dumped[1], [_load(c) for c in dumped[2]]
     return node
 
 
-def apply(tree: Node, wrapper: Node) -> None:
+def _compact(node: Node) -> list:
+    return [node.tag, node.own_words(), [_compact(c) for c in node.elements()]]
+
+
+def _preorder(node: Node) -> list[Node]:
+    out, todo = [], [node]
+    while todo:
+        out.append(todo.pop())
+        todo += out[-1].elements()[::-1]
+    return out
+
+
+class _Wrappers:
+    """Loaded wrappers of a task, each with the shapes that were matched to it."""
+
+    def __init__(self):
+        self.known: dict[str, tuple[Node, Kinds, dict[int, int]]] = {}
+        self.held = 0
+
+    def __getitem__(self, made: str) -> tuple[Node, Kinds, dict[int, int]]:
+        if made not in self.known:
+            if self.held + len(made) > KEPT:
+                self.known.clear()
+                self.held = 0
+            node = _load(json.loads(made))
+            self.known[made] = node, Kinds(), {id(n): k for k, n in enumerate(_preorder(node))}
+            self.held += len(made)
+        return self.known[made]
+
+
+def apply(tree: Node, wrapper: Node, kinds: Kinds | None = None) -> None:
     """Marks the nodes of a page that fall on constant nodes of its host's wrapper with the same text."""
-    for x, y in match(tree, wrapper):
-        text = y.own_text()
-        x.template = bool(text) and text == x.own_text()
+    for x, y in match(tree, wrapper, kinds, fixed=True):
+        x.template = y.words != 0 and y.words == x.own_words()
 
 
 def main_text(tree: Node) -> str:
@@ -321,42 +369,101 @@ def main_text(tree: Node) -> str:
     return "\n".join(lines)
 
 
-def wrappers(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
-    """(host, wrapper) of the hosts that have one; pages has host and html."""
-    order = Window.partitionBy("host").orderBy("turn", "html")
-    some = pages.filter("host IS NOT NULL AND html IS NOT NULL").select("host", "html", F.xxhash64("html").alias("turn"))
-    some = some.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= references)
+def _meet(rows: DataFrame, made: DataFrame, turn: list[str], broadcast_bytes: int) -> DataFrame:
+    """Rows with the wrapper of their host, null without one."""
+    if (made.agg(F.sum(F.octet_length("host") + F.octet_length("wrapper"))).first()[0] or 0) <= broadcast_bytes:
+        return rows.join(F.broadcast(made), "host", "left")
+    spread = made.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*turn), F.lit(SALTS)).cast("int")).join(spread, ["host", "salt"], "left").drop("salt")
+
+
+def _folded(trees: DataFrame) -> DataFrame:
+    """(host, wrapper) of rows (host, turn, wrapper): all trees of a host in one."""
 
     def run(rows: pa.Table) -> pa.Table:
-        host, made = rows.column("host")[0].as_py(), induce(rows.sort_by([("turn", "ascending"), ("html", "ascending")]).column("html").to_pylist())
-        return pa.table({"host": pa.array([host] if made else [], pa.string()), "wrapper": pa.array([made] if made else [], pa.string())})
+        rows = rows.sort_by([("turn", "ascending"), ("wrapper", "ascending")])
+        kinds, made = Kinds(), None
+        for dumped in rows.column("wrapper"):
+            tree = _load(json.loads(dumped.as_py()))
+            if made is None:
+                made = tree
+            else:
+                fold(made, tree, kinds)
+        for node in _preorder(made):
+            node.words = 0
+        return pa.table({"host": rows.column("host")[:1].cast(pa.string()), "turn": rows.column("part")[:1], "wrapper": pa.array([json.dumps(_dump(made))], pa.string())})
+
+    parts = max(1, -(-(trees.groupBy("host").count().agg(F.max("count")).first()[0] or 0) // GROUP))
+    part = F.pmod("turn", F.lit(parts))
+    while True:
+        trees = trees.withColumn("part", part.cast("long")).groupBy("host", "part").applyInArrow(run, "host string, turn long, wrapper string")
+        if parts == 1:
+            return trees.select("host", "wrapper")
+        parts = -(-parts // FAN)
+        part = F.floor(F.col("turn") / FAN)
 
-    return some.groupBy("host").applyInArrow(run, "host string, wrapper string")
 
+def wrappers(pages: DataFrame, share: float = 0.8, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(host, wrapper) of the hosts that have constant nodes, from all their pages; pages has host and html."""
 
-def extract(pages: DataFrame, references: int = REFERENCES, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "html"):
+            trees = [parse(t) for t in part.column("html").to_pylist()]
+            turns = [int.from_bytes(xxhash.xxh64_digest(main_text(t).encode("utf-8", "replace")), "big", signed=True) for t in trees]
+            yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(turns, pa.int64()), pa.array([json.dumps(_compact(t), separators=(",", ":")) for t in trees], pa.string())], ["host", "turn", "wrapper"])
+
+    found = pages.filter("host IS NOT NULL AND html IS NOT NULL").select("host", "html").mapInArrow(shapes, "host string, turn long, wrapper string")
+    # Pages with the same main text count once.
+    trees = materialize(found.groupBy("host", "turn").agg(F.min("wrapper").alias("wrapper")))
+    made = materialize(_folded(trees))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Wrappers()
+        for part in slices(batches, "tree"):
+            hosts, at, words = [], [], []
+            for host, tree, wrapper in zip(part.column("host").to_pylist(), part.column("tree").to_pylist(), part.column("wrapper").to_pylist(), strict=True):
+                node, kinds, number = known[wrapper]
+                pairs = match(_load(json.loads(tree)), node, kinds, fixed=True)
+                hosts += [host] * len(pairs)
+                at += [number[id(y)] for _, y in pairs]
+                words += [x.words for x, _ in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(at, pa.int32()), pa.array(words, pa.int64())], ["host", "at", "words"])
+
+    met = _meet(trees.withColumnRenamed("wrapper", "tree"), made, ["turn"], broadcast_bytes).select("host", "tree", "wrapper")
+    counted = met.mapInArrow(places, "host string, at int, words long").groupBy("host", "at", "words").agg(F.count("*").alias("n"))
+    nodes = counted.groupBy("host", "at").agg(F.sum("n").alias("all"), F.max(F.struct("n", "words")).alias("top"))
+    constant = nodes.filter((F.col("all") >= 3) & (F.col("top.n") >= share * F.col("all")) & (F.col("top.words") != 0))
+    constant = constant.groupBy("host").agg(F.collect_list(F.struct("at", F.col("top.words").alias("words"))).alias("constant"))
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for wrapper, constant in zip(batch.column("wrapper").to_pylist(), batch.column("constant").to_pylist(), strict=True):
+                node = _load(json.loads(wrapper))
+                order = _preorder(node)
+                for c in constant:
+                    order[c["at"]].words = c["words"]
+                out.append(json.dumps(_dump(node)))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.string())], ["host", "wrapper"])
+
+    return made.join(constant, "host").select("host", "wrapper", "constant").mapInArrow(filled, "host string, wrapper string")
+
+
+def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page, from its whole html."""
     host = F.lower(F.regexp_extract(F.col(f"`{url_col}`"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"), F.nullif(host, F.lit("")).alias("host"))
-    made = materialize(wrappers(rows, references))
-    if (made.agg(F.sum(F.octet_length("host") + F.octet_length("wrapper"))).first()[0] or 0) <= broadcast_bytes:
-        met = rows.join(F.broadcast(made), "host", "left")
-    else:
-        spread = made.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(spread, ["host", "salt"], "left")
-    met = met.select("page_id", "url", "html", "wrapper")
+    made = materialize(wrappers(rows, broadcast_bytes=broadcast_bytes))
+    met = _meet(rows, made, ["page_id", "url"], broadcast_bytes).select("page_id", "url", "html", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Node] = {}
+        known = _Wrappers()
         for part in slices(batches, "html"):
             texts = []
             for html, made in zip(part.column("html").to_pylist(), part.column("wrapper").to_pylist(), strict=True):
                 tree = parse(html or "")
                 if made:
-                    if made not in known:
-                        known.clear()
-                        known[made] = _load(json.loads(made))
-                    apply(tree, known[made])
+                    apply(tree, *known[made][:2])
                 texts.append(main_text(tree))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

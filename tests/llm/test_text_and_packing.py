@@ -252,3 +252,16 @@ def test_matching_in_parts_is_the_largest(monkeypatch):
         for _ in range(60):
             a, b = tree(3), tree(3)
             assert len(wrapper.match(a, b)) == plain(a, b)
+
+
+@pytest.mark.parametrize("group", [2, 128])
+def test_wrapper_learns_from_all_pages(spark, monkeypatch, group):
+    monkeypatch.setattr(wrapper, "GROUP", group)
+    monkeypatch.setattr(wrapper, "FAN", 2)
+    first = "<body><article><h1>Title {k}</h1><p>Body {k}</p><div>Subscribe now</div></article></body>"
+    second = "<body><article><h1>Title {k}</h1><table><tr><td>Second layout</td></tr></table><p>Body {k}</p></article></body>"
+    rows = [(k, "http://h.example/a", second.format(k=0)) for k in range(40)]  # copies
+    rows += [(100 + k, "http://h.example/b", first.format(k=k)) for k in range(1, 15)] + [(200 + k, "http://h.example/c", second.format(k=100 + k)) for k in range(5)]
+    rows += [(300 + k, f"http://c{k}.example/", first.format(k=j)) for k in range(20) for j in (1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 3)]
+    out = wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == len(rows) and all(len(r["text"].split("\n")) == 2 and r["text"].startswith("Title") for r in out)
