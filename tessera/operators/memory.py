@@ -18,7 +18,7 @@ from tessera.functions.actions import lookup
 from tessera.operators.sequence import ordered, running
 
 # Thresholds of the states, in metres and degrees.
-STAGNANT_M = REVISIT_M = LOOP_M = 1.0
+STAGNANT_M = REVISIT_M = 1.0  # also how near a loop ends to its start
 LOOP_TURN, LOOP_YAW, LOOP_STEPS = 300.0, 15.0, 10
 DIRECTION = {TURNS[0]: "left", TURNS[1]: "right"}
 
@@ -31,12 +31,40 @@ def effects(df: DataFrame, keys: Sequence[str], step: str) -> DataFrame:
     return out.withColumns({"distance_traveled": F.coalesce(F.sum("translation").over(run), F.lit(0.0)), "mean_heading_change": F.coalesce(F.avg("heading_change").over(run), F.lit(0.0))})
 
 
+def _first_near(df: DataFrame, keys: Sequence[str], step: str, name: str, angle: float | None = None) -> DataFrame:
+    """Adds the first (s, m, h) of the same keys with a pose nearer than REVISIT_M, and by less than an angle in yaw.
+
+    Poses are reduced to one row a place before those of neighbouring cells meet.
+    """
+    at = ["x", "y", "z", *(["yaw"] if angle else [])]
+    same = F.struct(*keys).alias("_k")  # equal for null keys too
+    first = F.struct(F.col(step).alias("s"), F.col("_moves").alias("m"), F.col("_heading").alias("h"))
+    poses = df.groupBy(same, *at).agg(F.min(first).alias(name))
+    cell = {c: F.floor(F.col(c) / REVISIT_M).cast("long") for c in at[:3]}
+    if angle:
+        cell["yaw"] = F.floor(F.pmod(F.col("yaw"), F.lit(360.0)) / angle).cast("long")
+    round_ = round(360 / angle) if angle else 0
+    near = poses.select("_k", *at)
+    for c in at:
+        around = F.explode(F.sequence(cell[c] - 1, cell[c] + 1))
+        near = near.withColumn(f"_c{c}", around)
+        if c == "yaw":
+            near = near.withColumn(f"_c{c}", F.pmod(F.col(f"_c{c}"), F.lit(round_)))
+    stored = poses.select("_k", name, *(F.col(c).alias(f"_p{c}") for c in at), *((F.pmod(cell[c], F.lit(round_)) if c == "yaw" else cell[c]).alias(f"_c{c}") for c in at))
+    met = distance([F.col(c) for c in at[:3]], [F.col(f"_p{c}") for c in at[:3]]) < REVISIT_M
+    if angle:
+        met = met & (F.abs(wrap_degrees(F.col("yaw") - F.col("_pyaw"))) < angle)
+    found = near.join(stored, ["_k", *(f"_c{c}" for c in at)]).filter(met).groupBy("_k", *at).agg(F.min(name).alias(name))
+    return df.withColumn("_k", F.struct(*keys)).join(found, ["_k", *at], "left").drop("_k")
+
+
 def states(df: DataFrame, keys: Sequence[str], step: str, action: str = "action", n: int = 5) -> DataFrame:
     """Adds net_displacement, revisiting, motion_state, turn_state, action_pattern, last_translation, decision_mode and avoid_turn of each step.
 
-    Steps are numbered from 0 without gaps. The looks back of more than n steps
-    use the episode's own earlier poses, held as one array an episode, so an
-    episode has to fit a task's memory: at most some hundred steps by contract.
+    Steps are numbered from 0 without gaps. What lies back more than n steps is
+    found by the first step with a pose near the current one, in the episode or in
+    its run of turns: all that is asked of an earlier step holds for the first
+    if it holds for any. So an episode can have any length.
     """
     w, run = ordered(keys, [step]), running(keys, [step])
     out = effects(df, keys, step)
@@ -46,26 +74,19 @@ def states(df: DataFrame, keys: Sequence[str], step: str, action: str = "action"
             "_turns": F.coalesce(F.sum(F.coalesce(turn, F.lit(False)).cast("int")).over(run), F.lit(0)),
             "_moves": F.coalesce(F.sum(F.coalesce(moved, F.lit(False)).cast("int")).over(run), F.lit(0)),
             "_heading": F.coalesce(F.sum("heading_change").over(run), F.lit(0.0)),
+            "_turned": F.coalesce(F.max(F.when(~F.coalesce(turn, F.lit(False)), F.col(step))).over(run), F.lit(-1)),
             "_recent": F.filter(F.collect_list(action).over(w.rowsBetween(-(n - 1), 0)), lambda a: a.isNotNull()),
         }
     )
     first = w.rowsBetween(-n, 0)
     out = out.withColumn("net_displacement", distance([F.col(c) for c in ("x", "y", "z")], [F.first(c).over(first) for c in ("x", "y", "z")]))
-    past = F.struct(F.col(step).alias("s"), "x", "y", "z", "yaw", F.col("_turns").alias("t"), F.col("_moves").alias("m"), F.col("_heading").alias("h"))
-    out = out.withColumn("_past", F.collect_list(past).over(run))
-    at = lambda q: distance([F.col(c) for c in ("x", "y", "z")], [q["x"], q["y"], q["z"]])
-    s = F.col(step)
+    out = _first_near(out, keys, step, "_revisit")
+    out = _first_near(out, [*keys, "_turned"], step, "_looped", LOOP_YAW)
+    s, old, start = F.col(step), F.col("_revisit"), F.col("_looped")
     # A pose older than n steps, near the current one, with a translation since.
-    revisit = F.exists("_past", lambda q: (q["s"] <= s - n) & (F.col("_moves") > q["m"]) & (at(q) < REVISIT_M)) & (s > n)
-    loop = F.exists(
-        "_past",
-        lambda q: (q["s"] <= s - LOOP_STEPS)
-        & (F.col("_turns") - q["t"] == s - q["s"])
-        & (F.col("_heading") - q["h"] >= LOOP_TURN)
-        & (at(q) < LOOP_M)
-        & (F.abs(wrap_degrees(F.col("yaw") - q["yaw"])) < LOOP_YAW),
-    )
-    out = out.withColumns({"revisiting": revisit, "_loop": loop})
+    revisit = (old["s"] <= s - n) & (F.col("_moves") > old["m"]) & (s > n)
+    loop = (start["s"] <= s - LOOP_STEPS) & (F.col("_heading") - start["h"] >= LOOP_TURN)
+    out = out.withColumns({"revisiting": F.coalesce(revisit, F.lit(False)), "_loop": F.coalesce(loop, F.lit(False))})
     recent = F.col("_recent")
     motion = (
         F.when(s == 0, "not_started")

@@ -68,3 +68,36 @@ def test_states(spark):
     got = {(r["episode"], r["step"]): (r["motion_state"], r["turn_state"]) for r in states(df, ["episode"], "step").collect()}
     assert got == expected
     assert got[2, 12][1] == "full_rotation_loop" and got[1, 4][1] == "oscillating" and got[4, 2][0] == "stagnant"
+
+
+def test_states_of_long_episodes(spark, tmp_path):
+    """The registered query has every event, also of users with over 100, and the states of a plain walk."""
+    from tessera.plans.registry import QUERIES
+
+    rnd = random.Random(11)
+    acts = {"view": LEFT, "click": RIGHT, "purchase": FORWARD, "signup": "ascend 3m", "error": "stop"}
+    kinds = {1: [rnd.choice(["view", "click", "view", "purchase"]) for _ in range(260)], 2: ["view"] * 150, None: [rnd.choice(list(acts)) for _ in range(130)]}
+    rows = [(u, i, i, k) for u, ks in kinds.items() for i, k in enumerate(ks)]
+    spark.createDataFrame(rows, "user_id long, event_id long, t long, event_type string").selectExpr("user_id", "event_id", "timestamp_seconds(t) AS ts", "event_type").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["user_id"], r["step"]): (r["motion_state"], r["turn_state"]) for r in QUERIES["memory_states"](spark, str(tmp_path)).collect()}
+    expected = {}
+    for u, ks in kinds.items():
+        x = yaw = 0.0
+        poses = []
+        for k in ks:
+            x, yaw = x + 3.0 * (k == "purchase"), yaw + 30.0 * ((k == "view") - (k == "click"))
+            poses.append((x, 0.0, 0.0, _wrap(yaw)))
+        actions = [acts[k] for k in ks[1:]]
+        for s in range(len(ks)):
+            expected[u, s] = plain(poses[: s + 1], actions[:s])
+    assert got == expected and ("full_rotation_loop" in {v[1] for v in got.values()})
+
+
+def test_revisits_in_long_walks(spark):
+    rnd = random.Random(4)
+    actions = [rnd.choice([LEFT, RIGHT, FORWARD, LEFT]) for _ in range(250)]
+    poses = walk(actions)
+    rows = [(s, actions[s - 1] if s else None, *p) for s, p in enumerate(poses)]
+    df = spark.createDataFrame(rows, "step long, action string, x double, y double, z double, yaw double").selectExpr("1 AS e", "*")
+    got = {r["step"]: (r["motion_state"], r["turn_state"]) for r in states(df, ["e"], "step").collect()}
+    assert got == {s: plain(poses[: s + 1], actions[:s]) for s in range(len(poses))} and any(v[0] == "revisiting" for v in got.values())
