@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
@@ -80,34 +81,38 @@ def override(rows: DataFrame, manual: DataFrame, key: str, fields: Sequence[str]
 
 
 def nearest_point(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, axes: Sequence[str], size: float, keys: Sequence[str] = ()) -> DataFrame:
-    """query_id, point_id, distance of the nearest point (of equals the smallest id), by grid cells of a size, in growing rings.
+    """query_id, point_id, distance of the nearest point (of equals the smallest id), by grid cells of a size and its doubles.
 
-    A round joins each query with the cells up to r away and ends the queries
-    whose best distance is at most r * size, since nearer ones cannot lie
-    further out; the next round takes the others with a doubled r. Points are
+    A query's level is the first at which its cell or a neighbouring one has a
+    point. That point is nearer than 2 * sqrt(axes) cells of the level, so the
+    nearest one lies in the neighbouring cells of the level whose cells are
+    that wide. At the last level all queries and points are neighbours, so each
+    query with any point under its keys has a row, however far away. Points are
     reduced to one a place first, so a hot place is one row.
     """
-    place = [*keys, *axes]
-    points = points.groupBy(*place).agg(F.min(point_id).alias(point_id))
-    cells = [F.floor(F.col(c) / size).cast("long") for c in axes]
-    stored = points.select(*keys, *(c.alias(f"_c{k}") for k, c in enumerate(cells)), point_id, *(F.col(c).alias(f"_p{k}") for k, c in enumerate(axes)))
-    open_, done, r = queries.select(*keys, query_id, *axes), None, 1
-    span = points.agg(*(F.max(c).alias(f"h{k}") for k, c in enumerate(axes)), *(F.min(c).alias(f"l{k}") for k, c in enumerate(axes))).first()
+    points = points.groupBy(*keys, *axes).agg(F.min(point_id).alias(point_id))
+    both = points.select(*axes).unionByName(queries.select(*axes))
+    span = both.agg(*(F.max(c).alias(f"h{k}") for k, c in enumerate(axes)), *(F.min(c).alias(f"l{k}") for k, c in enumerate(axes))).first()
     wide = max([float(span[f"h{k}"] or 0) - float(span[f"l{k}"] or 0) for k in range(len(axes))], default=0.0)
-    while True:
-        near = open_
-        for k, c in enumerate(cells):
-            near = near.withColumn(f"_c{k}", F.explode(F.sequence(c - r, c + r)))
-        gap = distance([F.col(c) for c in axes], [F.col(f"_p{k}") for k in range(len(axes))])
-        best = near.join(stored, [*keys, *(f"_c{k}" for k in range(len(axes)))]).groupBy(*keys, query_id).agg(F.min(F.struct(gap.alias("distance"), F.col(point_id))).alias("_b"))
-        best = best.select(*keys, query_id, F.col(f"_b.{point_id}").alias(point_id), F.col("_b.distance").alias("distance"))
-        last = r * size > wide or r >= 64
-        found = best if last else best.filter(F.col("distance") <= r * size)
-        done = found if done is None else done.unionByName(found)
-        if last:
-            return done
-        open_ = open_.join(found.select(*keys, query_id), [*keys, query_id], "left_anti")
-        r *= 2
+    top = max(0, math.ceil(math.log2(wide / size)) + 1) if wide > size else 0
+    more = math.ceil(math.log2(2 * math.sqrt(len(axes))))
+    names = [f"_c{k}" for k in range(len(axes))]
+    cells = [F.floor(F.col(c) / (size * F.pow(F.lit(2.0), "_level"))).cast("long") for c in axes]
+    levels = F.explode(F.sequence(F.lit(0), F.lit(top)))
+
+    def around(df: DataFrame) -> DataFrame:
+        for name, c in zip(names, cells, strict=True):
+            df = df.withColumn(name, F.explode(F.sequence(c - 1, c + 1)))
+        return df
+
+    place = [F.col(c).alias(f"_p{k}") for k, c in enumerate(axes)]
+    stored = points.withColumn("_level", levels).select(*keys, "_level", *(c.alias(n) for n, c in zip(names, cells, strict=True)), point_id, *place)
+    asked = queries.select(*keys, query_id, *axes)
+    full = stored.select(*keys, "_level", *names).distinct()
+    level = around(asked.withColumn("_level", levels)).join(full, [*keys, "_level", *names]).groupBy(*keys, query_id, *axes).agg(F.least(F.min("_level") + more, F.lit(top)).alias("_level"))
+    gap = distance([F.col(c) for c in axes], [F.col(f"_p{k}") for k in range(len(axes))])
+    best = around(level).join(stored, [*keys, "_level", *names]).groupBy(*keys, query_id).agg(F.min(F.struct(gap.alias("distance"), F.col(point_id))).alias("_b"))
+    return best.select(*keys, query_id, F.col(f"_b.{point_id}").alias(point_id), F.col("_b.distance").alias("distance"))
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], tolerance: Column | None = None) -> DataFrame:

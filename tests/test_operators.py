@@ -235,3 +235,15 @@ def test_greedy_choices(spark):
     assert some == sorted(some) and len(some) == 3
     near = {r["k"]: r["typicality"] for r in sampling.typicality(df, F.col("v"), ["size"]).collect()}
     assert near[1] == 1.0 and near[4] == 1.0 and near[0] < 1
+
+
+def test_nearest_points_far_away(spark):
+    rnd = random.Random(8)
+    p = [(i, "a", rnd.gauss(0, 1), rnd.gauss(0, 1), 0.0) for i in range(40)] + [(50, "b", 7.0, 7.0, 7.0), (51, "b", 7.0, 7.0, 7.0), (60, "a", 5000.0, 0.0, 1.0), (61, "a", 4990.0, 99.0, 1.0)]
+    q = [(i, "a", rnd.uniform(-9000, 9000), rnd.uniform(-90, 90), rnd.uniform(-2, 2)) for i in range(40)] + [(70, "b", 1e6, 0.0, 0.0), (71, "b", 7.0, 7.0, 7.3), (72, "c", 0.0, 0.0, 0.0)]
+    cols = "k string, x double, y double, z double"
+    out = joins.nearest_point(spark.createDataFrame(q, f"q int, {cols}"), spark.createDataFrame(p, f"p int, {cols}"), "q", "p", ["x", "y", "z"], 0.05, ["k"]).collect()
+    best = {a: min((math.dist(s, t), b) for b, m, *t in p if m == k) for a, k, *s in q if k != "c"}
+    assert {r["q"]: r["p"] for r in out} == {a: b for a, (_, b) in best.items()}
+    one = joins.nearest_point(spark.createDataFrame([(1, 3.0)], "q int, x double"), spark.createDataFrame([(2, 1.0)], "p int, x double"), "q", "p", ["x"], 0.05).collect()
+    assert [(r["q"], r["p"], r["distance"]) for r in one] == [(1, 2, 2.0)]
