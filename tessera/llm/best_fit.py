@@ -89,7 +89,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_words: int = SHARD_WOR
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n_words") - 1) / capacity).cast("int")))))
     pieces = pieces.withColumn("n_words", F.least(F.lit(capacity), F.col("n_words") - F.col("piece") * capacity))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).cast("int"))
-    dealt = pieces.filter("n_words > 0").repartition(int(shards), "shard").sortWithinPartitions("shard", F.desc("n_words"), "doc_id", "piece", "source", "cluster")
+    dealt = pieces.filter("n_words > 0").repartitionById(int(shards), "shard").sortWithinPartitions("shard", F.desc("n_words"), "doc_id", "piece", "source", "cluster")
 
     def packed(shard: int, some: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(some)

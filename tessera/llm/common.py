@@ -27,12 +27,18 @@ BATCH_ROWS, BATCH_BYTES = 1_000, "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the registered queries; their texts go to Python in batches of BATCH_ROWS and BATCH_BYTES."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """A table of the registered queries."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets batches of BATCH_ROWS and BATCH_BYTES for a session that does not set its own; the registered queries call it, operators never do."""
+    own = spark.conf.getAll
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if (name := f"spark.sql.execution.arrow.{key}") not in own:
+            spark.conf.set(name, value)
+
+
 @lru_cache(maxsize=1)
 def _own_dir() -> str:
     path = tempfile.mkdtemp(prefix="tessera-")
@@ -41,19 +47,19 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; only where that is unset, as in tests on one machine, a folder of this process."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; where that is unset, a folder of this process on a local master, else an error."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own_dir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: cuts lineage, survives lost executors, keeps columns prunable.
-
-    Not more files than four a core: intermediate tables are small beside their
-    inputs, and each file costs the store some calls.
-    """
+    """Writes ``df`` once to the shared folder, as it is partitioned, and reads it back: cuts lineage, survives lost executors, keeps columns prunable."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    df.coalesce(4 * spark.sparkContext.defaultParallelism).write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -86,20 +86,18 @@ class Learner:
         return Weights(self._bits, kept.astype(np.int32), self._weights(self._z[kept], self._n[kept]).astype(np.float32), self._bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = 20, max_rows: int = 50_000, seen: int = 40_000) -> Weights:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = 20, max_rows: int = 50_000, epochs: int = 2) -> Weights:
     """Fits on at most ``max_rows`` rows of ``labels`` for which ``usable`` (over id_col) holds.
 
     The ids of the sample are broadcast, and its features are made where the
-    texts are. One task then reads them in the order of the ids' hashes, one to
-    three times, so that it sees about ``seen`` examples, and holds no more than a
-    batch of them and two numbers a feature.
+    texts are. One task then reads them in the order of the ids' hashes, ``epochs``
+    times, and holds no more than a batch of them and two numbers a feature.
     """
     chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1)).withColumn(id_col, F.col("doc_id")).filter(usable)
     chosen = chosen.withColumn("turn", F.xxhash64("doc_id")).select("doc_id", "label", "turn").orderBy("turn", "doc_id", "label").limit(max_rows)
-    rate, n = chosen.agg(F.avg("label"), F.count("*")).first()
+    rate = chosen.agg(F.avg("label")).first()[0]
     if rate is None:
         return Learner(bits).weights()
-    epochs = min(3, max(1, round(seen / n)))
     sample = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

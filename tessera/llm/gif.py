@@ -9,8 +9,10 @@ Code streams are handled a run between clear codes at a time: the width of a
 code depends on its place in the run alone, so codes are packed and cut by array
 operations, and only the table itself is walked code by code.
 
-Defined results: null and empty texts are one row of spaces; null media have no
-frames; data that are not a GIF raise ValueError; further columns are kept.
+Defined results: null and empty texts are one row of spaces; null media and data
+that are not a GIF have null frames and summaries (``read`` alone raises
+ValueError); a file that is cut off has the frames before that place; further
+columns are kept, one of the made column's name gives way to it.
 """
 
 from __future__ import annotations
@@ -147,10 +149,21 @@ def write(samples: bytes) -> bytes:
     return b"".join([*out, b"\x3b"])
 
 
+def _is_gif(data: bytes | None) -> bool:
+    return data is not None and data[:6] in (b"GIF87a", b"GIF89a")
+
+
 def read(data: bytes) -> Iterator[Frame]:
-    """The frames of a GIF, each with the canvas as shown after it is drawn."""
-    if data[:6] not in (b"GIF87a", b"GIF89a"):
+    """The frames of a GIF, each with the canvas as shown after it is drawn; of one that is cut off or goes wrong within, those before that place."""
+    if not _is_gif(data):
         raise ValueError("not a GIF")
+    try:
+        yield from _frames(data)
+    except (IndexError, ValueError, struct.error):
+        return
+
+
+def _frames(data: bytes) -> Iterator[Frame]:
     wide, high, flags, _background, _ = struct.unpack_from("<HHBBB", data, 6)
     at, shared = 13, None
     if flags & 0x80:
@@ -161,6 +174,8 @@ def read(data: bytes) -> Iterator[Frame]:
     def blocks(at: int) -> tuple[bytes, int]:
         parts = []
         while data[at]:
+            if at + 1 + data[at] > len(data):
+                raise IndexError("a block that the data end within")
             parts.append(data[at + 1 : at + 1 + data[at]])
             at += 1 + data[at]
         return b"".join(parts), at + 1
@@ -242,9 +257,27 @@ _FRAMES = pa.list_(pa.struct([("start_ms", pa.int32()), ("delay_ms", pa.int32())
 def frames(media: DataFrame, media_col: str = "media", out_col: str = "frames") -> DataFrame:
     """Adds ``out_col``: each GIF's timed frames with their samples and the colour histogram of the canvas shown."""
 
-    def each(data: bytes | None) -> list[dict]:
-        rows = read(data) if data is not None else ()
-        return [{"start_ms": f.start_ms, "delay_ms": f.delay_ms, "width": f.box[2], "height": f.box[3], "samples": f.samples, "histogram": histogram(f.canvas)} for f in rows]
+    def each(data: bytes | None) -> list[dict] | None:
+        if not _is_gif(data):
+            return None
+        return [{"start_ms": f.start_ms, "delay_ms": f.delay_ms, "width": f.box[2], "height": f.box[3], "samples": f.samples, "histogram": histogram(f.canvas)} for f in read(data)]
 
     kind = "array<struct<start_ms:int,delay_ms:int,width:int,height:int,samples:binary,histogram:array<int>>>"
     return _with(media, media_col, out_col, kind, _FRAMES, each)
+
+
+def summaries(media: DataFrame, media_col: str = "media", out_col: str = "summary") -> DataFrame:
+    """Adds ``out_col``: each GIF's samples in one value, its number of frames, duration and colour histogram over all frames; null of a null GIF."""
+
+    def each(data: bytes | None) -> dict | None:
+        if not _is_gif(data):
+            return None
+        parts, duration, colours = [], 0, np.zeros(3 * _BINS, np.int64)
+        for f in read(data):
+            parts.append(f.samples)
+            duration += f.delay_ms
+            colours += histogram(f.canvas)
+        return {"payload": b"".join(parts), "n_frames": len(parts), "duration_ms": duration, "histogram": colours.tolist()}
+
+    arrow = pa.struct([("payload", pa.binary()), ("n_frames", pa.int32()), ("duration_ms", pa.int64()), ("histogram", pa.list_(pa.int64()))])
+    return _with(media, media_col, out_col, "struct<payload:binary,n_frames:int,duration_ms:long,histogram:array<long>>", arrow, each)

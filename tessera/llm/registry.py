@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import best_fit, bradley_terry, byte_bpe, ftrl, gif, graph_ann, parity_join, secrets, surrogates, wrapper
-from tessera.llm.common import crc_part, table
+from tessera.llm import common
+from tessera.llm.common import crc_part
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.small_batches(spark)
+    return common.table(spark, sf_dir, name)
 
 
 def _judged(scored: DataFrame, held_out, cut: float) -> DataFrame:
@@ -63,10 +69,8 @@ def op8_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
-    shown = gif.frames(gif.store(docs).select("doc_id", "n_bytes", "media"))
-    back = shown.withColumn("payload", F.aggregate("frames.samples", F.lit(b""), lambda a, x: F.concat(a, x)))
-    colours = F.aggregate("frames.histogram", F.array_repeat(F.lit(0), 24), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
-    feature = F.concat_ws(";", F.size("frames").cast("string"), F.aggregate("frames.delay_ms", F.lit(0), lambda a, x: a + x).cast("string"), F.array_join(colours.cast("array<string>"), ","))
+    back = gif.summaries(gif.store(docs).select("doc_id", "n_bytes", "media")).select("doc_id", "n_bytes", "media", "summary.*")
+    feature = F.concat_ws(";", F.col("n_frames").cast("string"), F.col("duration_ms").cast("string"), F.array_join(F.col("histogram").cast("array<string>"), ","))
     return back.select(
         "doc_id",
         "n_bytes",

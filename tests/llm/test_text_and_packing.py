@@ -185,6 +185,43 @@ def test_neighbours_recall(spark):
     assert all(abs(r["score"] - np.dot(x[r["query_id"]], x[r["vec_id"]])) < 1e-12 for r in found)
 
 
+@pytest.mark.parametrize("norms", [(1e-3, 1e6), (1.0, 1.0), (1e-140, 1e-135), (1e140, 1e143)])
+def test_neighbours_of_unequal_norms(spark, norms):
+    """Recall holds with norms over nine powers of ten, and in sets far from zero; many shards, so that pivots and bounds are used."""
+    rnd = np.random.default_rng(1)
+    x = rnd.normal(size=(2000, 12)) + 3 * rnd.normal(size=(8, 12))[rnd.integers(0, 8, 2000)]
+    x *= np.exp(rnd.uniform(*np.log(norms), 2000))[:, None] / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = graph_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=20, shard_rows=150).collect()
+    assert _recall(rows, found, 20) >= 0.95
+
+
+def test_neighbours_with_one_long_vector_and_tight_groups(spark):
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[700] *= 1e4
+    x[1000:] = x[1000] * 5 + 1e-6 * rnd.normal(size=(500, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, [1.0, 2.0]), (5020, [9.0] * 17)]
+    found = graph_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=20, shard_rows=400).collect()
+    assert _recall(rows[:1500], found, 20) >= 0.95
+    assert not {r["query_id"] for r in found} & {5000, 5020}
+
+
+def test_shard_bounds_hold(spark):
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(800, 6)) * np.exp(rnd.normal(size=(800, 1)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    graphs = graph_ann.index(df, shard_rows=60)
+    shards = graph_ann.Shards(graphs.orderBy("shard").toArrow())
+    q = rnd.normal(size=(50, 6))
+    bound = shards.bound(q)
+    for k, row in enumerate(graphs.orderBy("shard").collect()):
+        inside = np.frombuffer(row["vectors"], np.float64).reshape(-1, 6)
+        assert ((q @ inside.T).max(axis=1) <= bound[:, k]).all()
+    assert sum(row["size"] for row in graphs.collect()) == 800
+
+
 def test_neighbours_ties_and_odd_rows(spark):
     same = [1.0, 2.0, 3.0]
     rows = [(i, same) for i in range(60)] + [(100, None), (101, []), (102, [0.0, 0.0, 0.0]), (103, [1.0, None, 2.0]), (104, [float("nan"), 1.0, 1.0]), (105, [float("inf"), 1.0, 1.0]), (None, same), (120, [0.5, 0.0, 0.0])]
