@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import best_fit, bradley_terry, ftrl, parity_join, surrogates
-from tessera.llm.common import crc_part, materialize, table
+from tessera.llm.common import crc_part, materialize, small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The key of the surrogates; a deployment sets its own.
@@ -52,6 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
