@@ -1,25 +1,35 @@
 """PII surrogates: keyed, type-consistent replacements that keep gender, script and format.
 
 E-mail addresses, telephone numbers, payment cards, IPv4 addresses, US social
-security numbers, IBANs and listed given names with the surname that follows
-are found by patterns and replaced. A surrogate is the image of the normalised
-entity under a keyed permutation of all values of its form: the place of the
-entity in that set is enciphered (a balanced Feistel network over the next
-power of four, walked until it is inside), moved on by one, and deciphered. So
-within a form no two entities share a surrogate, none keeps its own, and the
-same entity gets the same one in every document, without a table of entities
-or a shuffle. Digits stay digits, letters stay vowels or consonants of their
-script and case, separators stay; a card keeps passing or failing its check
-digit, an IBAN stays valid; given names stay in the list of their gender and
-script.
+security numbers and IBANs are found by patterns. Persons are found in two
+passes over a document: names are learnt from listed given names with what
+follows them, titles, introductions and salutations, and patronymics; then every
+word of the document that is such a name, in any case or with a genitive s, is a
+mention. A surrogate is the image of the normalised entity under a keyed
+permutation of all values of its form: the place of the entity in that set is
+enciphered (a balanced Feistel network over the next power of four, walked until
+it is inside), moved on by one, and deciphered. So within a form no two entities
+share a surrogate, none keeps its own, and the same entity gets the same one in
+every document, without a table of entities or a shuffle. Digits stay digits,
+letters stay vowels or consonants of their script and case, separators stay; a
+card keeps passing or failing its check digit, an IBAN stays valid; the local
+part and the domain of an address move apart, so that addresses of one domain
+still share one. Listed given names stay in the list of their gender and script.
+Other names keep their length, doubled letters, kinds of sounds and the ending
+that tells script and gender (Petrova and Petrov share a stem, before and after);
+a permutation is walked on where its image would read as another form.
 
 Before anything is replaced, ``collisions`` checks this on the corpus at hand:
 surrogates that two entities of a kind share, from distinct pairs of surrogates
 and keyed fingerprints of entities, never texts. One found is an error.
+``confusions`` counts surrogates that are other entities of the corpus.
 
 Defined results: null texts stay null, empty ones empty; without entities a
 text is unchanged; overlapping finds give way to the leftmost, then the longest;
-further columns are kept as they are.
+further columns are kept as they are, one of the made column's name gives way to
+it; repeated rows stay; an empty table gives an empty table. A name that nothing
+in its document marks as one is not found, nor are inflected forms but the
+genitive s.
 """
 
 from __future__ import annotations
@@ -33,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, with_field
+from tessera.llm.common import materialize, slices, with_field
 
 # Given names by script and gender.
 NAMES = {
@@ -44,7 +54,18 @@ NAMES = {
     ("greek", "f"): "Αικατερίνη Βασιλική Ελένη Μαρία Σοφία".split(),
     ("greek", "m"): "Γεώργιος Δημήτριος Ιωάννης Κωνσταντίνος Νικόλαος".split(),
 }
-_LISTED = {name: (group, k) for group, names in NAMES.items() for k, name in enumerate(names)}
+_LISTED = {name.lower(): (group, k) for group, names in NAMES.items() for k, name in enumerate(names)}
+_GIVEN = frozenset(name for names in NAMES.values() for name in names)
+# What stands before a name. After a title the last word is a surname, after the others the first is a given name.
+TITLES = frozenset("Mr Mrs Ms Miss Mister Dr Prof Professor Herr Herrn Frau Monsieur Madame Mme Mlle Señor Señora Sr Sra Господин Госпожа господин госпожа Κύριος Κυρία".split())
+GREETINGS = frozenset("Dear Liebe Lieber Cher Chère Querido Querida Дорогой Дорогая".split())
+_LABEL = re.compile(r"(?<!\w)(?:[Nn]ame|[Cc]ontact|[Aa]uthor|[Nn]om|[Nn]ombre|[Ии]мя)\s?:\s?$|(?:[Mm]y name is|[Ii]ch heiße|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]e llamo|[Mm]i nombre es|[Мм]еня зовут) $")
+_LABEL_WORDS = frozenset("name Name contact Contact author Author nom Nom nombre Nombre имя Имя heiße appelle llamo зовут".split())
+_NO_NAME = frozenset("Sir Madam Sirs All Team Customer Friend Friends Colleagues Reader Readers Herr Frau Dr Prof".split())
+# Endings of names that are kept, the longer ones first tried.
+ENDINGS = tuple(sorted("mann berg stein son sen ski ska sky skaya ova ov eva ev ina in ez es er ini elli etti ard ман берг ова ева ёва ина ына ская цкая ов ев ёв ин ын ский цкий енко ович евич овна евна πουλος πούλου ίδης άκης ης ου ας".split(), key=len, reverse=True))
+# Letters of a kind of sound; others move as in any text.
+_SOUNDS = {c: letters for letters in ("aeiouy", "lmnr", "bdgkpt", "fsvwz", "c", "h", "jqx", "аеиоу", "эыюя", "лмнр", "бвгдзкпст", "жфхцчшщ", "αεηιουω", "βγδζθκ", "λμνρ", "πστφχ", "äöü", "áéíóú", "àèìòù", "âêîôû") for c in letters}
 # Letters that stand for each other, by script.
 _LETTERS = ("aeiouy", "bcdfghjklmnpqrstvwxz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "äöü", "áéíóú", "àèìòù", "âêîôû")
 _CLASS = {c: letters for letters in (*_LETTERS, "0123456789") for c in letters}
@@ -71,7 +92,10 @@ _PATTERNS = (
     ("phone", re.compile(r"(?<![\w+(-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])"), None),
 )
 _WORD = re.compile(r"[^\W\d_]+")
-_SURNAME = re.compile(r"(?: [^\W\d_]\.)? ([^\W\d_]{2,})")
+#: A middle initial, particles, and a surname of one or two parts, as what follows a given name.
+_SURNAME = re.compile(r"(?: [^\W\d_]\.)?(?: (?:von|van|de|der|den|del|della|di|da|dos|la|le|du|ten|ter|zu|zum|al|bin)){0,3} ([^\W\d_]{2,})(?:-([^\W\d_]{2,}))?")
+_CALLED = re.compile(r"\.? ?([^\W\d_]{2,})(?: ([^\W\d_]{2,}))?(?: ([^\W\d_]{2,}))?")
+_PATRONYMIC = re.compile(r"([А-ЯЁ][а-яё]+) ([А-ЯЁ][а-яё]+(?:вич|вна))(?: ([А-ЯЁ][а-яё]+))?")
 _DIGIT = re.compile(r"\d")
 
 
@@ -94,6 +118,47 @@ def _holds(kind: str, value: str) -> bool:
     return kind != "iban" or _iban(value.replace(" ", ""))
 
 
+def _names(text: str, words: set[str]) -> tuple[set[str], set[str]]:
+    """The given names and surnames, in lower case, that a text shows to be names."""
+    given, surnames = set(), set()
+
+    def add(names: list[str | None], first_is_given: bool) -> None:
+        kept = []
+        for name in names:
+            if not name or not name[0].isupper() or name in _NO_NAME or name in TITLES:
+                break
+            kept.append(name.lower())
+        if kept and (first_is_given or len(kept) > 1 or kept[0] in _LISTED):
+            given.add(kept.pop(0))
+        surnames.update(kept)
+
+    listed, titles, greetings = words & _GIVEN, words & TITLES, words & GREETINGS
+    shouted = {w for w in words if w.isupper() and len(w) > 2 and w.lower() in _LISTED}
+    if listed or shouted or titles or greetings or not words.isdisjoint(_LABEL_WORDS):
+        for m in _WORD.finditer(text):
+            word = m[0]
+            if word in listed or word in shouted:
+                given.add(word.lower())
+                after = _SURNAME.match(text, m.end())
+                for name in after.groups() if after else ():
+                    if name and name[0].isupper() and name not in _GIVEN:
+                        surnames.add(name.lower())
+            elif word in titles:
+                if called := _CALLED.match(text, m.end()):
+                    add(list(called.groups()), False)
+            elif word in greetings:
+                if (called := _CALLED.match(text, m.end())) and text[called.end() : called.end() + 1] in (",", "!"):
+                    add(list(called.groups()), True)
+            elif word[0].isupper() and _LABEL.search(text, max(0, m.start() - 20), m.start()) and (called := _CALLED.match(text, m.start())):
+                if called[2] and called[2][0].isupper() or text[m.start() - 2] != ":":
+                    add(list(called.groups()), True)
+    if any(w.endswith(("вич", "вна")) for w in words):
+        for m in _PATRONYMIC.finditer(text):
+            given.add(m[1].lower())
+            surnames.update(name.lower() for name in m.groups()[1:] if name)
+    return given, surnames - given
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """Entities (kind, start, end) from left to right, without overlap."""
     found = []
@@ -103,13 +168,15 @@ def find(text: str) -> list[tuple[str, int, int]]:
         for kind, pattern, needs in _PATTERNS[1:]:
             if needs is None or needs in text:
                 found += [(kind, *m.span()) for m in pattern.finditer(text) if _holds(kind, m[0])]
-    if not _LISTED.keys().isdisjoint(_WORD.findall(text)):
+    words = set(_WORD.findall(text))
+    given, surnames = _names(text, words)
+    if given or surnames:
         for m in _WORD.finditer(text):
-            if m[0] in _LISTED:
-                found.append(("given", *m.span()))
-                after = _SURNAME.match(text, m.end())
-                if after and after[1][0].isupper() and after[1] not in _LISTED:
-                    found.append(("surname", *after.span(1)))
+            for a, b in ((m.start(), m.end()), (m.start(), m.end() - 1)):
+                word = text[a:b].lower()
+                if (word in given or word in surnames) and (b == m.end() or text[b] == "s"):
+                    found.append(("given" if word in given else "surname", a, b))
+                    break
     out, end = [], 0
     for kind, a, b in sorted(found, key=lambda s: (s[1], -s[2])):
         if a >= end:
@@ -172,6 +239,44 @@ def _relettered(value: str, kind: str, cipher: Cipher) -> str:
     return "".join(out)
 
 
+def _split(kind: str, name: str) -> tuple[str, str]:
+    """Stem and kept ending of a name in lower case: of a given name a vowel that tells its gender."""
+    for e in ENDINGS if kind == "surname" else "aeoаяηα":
+        if name.endswith(e) and len(name) - len(e) >= 2:
+            return name[: -len(e)], e
+    return name, ""
+
+
+def _form(stem: str) -> tuple[str, ...]:
+    """For each letter the letters that it can become, "=" for one that repeats the one before."""
+    return tuple("=" if k and c == stem[k - 1] else _SOUNDS.get(c) or _class_of(c) or c for k, c in enumerate(stem))
+
+
+def _renamed(value: str, kind: str, cipher: Cipher) -> str:
+    """A name of the same form and ending; letters move within their kind of sound."""
+    name = value.lower()
+    stem, ending = _split(kind, name)
+    form, size, new = _form(stem), 1, stem
+    for letters in form:
+        size *= len(letters)
+    tweak = f"{kind}:{hashlib.blake2b('|'.join(form).encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
+    while size > 1:
+        number, out = 0, []
+        for c, letters in zip(new, form, strict=True):
+            number = number * len(letters) + (letters.index(c) if len(letters) > 1 else 0)
+        number = cipher.move(number, size, tweak)
+        for letters in reversed(form):
+            number, at = divmod(number, len(letters))
+            out.append(letters[at])
+        new = ""
+        for c in reversed(out):
+            new += new[-1] if c == "=" else c
+        if new == stem or _form(new) == form and _split(kind, new + ending) == (new, ending) and new + ending not in _LISTED:
+            break
+    new += ending
+    return "".join(n.upper() if v.isupper() else n for n, v in zip(new, value, strict=True)) if len(new) == len(value) else new
+
+
 def _redigited(value: str, digits: str, start: int = 0) -> str:
     """``value`` with its digits from the start-th on replaced in turn, each in its own script."""
     new, seen, out = iter(digits), 0, []
@@ -193,9 +298,12 @@ def surrogate(kind: str, value: str, cipher: Cipher) -> str:
     """The replacement of an entity; equal normalised entities have equal ones, others of the same form never."""
     digits = "".join(str(int(c)) for c in value if c.isdecimal())
     n = len(digits)
-    if kind == "given":
-        group, k = _LISTED[value]
-        return NAMES[group][cipher.move(k, len(NAMES[group]), "|".join(group))]
+    if kind == "given" and value.lower() in _LISTED:
+        group, k = _LISTED[value.lower()]
+        name = NAMES[group][cipher.move(k, len(NAMES[group]), "|".join(group))]
+        return name.upper() if value.isupper() else name.lower() if value.islower() else name
+    if kind in ("given", "surname"):
+        return _renamed(value, kind, cipher)
     if kind == "ipv4":
         a, b, c, d = map(int, value.split("."))
         moved = cipher.move(a << 24 | b << 16 | c << 8 | d, 1 << 32, kind)
@@ -226,7 +334,7 @@ def surrogate(kind: str, value: str, cipher: Cipher) -> str:
     if kind == "email":
         name, _, domain = value.rpartition("@")
         host, _, top = domain.rpartition(".")
-        return f"{_relettered(f'{name}@{host}', kind, cipher)}.{top}"
+        return f"{_relettered(name, 'local', cipher)}@{_relettered(host, 'domain', cipher)}.{top}"
     return _relettered(value, kind, cipher)
 
 
@@ -273,3 +381,18 @@ def collisions(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame
 
     pairs = docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "kind string, surrogate string, entity binary").distinct()
     return pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).filter("entities > 1")
+
+
+def confusions(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+    """(kind, entities): how many entities of a kind have a surrogate that is another entity of the corpus; such a text still names nobody of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cipher, put = Cipher(key), _remembering(key)
+        for part in slices(batches, text_col):
+            rows = {(kind, cipher.fingerprint(normal(kind, t[a:b])), cipher.fingerprint(normal(kind, put(kind, t[a:b])))) for t in part.column(text_col).to_pylist() if t for kind, a, b in find(t)}
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["kind", "entity", "surrogate"])
+
+    pairs = materialize(docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "kind string, entity binary, surrogate binary").distinct())
+    real = pairs.select("kind", F.col("entity").alias("surrogate")).distinct()
+    return pairs.join(real, ["kind", "surrogate"], "left_semi").groupBy("kind").agg(F.count("*").alias("entities"))

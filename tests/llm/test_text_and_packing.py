@@ -66,6 +66,64 @@ def test_other_scripts_and_odd_characters():
     assert surrogates.normal("ipv4", "01.2.3.4") == "1.2.3.4"
 
 
+def _words(text):
+    return re.findall(r"[^\W\d_]+", text)
+
+
+def test_every_mention_goes_and_equal_names_stay_equal():
+    """Word by word: no mention of a found name stays at its place, and a name has one surrogate in all documents, whatever the case."""
+    rnd = random.Random(5)
+    people = [("Anna", "Müller"), ("Karl", "Schwarzenberg"), ("Katarina", "Novak"), ("Zdenka", "Veselova"), ("Иван", "Петров"), ("Ольга", "Петрова"), ("Luis", "García"), ("Pierre", "Dubois")]
+    frames = ["Name: {g} {s}. Then {s} spoke, {S} wrote, {g} left; {s}'s hat.", "Dr. {g} {s} and {s}.", "my name is {g} {s}; {G} {S}!", "Dear {g} {s}, hello {g}."]
+    made = {}
+    for _ in range(200):
+        g, s = rnd.choice(people)
+        text = " ".join(rnd.sample(frames, 2)).format(g=g, s=s, G=g.upper(), S=s.upper())
+        new, _ = surrogates.replace(text, KEY)
+        for before, after in zip(_words(text), _words(new), strict=True):
+            if before.lower() in (g.lower(), s.lower()):
+                assert after.lower() != before.lower()
+                assert after.isupper() == before.isupper() and after[0].isupper() == before[0].isupper()
+                made.setdefault(before.lower(), set()).add(after.lower())
+            else:
+                assert after == before
+    assert all(len(v) == 1 for v in made.values()) and len(set.union(*made.values())) == len(made)
+    (man,), (woman,) = made["петров"], made["петрова"]
+    assert woman == man + "а"
+
+
+def test_names_of_one_form_are_permuted():
+    cipher = surrogates.Cipher(KEY)
+    rnd = random.Random(6)
+    names = {"".join(rnd.choice("abdeklmnorsüqx") for _ in range(rnd.randint(2, 6))) + rnd.choice(["", "", "er", "ova", "ov", "son"]) for _ in range(5000)}
+    for kind in ("given", "surname"):
+        new = {n: surrogates.surrogate(kind, n.title(), cipher).lower() for n in names}
+        assert len(set(new.values())) == len(names)
+        assert all(surrogates._split(kind, n)[1] == surrogates._split(kind, v)[1] and len(n) == len(v) for n, v in new.items() if n not in surrogates._LISTED)
+
+
+def test_addresses_of_a_domain_stay_together():
+    new, _ = surrogates.replace("a.b@mail.example.com c.d@mail.example.com a.b@other.example.org", KEY)
+    first, second, third = (x.split("@") for x in new.split())
+    assert first[1] == second[1] != third[1] and first[0] == third[0] != second[0]
+
+
+@pytest.mark.parametrize("text", ["Dear Sir, the Mark of the frank man", "a Professor of Law", "will jack mark the page", "contact: support desk", "Name: the rose"])
+def test_ordinary_texts_are_left_alone(text):
+    assert [f for f in surrogates.find(text) if text[f[1] : f[2]] not in ("Mark", "Law")] == []
+
+
+def test_confusions(spark):
+    rows = [(name,) for name in surrogates.NAMES["greek", "m"]]
+    out = surrogates.confusions(spark.createDataFrame(rows, "text string"), KEY).collect()
+    assert [(r["kind"], r["entities"]) for r in out] == [("given", 5)]
+
+
+def test_clashing_count_column(spark):
+    out = surrogates.pseudonymize(spark.createDataFrame([(1, "Anna", "x")], "n_entities long, text string, extra string"), KEY)
+    assert out.columns == ["text", "extra", "n_entities"] and out.first()["n_entities"] == 1
+
+
 def test_a_collision_is_an_error(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a@x.org b@x.org")], "doc_id long, text string")
     monkeypatch.setattr(surrogates, "collisions", lambda *_: spark.sql("SELECT 'email' AS kind, 'x' AS surrogate, 2 AS entities"))
