@@ -4,34 +4,45 @@ All pages of a host are parsed into DOM trees and folded into one, its wrapper:
 simple tree matching finds the largest order-preserving match of two trees, and
 what a tree has beyond it is added to the wrapper, so that every layout of the
 host is in it. Then each page is matched to the whole wrapper, and Spark counts
-the texts that each node had. A node with the same text in most of three or more
-pages is constant: template. The other nodes are slots. Pages of a host with the
-same main text, and so copies, count once. A page is matched to its host's wrapper; its nodes that
-fall on constant nodes with the same text are dropped, and so is all that the
-markup itself names as no part of the article (menus, headers, footers, asides,
-forms, scripts, styles, and elements whose class, id or role says advert,
-notice, comment and the like). Of what is left, an article or main element is
-taken where there is one, else the body; each block's text makes a line.
+for each node its texts and their length. A node with the same text in most of
+three or more pages is constant: template. The other nodes are slots, each with
+the mean length of the text that it holds outside links. Pages of a host with
+the same main text, and so copies, count once.
+
+A page is matched to its host's wrapper. Its nodes that fall on constant nodes
+with the same text are dropped. Its content is found by the slots: from the root
+down, as long as one child holds ``SHARE`` of what the slots of a node hold on
+average, and is no block of text itself. If that place lies in an article or main
+element, this is the content; else headings that stand before it count with it.
+Pages of hosts without a wrapper (fewer than three different pages, null urls)
+go by markup: an article or main element where there is one, else the body.
+
+Whatever the host, markup drops what it names as no part of an article: menus,
+headers, footers, asides, forms, scripts, styles, hidden elements, and elements
+with a class or id that is, as a whole word, one for adverts, notices, reader
+comments and the like; outside an article also those for bars, banners and
+searches. Each block's text makes a line.
 
 The trees of a host are folded in groups of about ``GROUP`` pages, dealt by the
 hash of their main text, and the groups' trees are folded ``FAN`` at a time until
 one is left. That holds shapes only, no texts. Wrappers of up to
 ``BROADCAST_BYTES`` in all, as measured, are broadcast to the
 pages; beyond that, pages meet their host's wrapper in a join by host and salt, so
-that a hot host is many groups. Pages of hosts without constant nodes, null urls among them, go by markup.
+that a hot host is many groups.
 
 Defined results: null and empty html give an empty text; unclosed, misnested
 and cut-off markup is read as far as it goes; a br is white space inside its
-block; further columns of the input are not returned.
+block; elements may nest to any depth; repeated rows stay; further columns of the
+input are not returned; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import html as references
 import json
 import re
-import sys
+from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -49,100 +60,133 @@ KEPT, KEPT_PAIRS = 4_000_000, 50_000
 SALTS = 32
 #: Up to which size of all wrappers together the pages stay where they are.
 BROADCAST_BYTES = 8 << 20
-#: Elements nested deeper than this stand beside their text in the nearest opened one; no text is lost, and their end tags close them alone.
-DEPTH = 200
 #: Cells of a table of two child lists held at a time; longer lists are halved first.
 CELLS = 2_000_000
+#: What one child must hold of the slots below a node for the content to lie in it.
+SHARE = 0.8
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style xmp iframe noembed noframes".split())
 DROPPED = frozenset("head script style noscript template nav header footer aside form iframe object svg canvas audio video button select textarea dialog menu".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+HEADINGS = frozenset("h1 h2 h3 hgroup".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOPS = frozenset("ul ol dl table tbody thead article section div body".split())
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|popup|modal|newsletter|subscribe|comments?|disqus|respond|replies|sidebar|widget|related|"
-    r"share|sharing|social|breadcrumbs?|menu|nav\w*|navbar|footer|header|masthead|toolbar|pagination|pager|login|search)(?:$|[\s_-])",
+_WHOLE = frozenset("html body article main".split())
+# Whole words of class and id: anywhere, and outside an article.
+_NEVER = re.compile(
+    r"(?<!\S)(?:ads?|advert\w*|(?:ad|ads|advert)[_-](?:\w|-)+|sponsor(?:ed|s)?|promo(?:tion)?s?|cookies?(?:[_-](?:\w|-)+)?|consent|notices?|popup|modal|newsletter(?:[_-](?:\w|-)+)?|subscribe|"
+    r"comments?|comments?[_-](?:list|section|thread|area|form|box|body)|disqus(?:[_-](?:\w|-)+)?|respond|replies|share[_-]?(?:bar|buttons?|links?)|social[_-](?:share|links?|bar|buttons?)|"
+    r"related[_-](?:posts?|articles?|links?|stories)|breadcrumbs?|pagination|pager)(?!\S)",
     re.IGNORECASE,
 )
+_OUTSIDE = re.compile(r"(?<!\S)(?:(?:main|site|page|top|left|right|side|global)[_-]?)?(?:banner|sidebar|widgets?|related|share|sharing|social|menu|nav|navbar|navigation|footer|header|masthead|toolbar|login|search)(?!\S)", re.IGNORECASE)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _SPACE = re.compile(r"\s+")
-_CUT_TAG = re.compile(r"<[A-Za-z/!?]")
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>""", re.DOTALL)
+_CUT_TAG = re.compile(r"<[A-Za-z/!?][^>]*\Z")
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_ASKED = re.compile(r"class|id|role|hidden", re.IGNORECASE)
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE) for tag in RAW}
 
 
 class Node:
-    """An element: its tag, its children in order (elements and texts), whether markup drops it."""
+    """An element: its tag, its children in order (elements and texts), whether markup drops it; what a wrapper says of it."""
 
-    __slots__ = ("children", "dropped", "kind", "tag", "template", "words")
+    __slots__ = ("children", "dropped", "kind", "mass", "own", "seen", "tag", "template", "words")
 
     def __init__(self, tag: str, dropped: bool = False):
         self.tag, self.dropped, self.children, self.template, self.words = tag, dropped, [], False, 0
+        self.own, self.seen, self.mass = 0.0, 0, None
 
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
 
     def own_text(self) -> str:
-        return _SPACE.sub(" ", " ".join(c for c in self.children if isinstance(c, str))).strip()
+        return _SPACE.sub(" ", " ".join([c for c in self.children if isinstance(c, str)])).strip()
 
-    def own_words(self) -> int:
-        """A signed 64-bit hash of the own text; 0 of none."""
-        text = self.own_text()
-        return int.from_bytes(xxhash.xxh64_digest(text.encode("utf-8", "replace")), "big", signed=True) if text else 0
 
+def _hash(text: str) -> int:
+    """A signed 64-bit hash of a text; 0 of none."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63) if text else 0
+
+
+class _Builder:
+    """The tree of a page: takes its tags and texts in their order."""
 
-class _Builder(HTMLParser):
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("#root")
-        #: Open elements as (tag, node that takes what is inside): beyond DEPTH that is the nearest opened one.
-        self.open = [("#root", self.root)]
-
-    def _close(self, tags, stops=frozenset()) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] in tags:
-                del self.open[k:]
-                return
-            if self.open[k][0] in stops:
-                return
-
-    def handle_starttag(self, tag, attrs):
+        self.open, self.inside = [self.root], Counter()
+
+    def _cut(self, k: int) -> None:
+        for node in self.open[k:]:
+            self.inside[node.tag] -= 1
+        del self.open[k:]
+
+    def close(self, tags, stops=frozenset()) -> None:
+        if any(self.inside[t] for t in tags):
+            for k in range(len(self.open) - 1, 0, -1):
+                if self.open[k].tag in tags:
+                    return self._cut(k)
+                if self.open[k].tag in stops:
+                    return None
+
+    def start(self, tag: str, attributes: str) -> None:
         if tag in CLOSES_P:
-            self._close({"p"}, _STOPS)
+            self.close(("p",), _STOPS)
         if tag in _CLOSED_BY:
-            self._close(_CLOSED_BY[tag], _STOPS)
-        a = dict(attrs)
-        named = " ".join(filter(None, (a.get("class"), a.get("id"))))
-        part = tag in ("html", "body", "article", "main", "#root")
-        dropped = tag in DROPPED or (not part and bool(named) and bool(_NAMED.search(named))) or (a.get("role") or "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden") == "true"
-        if tag == "header" and any(t in ("article", "main") for t, _ in self.open):
-            dropped = False  # an article's own heading
-        node, parent = Node(tag, dropped), self.open[-1][1]
-        parent.children.append(node)
-        if tag not in VOID:
-            self.open.append((tag, node if len(self.open) < DEPTH or (dropped and not parent.dropped) else parent))
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if self.open[-1][1] is self.root or self.open[-1][0] != tag:
-            return
-        self.open.pop()
-
-    def handle_endtag(self, tag):
-        self._close({tag})
-
-    def handle_data(self, data):
-        self.open[-1][1].children.append(data)
+            self.close(_CLOSED_BY[tag], _STOPS)
+        article = self.inside["article"] or self.inside["main"]
+        dropped = tag in DROPPED and not (tag == "header" and article)  # an article has a heading of its own
+        if not dropped and attributes and _ASKED.search(attributes):
+            a: dict[str, str] = {}
+            for name, value in _ATTRIBUTE.findall(attributes):
+                a.setdefault(name.lower(), references.unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+            dropped = a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden") == "true"
+            if not dropped and tag not in _WHOLE and ("class" in a or "id" in a):
+                named = f"{a.get('class', '')} {a.get('id', '')}"
+                dropped = bool(_NEVER.search(named)) or not article and bool(_OUTSIDE.search(named))
+        node = Node(tag, dropped)
+        self.open[-1].children.append(node)
+        if tag not in VOID and not attributes.endswith("/"):
+            self.open.append(node)
+            self.inside[tag] += 1
 
 
 def parse(html: str) -> Node:
-    builder = _Builder()
-    builder.feed(html)
-    if _CUT_TAG.match(builder.rawdata):
-        builder.rawdata = ""  # a tag that the page ends within
-    builder.close()
+    builder, at = _Builder(), 0
+    while (m := _TAG.search(html, at)) is not None:
+        if m.start() > at:
+            builder.open[-1].children.append(html[at : m.start()])
+        at, tag = m.end(), (m[2] or m[5] or "").lower()
+        if not tag:
+            continue
+        if m[1] or m[4]:
+            builder.close((tag,))
+            continue
+        builder.start(tag, (m[3] if m[2] else m[6]).rstrip())
+        if tag in RAW and builder.open[-1].tag == tag:
+            end = _ENDS[tag].search(html, at)
+            at = end.end() if end else len(html)
+            builder.close((tag,))
+    if at < len(html):
+        builder.open[-1].children.append(_CUT_TAG.sub("", html[at:]))  # a tag that the page ends within
+    for node in preorder(builder.root):
+        if any(isinstance(c, str) and "&" in c for c in node.children):
+            node.children = [references.unescape(c) if isinstance(c, str) else c for c in node.children]
     return builder.root
 
 
+def preorder(node: Node) -> list[Node]:
+    out, todo = [], [node]
+    while todo:
+        out.append(top := todo.pop())
+        if top.children:
+            todo += [c for c in top.children[::-1] if isinstance(c, Node)]
+    return out
+
+
 class Kinds:
     """Numbers of trees by shape (tag and the shapes of the child elements), and the largest matchings of shapes, each found once."""
 
@@ -158,39 +202,55 @@ class Kinds:
         self.pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
     def of(self, node: Node) -> int:
-        shape = (node.tag, *[self.of(c) for c in node.children if isinstance(c, Node)])
-        if shape not in self.numbers:
-            self.numbers[shape] = len(self.shapes)
-            self.shapes.append(shape)
-            self.full.append(1 + sum(self.full[k] for k in shape[1:]))
-        node.kind = number = self.numbers[shape]
-        return number
+        for n in reversed(preorder(node)):  # children before their parents
+            shape = (n.tag, *[c.kind for c in n.children if isinstance(c, Node)])
+            n.kind = self.numbers.get(shape, -1)
+            if n.kind < 0:
+                n.kind = self.numbers[shape] = len(self.shapes)
+                self.shapes.append(shape)
+                self.full.append(1 + sum([self.full[k] for k in shape[1:]]))
+        return node.kind
 
     def size(self, a: int, b: int) -> int:
+        """Pairs of the largest matching of two shapes, whose sizes are found."""
         if a == b:
             return self.full[a]
-        x, y = self.shapes[a], self.shapes[b]
-        if x[0] != y[0]:
-            return 0
-        if (a, b) not in self.sizes:
-            self.sizes[a, b] = 1 + sum([self.size(x[i + 1], y[j + 1]) for i, j in self.aligned(a, b)])
-        return self.sizes[a, b]
+        return self.sizes[a, b] if self.shapes[a][0] == self.shapes[b][0] else 0
 
     def aligned(self, a: int, b: int) -> list[tuple[int, int]]:
-        """Places of the children of two shapes that the largest matching pairs."""
+        """Places of the children of two shapes that the largest matching pairs; smaller shapes are matched before those that need them."""
         if a == b:
             return [(i, i) for i in range(len(self.shapes[a]) - 1)]
-        if (a, b) not in self.pairs:
-            self.pairs[a, b] = self._align(self.shapes[a][1:], self.shapes[b][1:])
+        todo = [(a, b)]
+        while todo:
+            x, y = todo[-1]
+            if (x, y) in self.pairs:
+                todo.pop()
+                continue
+            p, q = self.shapes[x][1:], self.shapes[y][1:]
+            start, end = self._ends(p, q)
+            p, q = set(p[start : len(p) - end]), set(q[start : len(q) - end])
+            open_ = [(s, t) for s in p for t in q if s != t and (s, t) not in self.sizes and self.shapes[s][0] == self.shapes[t][0]]
+            if open_:
+                todo += open_
+                continue
+            todo.pop()
+            p, q = self.shapes[x], self.shapes[y]
+            self.pairs[x, y] = self._align(p[1:], q[1:])
+            self.sizes[x, y] = 1 + sum([self.size(p[i + 1], q[j + 1]) for i, j in self.pairs[x, y]])
         return self.pairs[a, b]
 
-    def _align(self, p: tuple, q: tuple) -> list[tuple[int, int]]:
-        # Equal shapes at both starts or both ends are a pair of some largest matching.
+    def _ends(self, p: tuple, q: tuple) -> tuple[int, int]:
+        """Numbers of equal shapes at both starts and both ends, which are pairs of some largest matching."""
         start, end, most = 0, 0, min(len(p), len(q))
         while start < most and p[start] == q[start]:
             start += 1
         while end < most - start and p[-1 - end] == q[-1 - end]:
             end += 1
+        return start, end
+
+    def _align(self, p: tuple, q: tuple) -> list[tuple[int, int]]:
+        start, end = self._ends(p, q)
         middle = self._order(p[start : len(p) - end], q[start : len(q) - end])
         return [*((k, k) for k in range(start)), *((start + i, start + j) for i, j in middle), *((len(p) - k, len(q) - k) for k in range(end, 0, -1))]
 
@@ -240,12 +300,11 @@ class Kinds:
 
 
 def match(a: Node, b: Node, kinds: Kinds | None = None, fixed: bool = False) -> list[tuple[Node, Node]]:
-    """Pairs of matched nodes of the largest simple tree matching: equal roots, children matched in order, at any length of the lists.
+    """Pairs of matched nodes of the largest simple tree matching: equal roots, children matched in order, at any length of the lists and any depth.
 
     Work is shared by shape: trees of one shape are compared once, as far as
     ``kinds`` reaches (``fixed``: b is the same, unchanged tree in all its calls); lists meet row by row in memory of ``CELLS`` cells.
     """
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEPTH))  # several calls a level
     kinds = kinds or Kinds()
     if len(kinds.pairs) > KEPT_PAIRS:
         kinds.clear()
@@ -257,16 +316,21 @@ def match(a: Node, b: Node, kinds: Kinds | None = None, fixed: bool = False) ->
     while todo:
         x, y = todo.pop()
         out.append((x, y))
-        p, q = x.elements(), y.elements()
-        todo += [(p[i], q[j]) for i, j in kinds.aligned(x.kind, y.kind)]
+        if x.children and y.children:
+            p, q = x.elements(), y.elements()
+            todo += zip(p, q) if x.kind == y.kind else [(p[i], q[j]) for i, j in kinds.aligned(x.kind, y.kind)]
     return out
 
 
 def fold(wrapper: Node, tree: Node, kinds: Kinds | None = None) -> None:
     """Adds to the wrapper the nodes of a tree, which it takes over, that match none of its own."""
-    pairs = match(wrapper, tree, kinds)
-    met = {id(y): x for x, y in pairs}
-    for x, y in pairs:
+    kinds = kinds or Kinds()
+    pairs = match(tree, wrapper, kinds, fixed=True)
+    met = {id(y): x for y, x in pairs}
+    if len(met) == len(preorder(tree)):
+        return
+    kinds.fixed = None  # the wrapper changes
+    for y, x in pairs:
         if len(fresh := y.children) == len(x.children) and all(id(c) in met for c in fresh):
             continue
         places, made, at = {id(c): k for k, c in enumerate(x.children)}, [], 0
@@ -280,26 +344,45 @@ def fold(wrapper: Node, tree: Node, kinds: Kinds | None = None) -> None:
         x.children = made + x.children[at:]
 
 
-def _dump(node: Node) -> list:
-    return [node.tag, node.words, [_dump(c) for c in node.elements()]]
-
-
-def _load(dumped: list) -> Node:
-    node = Node(dumped[0])
-    node.words, node.children = dumped[1], [_load(c) for c in dumped[2]]
-    return node
-
-
-def _compact(node: Node) -> list:
-    return [node.tag, node.own_words(), [_compact(c) for c in node.elements()]]
+def _dump(node: Node) -> str:
+    """A tree without its texts: of each node, in preorder, the number of its child elements, tag, words, length of its text, and how often it was seen."""
+    nodes = preorder(node)
+    return json.dumps([[len(n.elements()) for n in nodes], [n.tag for n in nodes], [n.words for n in nodes], [n.own for n in nodes], [n.seen for n in nodes]], separators=(",", ":"))
+
+
+def _load(dumped: str) -> Node:
+    counts, tags, *rest = json.loads(dumped)
+    root, open_ = None, []
+    for many, tag, words, own, seen in zip(counts, tags, *rest, strict=True):
+        node = Node(tag)
+        node.words, node.own, node.seen = words, own, seen
+        if open_:
+            open_[-1][0].children.append(node)
+            open_[-1][1] -= 1
+        else:
+            root = node
+        open_.append([node, many])
+        while open_ and not open_[-1][1]:
+            open_.pop()
+    return root
+
+
+def measure(tree: Node) -> None:
+    """Sets the hash of each node's own text, and its length as far as it can be content: outside links and what markup drops."""
+    todo = [(tree, False)]
+    while todo:
+        node, out = todo.pop()
+        text = node.own_text()
+        out = out or node.dropped or node.tag == "a"
+        node.words, node.own = _hash(text), 0 if out else len(text)
+        todo += [(c, out) for c in node.elements()]
 
 
-def _preorder(node: Node) -> list[Node]:
-    out, todo = [], [node]
-    while todo:
-        out.append(todo.pop())
-        todo += out[-1].elements()[::-1]
-    return out
+def weigh(tree: Node) -> None:
+    """Sets what the slots of each subtree hold on average: own texts unless constant, and children as often as they were seen."""
+    for node in reversed(preorder(tree)):
+        many = max(1, node.seen)
+        node.mass = (0.0 if node.words else node.own) + sum([c.mass * min(1.0, max(1, c.seen) / many) for c in node.elements()])
 
 
 class _Wrappers:
@@ -314,32 +397,49 @@ class _Wrappers:
             if self.held + len(made) > KEPT:
                 self.known.clear()
                 self.held = 0
-            node = _load(json.loads(made))
-            self.known[made] = node, Kinds(), {id(n): k for k, n in enumerate(_preorder(node))}
+            node = _load(made)
+            weigh(node)
+            self.known[made] = node, Kinds(), {id(n): k for k, n in enumerate(preorder(node))}
             self.held += len(made)
         return self.known[made]
 
 
 def apply(tree: Node, wrapper: Node, kinds: Kinds | None = None) -> None:
-    """Marks the nodes of a page that fall on constant nodes of its host's wrapper with the same text."""
-    for x, y in match(tree, wrapper, kinds, fixed=True):
-        x.template = y.words != 0 and y.words == x.own_words()
+    """Marks the nodes of a page that fall on constant nodes of its host's wrapper with the same text, and sets what each node's slots hold, by the wrapper where it has the node."""
+    measure(tree)
+    means = {id(x): y for x, y in match(tree, wrapper, kinds, fixed=True)}
+    for node in reversed(preorder(tree)):
+        if y := means.get(id(node)):
+            node.template = y.words != 0 and y.words == node.words
+            node.mass, node.own = y.mass, 0.0 if y.words else y.own
+        else:
+            node.mass = node.own + sum([c.mass for c in node.elements()])
+
+
+def content(tree: Node) -> list[Node]:
+    """Where the content of a page lies: by its slots if a wrapper was applied, else by markup."""
+    articles, todo = [], [tree]
+    while todo:
+        node = todo.pop()
+        if node.tag in ("article", "main"):
+            articles.append(node)
+        else:
+            todo += [c for c in reversed(node.elements()) if not c.dropped]
+    if not tree.mass:
+        return articles or [tree]
+    node, headings = tree, []
+    while node.tag not in ("article", "main"):
+        inside = [c for c in node.elements() if not c.dropped and c.tag not in INLINE and c.mass]
+        best = max(inside, key=lambda c: c.mass, default=None)
+        if best is None or best.mass < SHARE * node.mass or best.own > best.mass / 2:
+            break
+        headings += [c for c in node.elements()[: node.elements().index(best)] if c.tag in HEADINGS]
+        node = best
+    return [node] if node.tag in ("article", "main") else [*headings, node]
 
 
 def main_text(tree: Node) -> str:
-    """The lines of the blocks of what is left of the article, or of the page without one."""
-    articles: list[Node] = []
-
-    def seek(node: Node) -> None:
-        for c in node.elements():
-            if c.dropped:
-                continue
-            if c.tag in ("article", "main"):
-                articles.append(c)
-            else:
-                seek(c)
-
-    seek(tree)
+    """The lines of the blocks of the content."""
     lines, line = [], []
 
     def end() -> None:
@@ -348,23 +448,22 @@ def main_text(tree: Node) -> str:
             lines.append(text)
         line.clear()
 
-    def walk(node: Node) -> None:
-        block = node.tag not in INLINE
-        if block:
-            end()
-        for c in node.children:
-            if isinstance(c, str):
-                if not node.template:
-                    line.append(c)
-            elif c.tag == "br":
+    for root in content(tree):
+        todo: list[tuple[Node | str | None, bool]] = [(root, False)]
+        while todo:
+            node, template = todo.pop()
+            if node is None:
+                end()
+            elif isinstance(node, str):
+                if not template:
+                    line.append(node)
+            elif node.tag == "br":
                 line.append(" ")
-            elif not c.dropped:
-                walk(c)
-        if block:
-            end()
-
-    for node in articles or [tree]:
-        walk(node)
+            elif not node.dropped or node is root:
+                if node.tag not in INLINE:
+                    end()
+                    todo.append((None, False))
+                todo += [(c, node.template) for c in reversed(node.children)]
     end()
     return "\n".join(lines)
 
@@ -384,14 +483,14 @@ def _folded(trees: DataFrame) -> DataFrame:
         rows = rows.sort_by([("turn", "ascending"), ("wrapper", "ascending")])
         kinds, made = Kinds(), None
         for dumped in rows.column("wrapper"):
-            tree = _load(json.loads(dumped.as_py()))
+            tree = _load(dumped.as_py())
             if made is None:
                 made = tree
             else:
                 fold(made, tree, kinds)
-        for node in _preorder(made):
-            node.words = 0
-        return pa.table({"host": rows.column("host")[:1].cast(pa.string()), "turn": rows.column("part")[:1], "wrapper": pa.array([json.dumps(_dump(made))], pa.string())})
+        for node in preorder(made):
+            node.words = node.own = 0
+        return pa.table({"host": rows.column("host")[:1].cast(pa.string()), "turn": rows.column("part")[:1], "wrapper": pa.array([_dump(made)], pa.string())})
 
     parts = max(1, -(-(trees.groupBy("host").count().agg(F.max("count")).first()[0] or 0) // GROUP))
     part = F.pmod("turn", F.lit(parts))
@@ -404,13 +503,15 @@ def _folded(trees: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame, share: float = 0.8, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(host, wrapper) of the hosts that have constant nodes, from all their pages; pages has host and html."""
+    """(host, wrapper) of the hosts with three or more different pages, from all their pages; pages has host and html."""
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
             trees = [parse(t) for t in part.column("html").to_pylist()]
-            turns = [int.from_bytes(xxhash.xxh64_digest(main_text(t).encode("utf-8", "replace")), "big", signed=True) for t in trees]
-            yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(turns, pa.int64()), pa.array([json.dumps(_compact(t), separators=(",", ":")) for t in trees], pa.string())], ["host", "turn", "wrapper"])
+            turns = [_hash(main_text(t)) for t in trees]
+            for t in trees:
+                measure(t)
+            yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(turns, pa.int64()), pa.array([_dump(t) for t in trees], pa.string())], ["host", "turn", "wrapper"])
 
     found = pages.filter("host IS NOT NULL AND html IS NOT NULL").select("host", "html").mapInArrow(shapes, "host string, turn long, wrapper string")
     # Pages with the same main text count once.
@@ -420,33 +521,37 @@ def wrappers(pages: DataFrame, share: float = 0.8, broadcast_bytes: int = BROADC
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Wrappers()
         for part in slices(batches, "tree"):
-            hosts, at, words = [], [], []
+            hosts, at, words, own = [], [], [], []
             for host, tree, wrapper in zip(part.column("host").to_pylist(), part.column("tree").to_pylist(), part.column("wrapper").to_pylist(), strict=True):
                 node, kinds, number = known[wrapper]
-                pairs = match(_load(json.loads(tree)), node, kinds, fixed=True)
+                pairs = match(_load(tree), node, kinds, fixed=True)
                 hosts += [host] * len(pairs)
                 at += [number[id(y)] for _, y in pairs]
                 words += [x.words for x, _ in pairs]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(at, pa.int32()), pa.array(words, pa.int64())], ["host", "at", "words"])
+                own += [x.own for x, _ in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(at, pa.int32()), pa.array(words, pa.int64()), pa.array(own, pa.int64())], ["host", "at", "words", "own"])
 
     met = _meet(trees.withColumnRenamed("wrapper", "tree"), made, ["turn"], broadcast_bytes).select("host", "tree", "wrapper")
-    counted = met.mapInArrow(places, "host string, at int, words long").groupBy("host", "at", "words").agg(F.count("*").alias("n"))
-    nodes = counted.groupBy("host", "at").agg(F.sum("n").alias("all"), F.max(F.struct("n", "words")).alias("top"))
-    constant = nodes.filter((F.col("all") >= 3) & (F.col("top.n") >= share * F.col("all")) & (F.col("top.words") != 0))
-    constant = constant.groupBy("host").agg(F.collect_list(F.struct("at", F.col("top.words").alias("words"))).alias("constant"))
+    counted = met.mapInArrow(places, "host string, at int, words long, own long").groupBy("host", "at", "words").agg(F.count("*").alias("n"), F.sum("own").alias("own"))
+    nodes = counted.groupBy("host", "at").agg(F.sum("n").alias("seen"), F.sum("own").alias("own"), F.max(F.struct("n", "words")).alias("top"))
+    constant = (F.col("seen") >= 3) & (F.col("top.n") >= share * F.col("seen"))
+    node = F.struct("at", "seen", (F.col("own") / F.col("seen")).alias("own"), F.when(constant, F.col("top.words")).otherwise(F.lit(0)).alias("words"))
+    # The root is the first node; a host of fewer than three different pages has no wrapper.
+    told = nodes.groupBy("host").agg(F.collect_list(node).alias("nodes"), F.max("seen").alias("pages")).filter("pages >= 3")
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for wrapper, constant in zip(batch.column("wrapper").to_pylist(), batch.column("constant").to_pylist(), strict=True):
-                node = _load(json.loads(wrapper))
-                order = _preorder(node)
-                for c in constant:
-                    order[c["at"]].words = c["words"]
-                out.append(json.dumps(_dump(node)))
+            for wrapper, told in zip(batch.column("wrapper").to_pylist(), batch.column("nodes").to_pylist(), strict=True):
+                tree = _load(wrapper)
+                order = preorder(tree)
+                for n in told:
+                    x = order[n["at"]]
+                    x.words, x.seen, x.own = n["words"], n["seen"], round(n["own"], 1)
+                out.append(_dump(tree))
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.string())], ["host", "wrapper"])
 
-    return made.join(constant, "host").select("host", "wrapper", "constant").mapInArrow(filled, "host string, wrapper string")
+    return made.join(told, "host").select("host", "wrapper", "nodes").mapInArrow(filled, "host string, wrapper string")
 
 
 def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
