@@ -13,21 +13,24 @@ parts out if it has at most s of them: of the s + 1 parts that agree one at
 least is then another one, and what agrees is poor on both sides or on neither.
 (A set with more poor parts sends them all, so nothing is lost.) Sizes are cut
 into bands, each with the d of its largest pair; a set also joins the next band
-if it is large enough to have partners there. Parts have 2**20 bits, of which
-only those set are held, and rows meet on a hash of (band, place, part).
+if it is large enough to have partners there. Parts have 2**40 bits, of which
+only those set are held, so parts agree by their shingles and hardly by chance at
+any number of documents; rows meet on a hash of (band, place, part).
 
 Equal sets are one node from the start. Within a bucket the links to its first
 and last node are tried first. Pairs of a bucket that are still in different
 components are compared after that. Of either kind those are verified on the sets
 whose sketches allow it: 1024 bits for all, and for large sets sketches of four
-bits and more for each allowed difference. So no link between different sets is lost, and copies or
-near copies are never expanded into all pairs.
+bits and more for each allowed difference. So no component is missed, and copies or
+near copies are never expanded into all pairs. A bucket's first and last node, and
+its first and last component, come from aggregates; what joins them back is
+written first, so that adaptive execution can split a join on a hot key.
 
 Defined results: null and empty texts and those without words have an empty
 set, no links and themselves as component; texts shorter than a shingle are one
 shingle of all their words; repeated ids keep one row each; further columns of
-the input are ignored; rows without an id take no part; an empty table gives an
-empty table.
+the input are ignored; rows without an id link with nothing and have a null
+component; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WordHashes, materialize, mix, slices, texts
@@ -67,6 +70,8 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+_PART = np.uint64((1 << 40) - 1)
+_SEEN = 1_000_000  # nodes that a task remembers to have sent
 _LONGS = 16  # of the sketch that a pair is compared by before it is verified
 _WIDE_FROM = 1_500  # shingles, from which a set also has a wider sketch
 
@@ -102,9 +107,9 @@ def sketch_keys(values: np.ndarray, num: int, den: int, ends: list[int]) -> np.n
         # The next band's least size is for its own sets; one from below has fewer bits a part, and then may send all.
         places, spare, poor = plan(ends[band], ends[band + 1], num, den)
         spread = mix(values + np.uint64(band))
-        at, times = np.unique((spread >> np.uint64(24)) % np.uint64(places) << np.uint64(20) | (spread & np.uint64(0xFFFFF)), return_counts=True)
+        at, times = np.unique((spread >> np.uint64(40)) % np.uint64(places) << np.uint64(40) | (mix(spread) & _PART), return_counts=True)
         at = at[times & 1 == 1]
-        place = (at >> np.uint64(20)).astype(np.int64)
+        place = (at >> np.uint64(40)).astype(np.int64)
         bits = np.bincount(place, minlength=places)
         part = np.zeros(places, np.uint64)
         if len(at):
@@ -187,19 +192,20 @@ def _emit_sets(ids, sets, _):
 
 def _emit_keys(num: int, den: int):
     def emit(ids, sets, seen):
-        keys, nodes, sizes = [], [], []
+        keys, nodes = [], []
         ends = bands(max((len(s) for s in sets), default=0), num, den)
         for s in sets:
             if not len(s) or (node := _node(s)) in seen:
                 continue
+            if len(seen) >= _SEEN:
+                seen.clear()
             seen.add(node)  # a task's copies of a set send its keys once
             keys.append(k := sketch_keys(s, num, den, ends))
             nodes.append(np.full(len(k), node, np.int64))
-            sizes.append(np.full(len(k), len(s), np.int32))
         if keys:
-            key, node, size = np.concatenate(keys).view(np.int64), np.concatenate(nodes), np.concatenate(sizes)
+            key, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
             for at in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 100_000]), pa.array(node[at : at + 100_000]), pa.array(size[at : at + 100_000])], ["key", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 100_000]), pa.array(node[at : at + 100_000])], ["key", "node"])
 
     return emit
 
@@ -251,7 +257,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        moved = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("via"))
+        moved = materialize(labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("via")))
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
         new = materialize(moved.join(jump, "via", "left").select("node", "old", F.least("via", F.coalesce("far", "via")).alias("component")))
         labels = new.select("node", "component")
@@ -260,13 +266,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the component) and links (number of linked nodes seen) of each document."""
-    source = texts(docs, id_col, text_col).filter("doc_id IS NOT NULL")
-    nodes = materialize(_sets(source, width, _emit_nodes(num, den), _NODES))
-    rows = _sets(source, width, _emit_keys(num, den), "key long, node long, n int")
-    w = Window.partitionBy("key")
-    met = rows.withColumns({"first": F.min("node").over(w), "last": F.max("node").over(w)}).filter(F.col("first") != F.col("last"))
-    met = materialize(met.select("key", "node", "first", "last").distinct())
+    """doc_id, n_shingles, component_id (smallest doc_id of the component) and links_found of each document.
+
+    ``links_found`` counts the linked nodes that were found while components were
+    sought; links inside a component that is already whole are not looked for.
+    """
+    every = texts(docs, id_col, text_col)
+    source = every.filter("doc_id IS NOT NULL")
+    nodes = materialize(_sets(every, width, _emit_nodes(num, den), _NODES))
+    nameless, nodes = nodes.filter("doc_id IS NULL"), nodes.filter("doc_id IS NOT NULL")
+    # One exchange serves both sides: the ends of each bucket, and its rows.
+    rows = _sets(source, width, _emit_keys(num, den), "key long, node long").repartition("key")
+    ends = rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last")
+    met = materialize(rows.join(ends, "key").select("key", "node", "first", "last").distinct())
     holders = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sketches = materialize(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "n", "wide", *_SKETCH).dropDuplicates(["node"]))
 
@@ -276,18 +288,21 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     edges = _verified(stars, source, holders, width, num, den)
     labels = components(edges)
 
-    left = met.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    left = left.withColumns({"low": F.min("c").over(w), "high": F.max("c").over(w)}).filter("low <> high").select("key", "node", "c")
-    left = materialize(left.join(sketches.drop("wide"), "node"))
-    apart = (F.col("p.key") == F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & (F.col("p.node") < F.col("q.node")) & _close(num, den)
-    rest = left.alias("p").join(left.alias("q"), apart).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+    left = materialize(met.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")))
+    apart = materialize(left.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key"))
+    left = materialize(left.join(apart, "key").join(sketches.drop("wide"), "node"))
+    met_again = (F.col("p.key") == F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & (F.col("p.node") < F.col("q.node")) & _close(num, den)
+    rest = left.alias("p").join(left.alias("q"), met_again).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
     rest = materialize(_plausible(rest.join(stars, ["a", "b"], "left_anti"), sketches, num, den))
     if not rest.isEmpty():
         edges = edges.union(_verified(rest, source, holders, width, num, den))
         labels = components(edges)
-    links = edges.select("a").union(edges.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
+    links = edges.select("a").union(edges.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links_found"))
     # Documents of a set meet at its node first, so a component's least doc_id comes from one row a node.
-    least = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    named = least.join(least.groupBy("c").agg(F.min("least").alias("component_id")), "c").join(links, "node", "left").select("node", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
-    full = nodes.select("doc_id", "node", "n").filter("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "links")
-    return full.unionByName(nodes.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("links")))
+    linked = materialize(holders.join(labels, "node").join(links, "node").select("node", "component", "doc_id", "links_found"))
+    least = materialize(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    alone = holders.join(labels, "node", "left_anti").select("node", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("links_found"))
+    named = materialize(linked.join(least, "component").select("node", "component_id", "links_found").unionByName(alone))
+    full = nodes.select("doc_id", "node", "n").filter("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "links_found")
+    rest_of = nodes.filter("n = 0").select("doc_id", "n").unionByName(nameless.select("doc_id", "n"))
+    return full.unionByName(rest_of.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("links_found")))

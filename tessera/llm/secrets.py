@@ -4,9 +4,12 @@ Two first-order Markov models over characters are counted over the whole corpus
 from samples that the patterns label: the values they catch, of 16 characters or
 more with a digit, are random strings; all other text is ordinary words and
 identifiers. The counts of pairs of symbols are a table of fixed size, summed by
-Spark. A run of 20 or more key characters outside the patterns' spans is a
-secret if the random model explains it better by ``least`` nats at least, and
-by ``per_char`` nats a character.
+Spark. Runs of key characters are cut at the patterns' spans. What is left of 20
+characters or more is a secret if the random model explains it better by
+``least`` nats at least, and by ``per_char`` nats a character; else its stretch of
+the largest ratio is, if it has that length and ratio, to the next signs (of
+``/_=-+``) around it where that holds too, and what stands beside it is looked at
+in turn. So a key within a path or beside a known secret is found by itself.
 
 Kinds and their order are fixed: assign, access, hex, markov. Spans are
 kind:start:end in code points, end exclusive. Matches are leftmost and do not
@@ -43,6 +46,8 @@ _SYMBOL[list(_KEY)] = np.arange(1, SYMBOLS)
 _IS_HEX = np.zeros(256, bool)
 _IS_HEX[list(b"0123456789abcdef")] = True
 RUN = 20
+#: What parts of a path or identifier are joined by.
+_SIGNS = b"/_=-+"
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -124,17 +129,41 @@ def train(docs: DataFrame, text_col: str = "text") -> Models:
     return fit(*total)
 
 
+def _stretches(value: bytes, models: Models, least: float, per_char: float) -> Iterator[tuple[int, int]]:
+    """The secrets within a run of key characters, which do not overlap."""
+    todo = [(0, len(value))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < RUN:
+            continue
+        s = _SYMBOL[np.frombuffer(b" " + value[a:b], np.uint8)]
+        total = np.concatenate([[0.0], np.cumsum(models.ratio[s[:-1], s[1:]])])
+        lowest = np.minimum.accumulate(total)
+        end = int((total - lowest).argmax())
+        start = int(np.argmin(total[: end + 1]))
+        wide, far = start, end
+        while wide > 0 and value[a + wide - 1] not in _SIGNS:
+            wide -= 1
+        while far < b - a and value[a + far] not in _SIGNS:
+            far += 1
+        for x, y in ((0, b - a), (wide, far), (start, end)):
+            if y - x >= RUN and total[y] - total[x] >= max(least, per_char * (y - x)):
+                yield a + x, a + y
+                todo += [(a, a + x), (a + y, b)]
+                break
+
+
 def markov_spans(text: str, base: list[tuple[str, int, int]], models: Models, least: float = 12.0, per_char: float = 0.5) -> list[tuple[str, int, int]]:
-    """Runs of key characters outside the base spans that the random model explains better."""
+    """Stretches of key characters outside the base spans that the random model explains better."""
     data, out = text.encode("utf-8", "surrogatepass"), []
     for a, b in zip(*_runs(_SYMBOL[np.frombuffer(data, np.uint8)] > 0, RUN), strict=True):
-        score = models.score(data[a:b].decode())
-        if score >= max(least, per_char * (b - a)):
-            start = len(data[:a].decode("utf-8", "surrogatepass"))
-            end = start + int(b - a)
-            if all(end <= s or start >= e for _, s, e in base):
-                out.append(("markov", start, end))
-    return out
+        first = len(data[:a].decode("utf-8", "surrogatepass"))
+        at, last = first, first + int(b - a)
+        for _, s, e in sorted((x for x in base if x[1] < last and x[2] > first), key=lambda x: x[1:]) + [("", last, last)]:
+            if s - at >= RUN:
+                out += [("markov", at + x, at + y) for x, y in _stretches(data[a + at - first : a + s - first], models, least, per_char)]
+            at = max(at, min(e, last))
+    return sorted(out, key=lambda x: x[1])
 
 
 def scan(docs: DataFrame, models: Models, text_col: str = "text", out_col: str = "secrets") -> DataFrame:

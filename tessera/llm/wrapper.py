@@ -66,7 +66,6 @@ CELLS = 2_000_000
 SHARE = 0.8
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style xmp iframe noembed noframes".split())
 DROPPED = frozenset("head script style noscript template nav header footer aside form iframe object svg canvas audio video button select textarea dialog menu".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -83,28 +82,31 @@ _NEVER = re.compile(
 )
 _OUTSIDE = re.compile(r"(?<!\S)(?:(?:main|site|page|top|left|right|side|global)[_-]?)?(?:banner|sidebar|widgets?|related|share|sharing|social|menu|nav|navbar|navigation|footer|header|masthead|toolbar|login|search)(?!\S)", re.IGNORECASE)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_SPACE = re.compile(r"\s+")
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>""", re.DOTALL)
+#: Comments, whole raw elements, tags (whether it ends, name, attributes), and other markup.
+_TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(?i:(?P<raw>script|style|xmp|iframe|noembed|noframes))(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+[^>]*+>.*?(?:</(?i:(?P=raw))(?=[\s/>])[^>]*+>?|\Z)"""
+    r"""|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+[^>]*+)>|<[!?/][^>]*+>""",
+    re.DOTALL,
+)
 _CUT_TAG = re.compile(r"<[A-Za-z/!?][^>]*\Z")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _ASKED = re.compile(r"class|id|role|hidden", re.IGNORECASE)
-_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE) for tag in RAW}
 
 
 class Node:
-    """An element: its tag, its children in order (elements and texts), whether markup drops it; what a wrapper says of it."""
+    """An element: its tag, its children in order (elements and texts), the elements alone, whether markup drops it; what a wrapper says of it."""
 
-    __slots__ = ("children", "dropped", "kind", "mass", "own", "seen", "tag", "template", "words")
+    template, words, own, seen, mass, kind = False, 0, 0.0, 0, None, -1
 
     def __init__(self, tag: str, dropped: bool = False):
-        self.tag, self.dropped, self.children, self.template, self.words = tag, dropped, [], False, 0
-        self.own, self.seen, self.mass = 0.0, 0, None
+        self.tag, self.dropped, self.children, self.kids = tag, dropped, [], []
 
-    def elements(self) -> list[Node]:
-        return [c for c in self.children if isinstance(c, Node)]
+    def add(self, child: Node) -> None:
+        self.children.append(child)
+        self.kids.append(child)
 
     def own_text(self) -> str:
-        return _SPACE.sub(" ", " ".join([c for c in self.children if isinstance(c, str)])).strip()
+        return " ".join(" ".join([c for c in self.children if c.__class__ is str]).split())
 
 
 def _hash(text: str) -> int:
@@ -119,26 +121,26 @@ class _Builder:
         self.root = Node("#root")
         self.open, self.inside = [self.root], Counter()
 
-    def _cut(self, k: int) -> None:
-        for node in self.open[k:]:
-            self.inside[node.tag] -= 1
-        del self.open[k:]
-
     def close(self, tags, stops=frozenset()) -> None:
-        if any(self.inside[t] for t in tags):
+        """Ends the last open element of these tags, and what is open inside it, unless one of the stops is met before."""
+        if any([self.inside[t] for t in tags]):
             for k in range(len(self.open) - 1, 0, -1):
                 if self.open[k].tag in tags:
-                    return self._cut(k)
+                    for node in self.open[k:]:
+                        self.inside[node.tag] -= 1
+                    del self.open[k:]
+                    return
                 if self.open[k].tag in stops:
-                    return None
+                    return
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in CLOSES_P:
             self.close(("p",), _STOPS)
-        if tag in _CLOSED_BY:
+        elif tag in _CLOSED_BY:
             self.close(_CLOSED_BY[tag], _STOPS)
-        article = self.inside["article"] or self.inside["main"]
-        dropped = tag in DROPPED and not (tag == "header" and article)  # an article has a heading of its own
+        dropped = tag in DROPPED
+        if dropped and tag == "header" and (self.inside["article"] or self.inside["main"]):
+            dropped = False  # an article has a heading of its own
         if not dropped and attributes and _ASKED.search(attributes):
             a: dict[str, str] = {}
             for name, value in _ATTRIBUTE.findall(attributes):
@@ -146,35 +148,27 @@ class _Builder:
             dropped = a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden") == "true"
             if not dropped and tag not in _WHOLE and ("class" in a or "id" in a):
                 named = f"{a.get('class', '')} {a.get('id', '')}"
-                dropped = bool(_NEVER.search(named)) or not article and bool(_OUTSIDE.search(named))
+                dropped = bool(_NEVER.search(named)) or not (self.inside["article"] or self.inside["main"]) and bool(_OUTSIDE.search(named))
         node = Node(tag, dropped)
-        self.open[-1].children.append(node)
-        if tag not in VOID and not attributes.endswith("/"):
+        self.open[-1].add(node)
+        if tag not in VOID and attributes[-1:] != "/":
             self.open.append(node)
             self.inside[tag] += 1
 
 
 def parse(html: str) -> Node:
-    builder, at = _Builder(), 0
-    while (m := _TAG.search(html, at)) is not None:
-        if m.start() > at:
-            builder.open[-1].children.append(html[at : m.start()])
-        at, tag = m.end(), (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        if m[1] or m[4]:
-            builder.close((tag,))
-            continue
-        builder.start(tag, (m[3] if m[2] else m[6]).rstrip())
-        if tag in RAW and builder.open[-1].tag == tag:
-            end = _ENDS[tag].search(html, at)
-            at = end.end() if end else len(html)
-            builder.close((tag,))
-    if at < len(html):
-        builder.open[-1].children.append(_CUT_TAG.sub("", html[at:]))  # a tag that the page ends within
-    for node in preorder(builder.root):
-        if any(isinstance(c, str) and "&" in c for c in node.children):
-            node.children = [references.unescape(c) if isinstance(c, str) else c for c in node.children]
+    builder, refers = _Builder(), "&" in html
+    found = _TAG.split(html)
+    found[-1] = _CUT_TAG.sub("", found[-1])  # a tag that the page ends within
+    for at in range(0, len(found), 5):
+        if text := found[at]:
+            builder.open[-1].children.append(references.unescape(text) if refers and "&" in text else text)
+        if at + 3 < len(found) and (tag := found[at + 3]):
+            tag = tag.lower()
+            if found[at + 2]:
+                builder.close((tag,))
+            else:
+                builder.start(tag, found[at + 4].rstrip())
     return builder.root
 
 
@@ -182,8 +176,8 @@ def preorder(node: Node) -> list[Node]:
     out, todo = [], [node]
     while todo:
         out.append(top := todo.pop())
-        if top.children:
-            todo += [c for c in top.children[::-1] if isinstance(c, Node)]
+        if top.kids:
+            todo += top.kids[::-1]
     return out
 
 
@@ -203,7 +197,7 @@ class Kinds:
 
     def of(self, node: Node) -> int:
         for n in reversed(preorder(node)):  # children before their parents
-            shape = (n.tag, *[c.kind for c in n.children if isinstance(c, Node)])
+            shape = (n.tag, *[c.kind for c in n.kids])
             n.kind = self.numbers.get(shape, -1)
             if n.kind < 0:
                 n.kind = self.numbers[shape] = len(self.shapes)
@@ -316,8 +310,8 @@ def match(a: Node, b: Node, kinds: Kinds | None = None, fixed: bool = False) ->
     while todo:
         x, y = todo.pop()
         out.append((x, y))
-        if x.children and y.children:
-            p, q = x.elements(), y.elements()
+        if x.kids and y.kids:
+            p, q = x.kids, y.kids
             todo += zip(p, q) if x.kind == y.kind else [(p[i], q[j]) for i, j in kinds.aligned(x.kind, y.kind)]
     return out
 
@@ -331,23 +325,24 @@ def fold(wrapper: Node, tree: Node, kinds: Kinds | None = None) -> None:
         return
     kinds.fixed = None  # the wrapper changes
     for y, x in pairs:
-        if len(fresh := y.children) == len(x.children) and all(id(c) in met for c in fresh):
+        fresh = y.kids
+        if all([id(c) in met for c in fresh]):
             continue
-        places, made, at = {id(c): k for k, c in enumerate(x.children)}, [], 0
+        places, made, at = {id(c): k for k, c in enumerate(x.kids)}, [], 0
         for c in fresh:
             if id(c) in met:
                 k = places[id(met[id(c)])] + 1
-                made += x.children[at:k]
+                made += x.kids[at:k]
                 at = k
             else:
                 made.append(c)
-        x.children = made + x.children[at:]
+        x.kids = made + x.kids[at:]
 
 
 def _dump(node: Node) -> str:
     """A tree without its texts: of each node, in preorder, the number of its child elements, tag, words, length of its text, and how often it was seen."""
     nodes = preorder(node)
-    return json.dumps([[len(n.elements()) for n in nodes], [n.tag for n in nodes], [n.words for n in nodes], [n.own for n in nodes], [n.seen for n in nodes]], separators=(",", ":"))
+    return json.dumps([[len(n.kids) for n in nodes], [n.tag for n in nodes], [n.words for n in nodes], [n.own for n in nodes], [n.seen for n in nodes]], separators=(",", ":"))
 
 
 def _load(dumped: str) -> Node:
@@ -357,7 +352,7 @@ def _load(dumped: str) -> Node:
         node = Node(tag)
         node.words, node.own, node.seen = words, own, seen
         if open_:
-            open_[-1][0].children.append(node)
+            open_[-1][0].kids.append(node)
             open_[-1][1] -= 1
         else:
             root = node
@@ -372,17 +367,19 @@ def measure(tree: Node) -> None:
     todo = [(tree, False)]
     while todo:
         node, out = todo.pop()
-        text = node.own_text()
         out = out or node.dropped or node.tag == "a"
-        node.words, node.own = _hash(text), 0 if out else len(text)
-        todo += [(c, out) for c in node.elements()]
+        if len(node.children) > len(node.kids):
+            text = node.own_text()
+            node.words, node.own = _hash(text), 0 if out else len(text)
+        if node.kids:
+            todo += [(c, out) for c in node.kids]
 
 
 def weigh(tree: Node) -> None:
     """Sets what the slots of each subtree hold on average: own texts unless constant, and children as often as they were seen."""
     for node in reversed(preorder(tree)):
         many = max(1, node.seen)
-        node.mass = (0.0 if node.words else node.own) + sum([c.mass * min(1.0, max(1, c.seen) / many) for c in node.elements()])
+        node.mass = (0.0 if node.words else node.own) + sum([c.mass * min(1.0, max(1, c.seen) / many) for c in node.kids])
 
 
 class _Wrappers:
@@ -413,7 +410,7 @@ def apply(tree: Node, wrapper: Node, kinds: Kinds | None = None) -> None:
             node.template = y.words != 0 and y.words == node.words
             node.mass, node.own = y.mass, 0.0 if y.words else y.own
         else:
-            node.mass = node.own + sum([c.mass for c in node.elements()])
+            node.mass = node.own + sum([c.mass for c in node.kids])
 
 
 def content(tree: Node) -> list[Node]:
@@ -424,16 +421,16 @@ def content(tree: Node) -> list[Node]:
         if node.tag in ("article", "main"):
             articles.append(node)
         else:
-            todo += [c for c in reversed(node.elements()) if not c.dropped]
+            todo += [c for c in reversed(node.kids) if not c.dropped]
     if not tree.mass:
         return articles or [tree]
     node, headings = tree, []
     while node.tag not in ("article", "main"):
-        inside = [c for c in node.elements() if not c.dropped and c.tag not in INLINE and c.mass]
+        inside = [c for c in node.kids if not c.dropped and c.tag not in INLINE and c.mass]
         best = max(inside, key=lambda c: c.mass, default=None)
         if best is None or best.mass < SHARE * node.mass or best.own > best.mass / 2:
             break
-        headings += [c for c in node.elements()[: node.elements().index(best)] if c.tag in HEADINGS]
+        headings += [c for c in node.kids[: node.kids.index(best)] if c.tag in HEADINGS]
         node = best
     return [node] if node.tag in ("article", "main") else [*headings, node]
 
@@ -443,10 +440,10 @@ def main_text(tree: Node) -> str:
     lines, line = [], []
 
     def end() -> None:
-        text = _SPACE.sub(" ", "".join(line)).strip()
-        if text:
-            lines.append(text)
-        line.clear()
+        if line:
+            if text := " ".join("".join(line).split()):
+                lines.append(text)
+            line.clear()
 
     for root in content(tree):
         todo: list[tuple[Node | str | None, bool]] = [(root, False)]
@@ -454,7 +451,7 @@ def main_text(tree: Node) -> str:
             node, template = todo.pop()
             if node is None:
                 end()
-            elif isinstance(node, str):
+            elif node.__class__ is str:
                 if not template:
                     line.append(node)
             elif node.tag == "br":
@@ -463,7 +460,11 @@ def main_text(tree: Node) -> str:
                 if node.tag not in INLINE:
                     end()
                     todo.append((None, False))
-                todo += [(c, node.template) for c in reversed(node.children)]
+                if len(node.children) == 1 and node.children[0].__class__ is str:
+                    if not node.template:
+                        line.append(node.children[0])
+                else:
+                    todo += [(c, node.template) for c in reversed(node.children)]
     end()
     return "\n".join(lines)
 

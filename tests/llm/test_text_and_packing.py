@@ -186,7 +186,8 @@ PAGE = "<html><body><div class='x'>Welcome to the site</div><nav><a>m</a></nav><
 def test_tree_matching_is_the_largest():
     def tree(spec):
         node = wrapper.Node(spec[0])
-        node.children = [tree(c) for c in spec[1:]]
+        for c in spec[1:]:
+            node.add(tree(c))
         return node
 
     a = tree(("a", ("b",), ("c", ("d",), ("e",)), ("b",)))
@@ -328,7 +329,7 @@ def test_matching_in_parts_is_the_largest(monkeypatch):
     def plain(a, b):
         if a.tag != b.tag:
             return 0
-        p, q = a.elements(), b.elements()
+        p, q = a.kids, b.kids
         best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
         for i, s in enumerate(p):
             for j, t in enumerate(q):
@@ -339,7 +340,8 @@ def test_matching_in_parts_is_the_largest(monkeypatch):
 
     def tree(depth):
         node = wrapper.Node(rnd.choice("ab") if depth < 3 else "r")
-        node.children = [tree(depth - 1) for _ in range(rnd.randrange(12 if depth == 3 else 4))] if depth else []
+        for _ in range(rnd.randrange(12 if depth == 3 else 4) if depth else 0):
+            node.add(tree(depth - 1))
         return node
 
     for cells in (1, 20, wrapper.CELLS):

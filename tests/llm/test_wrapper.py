@@ -76,7 +76,7 @@ def _plain(a, b):
     """Simple tree matching as it is defined."""
     if a.tag != b.tag:
         return 0
-    p, q = a.elements(), b.elements()
+    p, q = a.kids, b.kids
     best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
     for i, x in enumerate(p):
         for j, y in enumerate(q):
@@ -89,7 +89,8 @@ def test_matching_of_random_trees_is_the_largest():
 
     def tree(depth):
         node = wrapper.Node(rnd.choice("abc") if depth < 4 else "a")
-        node.children = [tree(depth - 1) for _ in range(rnd.randint(0, 3))] if depth else []
+        for _ in range(rnd.randint(0, 3) if depth else 0):
+            node.add(tree(depth - 1))
         return node
 
     for _ in range(300):
