@@ -21,7 +21,7 @@ def safe_name(c: Column | str, default: str | None = None) -> Column:
     out = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"[^A-Za-z0-9_.\-]+", "_")
     if default is None:
         return out
-    out = F.trim(F.lit("_"), out)
+    out = F.trim(out, F.lit("_"))
     return F.when(F.length(out) > 0, out).otherwise(F.lit(default))
 
 
