@@ -28,8 +28,9 @@ def tolerant_json_lines(spark: SparkSession, path: str | list[str], schema: T.St
 def bad_lines(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """file, rows, bad: how many lines of each file are no object of the schema."""
     full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(full).option("columnNameOfCorruptRecord", "_bad").json(path).select("*", F.col("_metadata.file_name").alias("file"))
-    return rows.groupBy("file").agg(F.count("*").alias("rows"), F.count("_bad").alias("bad"))
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")).filter(F.length(F.trim("value")) > 0)
+    bad = F.from_json("value", full, {"columnNameOfCorruptRecord": "_bad"})["_bad"]
+    return rows.groupBy("file").agg(F.count("*").alias("rows"), F.count(bad).alias("bad"))
 
 
 def numbered_lines(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -46,6 +47,32 @@ def numbered_lines(spark: SparkSession, path: str, schema: T.StructType | str |
     return out if schema is None else out.withColumn("row", F.from_json("value", schema))
 
 
+def json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """file, place (from 0) and the members of each file that holds one array of objects; other files are errors."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", T.ArrayType(T._parse_datatype_string(schema) if isinstance(schema, str) else schema), {"mode": "FAILFAST"}).alias("rows"))
+    return raw.select("file", F.posexplode("rows").alias("place", "row")).select("file", "place", "row.*")
+
+
+def at_line(spark: SparkSession, path: str, wanted: DataFrame, line: str, schema: T.StructType | str) -> DataFrame:
+    """Adds row, the object on the line (from 1) of the file that each wanted row names by its columns file and ``line``; null where there is none."""
+    lines = numbered_lines(spark, path, schema).select("file", F.col("line").alias(line), "row")
+    return wanted.join(lines, ["file", line], "left")
+
+
+def pending(tasks: DataFrame, done: DataFrame, keys: list[str], error: str | None = None, retry: bool = False) -> DataFrame:
+    """Tasks whose key is not done; where failures are retried, only rows without an error count as done."""
+    finished = done.filter(F.length(F.coalesce(F.col(error), F.lit(""))) == 0) if error and retry else done
+    return tasks.join(finished.select(*keys).distinct(), keys, "left_anti")
+
+
+def output_counts(spark: SparkSession, path: str, schema: T.StructType, error: str, hit: str) -> DataFrame:
+    """rows, errors, hits of the lines of a folder; a line that is no object is an error."""
+    full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    found = spark.read.schema(full).option("columnNameOfCorruptRecord", "_bad").json(path)
+    bad = F.col("_bad").isNotNull() | (F.length(F.coalesce(F.col(error), F.lit(""))) > 0)
+    return found.agg(F.count("*").alias("rows"), F.count_if(bad).alias("errors"), F.count_if(F.coalesce(F.col(hit), F.lit(False)) & F.col("_bad").isNull()).alias("hits"))
+
+
 def path_parts(pattern: str, names: list[str]) -> list[Column]:
     """Columns from the groups of a pattern over a file's path, for readers of files keyed by path."""
     return [F.regexp_extract(F.col("_metadata.file_path"), pattern, k + 1).alias(n) for k, n in enumerate(names)]
@@ -99,20 +126,20 @@ def progress(spark: SparkSession, path: str, expected: int) -> DataFrame:
     return spark.read.text(path).select(F.explode(found).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("step")).withColumn("completed", F.col("step") >= expected)
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on whatever file system it names."""
-    fs, p = _file_system(spark, path)
+    fs, p = file_system(spark, path)
     return fs.exists(p)
 
 
 def parquet_stream(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the Parquet files of a folder, or of one file, with the schema they have now."""
-    fs, p = _file_system(spark, path)
+    fs, p = file_system(spark, path)
     source = spark.readStream.schema(spark.read.parquet(path).schema)
     return source.parquet(path) if fs.getFileStatus(p).isDirectory() else source.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
 

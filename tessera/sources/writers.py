@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.readers import file_system
+
 
 def json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One object a line, nulls written; refuses to overwrite unless the mode says so."""
@@ -38,6 +41,21 @@ def manifest(df: DataFrame, measures: dict[str, Column], facts: dict[str, str])
     return df.agg(*(c.alias(k) for k, c in measures.items())).select(F.to_json(F.struct(*measures, *(F.lit(v).alias(k) for k, v in facts.items())), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def replace_file(lines: DataFrame, path: str) -> None:
+    """Writes one column of text as one file, beside its place first, and moves it there; what stood there is gone only when the new file is whole. For small files."""
+    spark, beside = lines.sparkSession, f"{path}.{uuid.uuid4().hex}.tmp"
+    lines.coalesce(1).write.text(beside)
+    fs, source = file_system(spark, beside)
+    part = next(f.getPath() for f in fs.listStatus(source) if f.getPath().getName().startswith("part-"))
+    target = file_system(spark, path)[1]
+    fs.mkdirs(target.getParent())
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"cannot move {beside} to {path}")
+    fs.delete(source, True)
+
+
 def keys(df: DataFrame, key: str, path: str, mode: str = "errorifexists") -> None:
     """One key a line, sorted."""
     df.select(F.col(key).cast("string").alias("value")).distinct().orderBy("value").write.mode(mode).text(path)

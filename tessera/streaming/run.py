@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from functools import lru_cache
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tessera.sources.readers import exists
-
-
-@lru_cache(maxsize=1)
-def _own_dir() -> str:
-    path = tempfile.mkdtemp(prefix="tessera-stream-")
-    atexit.register(shutil.rmtree, path, True)
-    return path
-
-
-def folder(spark: SparkSession) -> str:
-    """A new folder below the shared one of ``spark.checkpoint.dir``; only where that is unset below one of this process."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or _own_dir()}/stream-{uuid.uuid4().hex}"
+from tessera.sources.scratch import folder
 
 
 def available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Everything that the plan gives for the input at hand, in batches of which each is written as Parquet with its number as column batch."""
     spark = stream.sparkSession
-    at = folder(spark)
+    at = folder(spark, "stream")
 
     def write(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{at}/rows/batch={batch}")  # a repeated batch takes its own place
