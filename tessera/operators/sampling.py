@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import col, order_key
 from tessera.operators.aggregates import upper_median
+from tessera.sources.scratch import written
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int | Column) -> DataFrame:
@@ -34,8 +35,9 @@ def stratified_rounds(df: DataFrame, group: str, strata: Sequence[Column | str],
     names = [f"_s{k}" for k in range(len(s))]
     rows = df.select("*", *s)
     rows = rows.withColumn("round", F.row_number().over(Window.partitionBy(group, *names).orderBy(*(col(c) for c in order))))
-    rows = rows.withColumn("pick", F.row_number().over(Window.partitionBy(group).orderBy("round", *names)))
     most = F.lit(limits) if isinstance(limits, int) else F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in limits.items() for x in kv)), F.col(group)), F.lit(0))
+    # A row of the k-th round is the k-th at least, so later rounds go before a group is put in order.
+    rows = rows.filter(F.col("round") <= most).withColumn("pick", F.row_number().over(Window.partitionBy(group).orderBy("round", *names)))
     return rows.filter(F.col("pick") <= most).drop(*names)
 
 
@@ -82,29 +84,55 @@ def numeric_order(c: Column | str) -> list[Column]:
     return [n.isNull().cast("int"), n, col(c)]
 
 
-def greedy(df: DataFrame, keys: Sequence[str], pool: int, order: Sequence[Column | str], choose: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Runs a greedy choice in each key over its ``pool`` best rows by ``order``, which bounds what one task holds."""
+def best_of_pool(df: DataFrame, keys: Sequence[str], pool: int, order: Sequence[Column | str], choose: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """Runs a choice in each key over its ``pool`` best rows by ``order``, where the pool is what is asked for: what one task holds is bounded by it."""
     return first_n(df, keys, order, pool).groupBy(*keys).applyInPandas(choose, df.schema)
 
 
-def diverse(quality: str, bits: str, n: int, path: str, weight: float = 0.25) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """A choice of n rows: the best, then those that add most quality and Hamming distance of 64-bit hashes; one row a path."""
+def greedy(df: DataFrame, keys: Sequence[str], n: int, identity: str, remember: Sequence[str], order: Callable[[Column], Sequence[Column]]) -> DataFrame:
+    """n rows of each key, one a round: that which is least in ``order``, over all rows of the key that are not taken yet; adds pick, from 1.
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values([quality, path], ascending=[False, True], kind="stable").drop_duplicates(path).reset_index(drop=True)
-        hashes = [int(b) & (1 << 64) - 1 for b in rows[bits]]
-        taken: list[int] = []
-        while len(taken) < min(n, len(rows)):
-            scores = []
-            for i in range(len(rows)):
-                if i in taken:
-                    continue
-                apart = min(((hashes[i] ^ hashes[j]).bit_count() for j in taken), default=0)
-                scores.append((-(rows[quality][i] + weight * apart / 64), -apart, rows[path][i], i))
-            taken.append(min(scores)[-1])
-        return rows.iloc[taken]
+    ``order`` makes its sort keys from the taken ones, an array of structs of
+    ``identity`` and ``remember``; it must tell rows apart. A round is one
+    aggregate of all rows, of which each task sends one a key, so a key can
+    hold any number of rows; rounds are written, each key's taken ones are n at most.
+    """
+    key, fields = F.struct(*keys).alias("_k"), [identity, *remember]
+    rows = written(df.select(*dict.fromkeys([*keys, *fields])).withColumn("_k", key))
+    kind = F.array().cast(f"array<struct<{','.join(f'`{c}`:{rows.schema[c].dataType.simpleString()}' for c in fields)}>>")
+    taken = written(rows.select("_k").distinct().withColumn("_taken", kind))
+    for _ in range(n):
+        met = rows.join(taken, "_k").filter(~F.exists("_taken", lambda t: t[identity].eqNullSafe(F.col(identity))))
+        best = met.groupBy("_k").agg(F.min_by(F.struct(*fields), F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order(F.col("_taken")))))).alias("_b"))
+        taken = written(taken.join(best, "_k", "left").select("_k", F.when(F.col("_b").isNull(), F.col("_taken")).otherwise(F.concat("_taken", F.array("_b"))).alias("_taken")))
+    picks = taken.select(F.col("_k"), F.posexplode("_taken").alias("pick", "_b")).select("_k", (F.col("pick") + 1).alias("pick"), F.col(f"_b.{identity}").alias(identity))
+    return df.withColumn("_k", key).join(picks, ["_k", identity]).drop("_k")
 
-    return choose
+
+def diverse(df: DataFrame, keys: Sequence[str], n: int, quality: str, bits: str, path: str, weight: float = 0.25) -> DataFrame:
+    """n rows of each key: the best, then those that add most quality and Hamming distance of 64-bit hashes to the nearest taken one; one row a path."""
+    rows = df.groupBy(*keys, path).agg(F.max(F.struct(quality, bits)).alias("_r")).select(*keys, path, f"_r.{quality}", f"_r.{bits}")
+
+    def order(taken: Column) -> list[Column]:
+        apart = F.coalesce(F.array_min(F.transform(taken, lambda t: F.bit_count(t[bits].bitwiseXOR(F.col(bits))))), F.lit(0))
+        return [-(F.col(quality) + weight * apart / 64), -apart, F.col(path)]
+
+    return greedy(rows, keys, n, path, [quality, bits], order)
+
+
+def covering(df: DataFrame, keys: Sequence[str], n: int, weights: dict[str, float], typical: str, identity: str) -> DataFrame:
+    """n rows of each key, each adding most weight of values not yet seen in the columns, then typicality; of equals the smallest identity."""
+
+    def seen(taken: Column, c: str) -> Column:
+        return F.exists(taken, lambda t: t[c].eqNullSafe(F.col(c)))
+
+    def order(taken: Column) -> list[Column]:
+        gain = F.col(typical)
+        for c, w in weights.items():
+            gain = gain + F.when(seen(taken, c), 0.0).otherwise(float(w))
+        return [-gain, F.col(identity)]
+
+    return greedy(df, keys, n, identity, [*weights, typical], order)
 
 
 def hamming(a: Column | str, b: Column | str) -> Column:
@@ -123,23 +151,6 @@ def rounds_from_end(df: DataFrame, lane: str, order: Sequence[Column | str], n:
     return rows.orderBy("_round", lane).limit(n).drop("_round")
 
 
-def covering(weights: dict[str, float], typical: str, key: str, n: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """A choice of n rows, each adding most weight of values not yet seen in the columns, then typicality; of equals the smallest key."""
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, taken = pdf.sort_values(key, kind="stable").reset_index(drop=True), []
-        seen: dict[str, set] = {c: set() for c in weights}
-        while len(taken) < min(n, len(rows)):
-            score = {i: sum(w for c, w in weights.items() if rows[c][i] not in seen[c]) + float(rows[typical][i]) for i in range(len(rows)) if i not in taken}
-            best = min(score, key=lambda i: (-score[i], i))
-            taken.append(best)
-            for c in weights:
-                seen[c].add(rows[c][best])
-        return rows.iloc[taken]
-
-    return choose
-
-
 def typicality(df: DataFrame, value: Column, keys: Sequence[str], out: str = "typicality") -> DataFrame:
     """Adds how near the logarithm of a value is to its median within the keys: 1 at the median, falling with the distance."""
     log = F.log1p(value)

@@ -189,7 +189,10 @@ def balanced_quota(spark, d):
     return sampling.balanced(e, "event_type", "u", {("view", "1"): 2}, 8, ["event_id"]).select("event_type", "event_id")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT user_id, n, row_number() OVER (ORDER BY n DESC, user_id) AS i FROM (SELECT user_id, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1)),
+    s AS (SELECT CAST(0 AS BIGINT) AS i, [0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS loads, CAST(NULL AS INT) AS shard
+      UNION ALL SELECT c.i, list_transform(loads, lambda v, k: v + CASE WHEN k = list_position(loads, list_min(loads)) THEN n ELSE 0 END), CAST(list_position(loads, list_min(loads)) - 1 AS INT) FROM s JOIN c ON c.i = s.i + 1)
+    SELECT user_id, n, s.shard FROM s JOIN c USING (i)""")
 def lpt_shards(spark, d):
     costs = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
     return sampling.assign_shards(costs, "user_id", "n", 4)
@@ -200,10 +203,24 @@ def rank_shard(spark, d):
     return sampling.every_nth(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 3, 8)
 
 
-@query()
+def _rounds(n: int, key: str, identity: str, field: str, rows: str, score: str) -> str:
+    """SQL of n picks of each key, one a round, by a score over the field's values taken so far (list t.taken)."""
+    out = f"{rows}, t0 AS (SELECT DISTINCT {key}, [] AS ids, [] AS taken FROM r)"
+    for k in range(n):
+        best = f"SELECT r.*, row_number() OVER (PARTITION BY r.{key} ORDER BY {score}) AS turn FROM r JOIN t{k} t ON r.{key} = t.{key} WHERE NOT list_contains(t.ids, r.{identity})"
+        out += f", t{k + 1} AS (SELECT t.{key}, CASE WHEN b.{identity} IS NULL THEN ids ELSE list_append(ids, b.{identity}) END AS ids, CASE WHEN b.{identity} IS NULL THEN taken ELSE list_append(taken, b.{field}) END AS taken FROM t{k} t LEFT JOIN ({best}) b ON t.{key} = b.{key} AND b.turn = 1)"
+    return f"{out} SELECT {key}, unnest(ids) AS {identity}, CAST(generate_subscripts(ids, 1) AS INT) AS pick FROM t{n}"
+
+
+_APART = "coalesce(list_min(list_transform(t.taken, lambda b: bit_count(xor(b, r.bits)))), 0)"
+
+
+@query(_rounds(4, "label", "vec_id", "bits", "WITH r AS (SELECT label, vec_id, CAST(list_sum(list_transform(range(60), lambda k: CASE WHEN embedding[k + 1] > 0 THEN CAST(1 AS BIGINT) << k ELSE 0 END)) AS BIGINT) AS bits, CAST(embedding[1] AS DOUBLE) AS quality FROM embeddings)",
+    f"quality + 0.25 * {_APART} / 64 DESC, {_APART} DESC, vec_id"))
 def greedy_diverse(spark, d):
-    e = table(spark, d, "embeddings").select("label", "vec_id", F.xxhash64(F.slice("embedding", 1, 4).cast("string")).alias("bits"), F.element_at("embedding", 1).cast("double").alias("quality"), F.col("vec_id").cast("string").alias("path"))
-    return sampling.greedy(e, ["label"], 64, [F.desc("quality"), "path"], sampling.diverse("quality", "bits", 4, "path")).select("label", "vec_id")
+    bits = F.expr("aggregate(sequence(0, 59), 0L, (a, k) -> a + CASE WHEN get(embedding, k) > 0 THEN shiftleft(1L, k) ELSE 0L END)")
+    e = table(spark, d, "embeddings").select("label", "vec_id", bits.alias("bits"), F.element_at("embedding", 1).cast("double").alias("quality"))
+    return sampling.diverse(e, ["label"], 4, "quality", "bits", "vec_id").select("label", "vec_id", "pick")
 
 
 @query("""SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25""")
@@ -252,13 +269,19 @@ def rounds_from_end(spark, d):
     return sampling.rounds_from_end(table(spark, d, "documents").select("doc_id", "source"), "source", ["doc_id"], 50)
 
 
-@query()
+_TYPICAL = "WITH m AS (SELECT lang, quantile_cont(ln(1 + n_chars), 0.5) AS m FROM documents GROUP BY 1), r AS (SELECT lang, doc_id, source, 1 / (1 + abs(ln(1 + n_chars) - m)) AS typical FROM documents JOIN m USING (lang))"
+
+
+@query(_rounds(8, "lang", "doc_id", "source", _TYPICAL, "round(typical, 12) + CASE WHEN list_contains(t.taken, r.source) THEN 0 ELSE 5 END DESC, r.doc_id"))
 def covering_pick(spark, d):
     docs = sampling.typicality(table(spark, d, "documents").select("lang", "source", "doc_id", "n_chars"), F.col("n_chars"), ["lang"])
-    return sampling.greedy(docs, ["lang"], 200, [F.desc("typicality"), "doc_id"], sampling.covering({"source": 5.0}, "typicality", "doc_id", 8)).select("lang", "doc_id")
+    # Rounded, so that both logarithms give the same ties.
+    return sampling.covering(docs.withColumn("typicality", F.round("typicality", 12)), ["lang"], 8, {"source": 5.0}, "typicality", "doc_id").select("lang", "doc_id", "pick")
 
 
-@query()
+@query("""WITH m AS (SELECT percentile_disc(0.5) WITHIN GROUP (ORDER BY CAST(n_chars AS DOUBLE) DESC) AS m FROM documents), r AS (SELECT doc_id, lang, source, abs(n_chars - m) AS gap FROM documents, m),
+    s AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY gap, doc_id) AS in_size FROM r), t AS (SELECT *, row_number() OVER (PARTITION BY source, in_size = 1 ORDER BY gap, doc_id) AS in_scene FROM s),
+    u AS (SELECT *, CASE WHEN in_size = 1 THEN 0 WHEN source NOT IN (SELECT source FROM s WHERE in_size = 1) AND in_scene = 1 THEN 1 ELSE 2 END AS turn FROM t) SELECT doc_id, lang, source FROM u ORDER BY turn, gap, doc_id LIMIT 30""")
 def representative_order(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.col("n_chars").cast("double").alias("v"))
     return sampling.representatives(docs, "v", "lang", "source", "doc_id", 30).select("doc_id", "lang", "source")

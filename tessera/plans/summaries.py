@@ -155,7 +155,7 @@ def wilcoxon(spark, d):
 
 @query()
 def bootstrap_delta(spark, d):
-    return stats.bootstrap_delta(table(spark, d, "customer"), "c_acctbal", samples=500, order=["c_custkey"])
+    return stats.bootstrap_delta(table(spark, d, "customer"), "c_acctbal", ["c_custkey"], samples=500)
 
 
 @query("""SELECT count(*) > 100 AS enough, avg(l_discount) < 0.06 AS low, max(l_quantity) <= 50 AS bounded, count(*) > 100 AND avg(l_discount) < 0.06 AND max(l_quantity) <= 50 AS passed FROM lineitem""")

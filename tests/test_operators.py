@@ -146,8 +146,31 @@ def test_average_ranks(spark, values):
 def test_bootstrap_covers_the_mean(spark):
     rnd = random.Random(1)
     df = spark.createDataFrame([(i, rnd.gauss(2, 1)) for i in range(400)], "i int, d double")
-    r = stats.bootstrap_delta(df, "d", samples=400, order=["i"]).first()
+    r = stats.bootstrap_delta(df, "d", ["i"], samples=400).first()
     assert r["low"] < r["mean"] < r["high"] and 0.1 < r["high"] - r["low"] < 0.4
+    ties = stats.bootstrap_delta(df.select("i", (F.col("i") % 2).alias("d")), "d", ["i"], samples=2_000).first()
+    assert ties["mean"] == 0.5 and 0.44 < ties["low"] < 0.46 and 0.54 < ties["high"] < 0.56
+    with pytest.raises(ValueError):
+        stats.bootstrap_delta(df, "d", [])
+
+
+def test_p_values(spark):
+    """Against the normal distribution of the standard library, and Student's by integration."""
+    import math
+
+    z = [0.0, 0.3, 1.0, 1.96, 2.999, 3.001, 5.0, -2.5]
+    out = spark.createDataFrame([(v,) for v in z], "z double").select("z", stats.normal_p(F.col("z")).alias("p")).collect()
+    assert all(math.isclose(r["p"], math.erfc(abs(r["z"]) / math.sqrt(2)), rel_tol=1e-8, abs_tol=1e-15) for r in out)
+
+    def student(t, n):
+        x = [i * abs(t) / 20_000 for i in range(20_001)]
+        y = [(1 + v * v / n) ** (-(n + 1) / 2) for v in x]
+        area = (sum(y) - (y[0] + y[-1]) / 2) * abs(t) / 20_000
+        return 1 - 2 * area * math.exp(math.lgamma((n + 1) / 2) - math.lgamma(n / 2)) / math.sqrt(n * math.pi)
+
+    pairs = [(0.5, 1), (2.0, 3), (-2.1, 10), (1.3, 50), (3.0, 400), (0.0, 5)]
+    out = spark.createDataFrame(pairs, "t double, n int").select("t", "n", stats.student_p(F.col("t"), F.col("n")).alias("p")).collect()
+    assert all(math.isclose(r["p"], student(r["t"], r["n"]), rel_tol=1e-5, abs_tol=1e-9) for r in out)
 
 
 def test_cuts_go_up(spark):
@@ -225,8 +248,11 @@ def test_greedy_choices(spark):
     import pandas as pd
 
     pdf = pd.DataFrame({"k": range(6), "scene": list("aabbcc"), "target": list("xyxyxy"), "t": [0.1, 0.9, 0.2, 0.3, 0.0, 0.5]})
-    assert sampling.covering({"scene": 5, "target": 3}, "t", "k", 3)(pdf)["k"].tolist() == [1, 2, 5]
-    assert sampling.unique_first(["scene"], ["t"], "k", 4)(pdf)["k"].tolist() == [0, 2, 4, 1]
+    rows = spark.createDataFrame(pdf).withColumn("g", F.lit(1))
+    picks = sampling.covering(rows, ["g"], 3, {"scene": 5, "target": 3}, "t", "k").orderBy("pick").collect()
+    assert [r["k"] for r in picks] == [1, 2, 5]
+    few = sampling.best_of_pool(rows, ["g"], 6, ["k"], sampling.unique_first(["scene"], ["t"], "k", 4)).collect()
+    assert [r["k"] for r in few] == [0, 2, 4, 1]
     df = spark.createDataFrame([(k, s, c, float(v)) for k, (s, c, v) in enumerate([("small", "p", 1), ("small", "p", 5), ("mid", "p", 9), ("mid", "q", 4), ("mid", "r", 6), ("small", "q", 5)])], "k int, size string, scene string, v double")
     picked = [r["k"] for r in sampling.representatives(df, "v", "size", "scene", "k", 3).collect()]
     assert picked[0] == 1 and len(set(picked)) == 3

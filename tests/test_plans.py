@@ -8,9 +8,9 @@ from tessera.plans.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 #: Joins with a table of one row, or a product of two fixed small ranges.
-ONE_ROW = {"wilcoxon", "representative_order", "recovery_offsets", "js_divergence"}
+ONE_ROW = {"arrays_and_lines", "js_divergence", "numbered_files", "recovery_offsets", "representative_order", "salvage_unions", "tolerant_files", "wilcoxon"}
 #: Greedy choices and resampling, which columns cannot express.
-PYTHON = {"bootstrap_delta", "covering_pick", "greedy_diverse", "lpt_shards"}
+PYTHON = {"bootstrap_delta", "lpt_shards", "stored_arrays"}
 
 
 def _plan(spark, name):
