@@ -280,7 +280,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     ends = rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last")
     met = materialize(rows.join(ends, "key").select("key", "node", "first", "last").distinct())
     holders = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sketches = materialize(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "n", "wide", *_SKETCH).dropDuplicates(["node"]))
+    one_each = nodes.select("node", "n", "wide", *_SKETCH).dropDuplicates(["node"])  # each task first, so that copies do not meet as rows
+    sketches = materialize(one_each.join(met.select("node").distinct(), "node", "left_semi"))
 
     stars = met.select(F.col("first").alias("a"), F.col("node").alias("b")).union(met.select(F.col("last").alias("a"), F.col("node").alias("b")))
     stars = stars.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -84,3 +84,47 @@ def test_pairwise_loss_orders_the_pairs():
     y = (x @ [2.0, -1.0, 0.0] + rnd.normal(size=400) * 0.1 > 0).astype(float)
     ranking = bradley_terry.fit(x, y, 20_000)
     assert ((ranking.scores(x) >= bradley_terry.CUT) == (y == 1)).mean() > 0.95
+
+
+def test_ftrl_equals_its_plain_form(spark):
+    """The rule of FTRL-proximal written out feature by feature, over the same examples in the same order."""
+    import math
+
+    docs, labels = _labelled(spark, 120)
+    got = ftrl.train(docs, labels, F.lit(True), bits=16, epochs=2)
+    hashes, alpha, beta, l1 = WordHashes(), 2.0, 1.0, 6.0
+    rows = docs.join(labels, "doc_id").select(F.xxhash64("doc_id").alias("turn"), "text", "toxic").orderBy("turn").collect()
+    rate = sum(r["toxic"] for r in rows) / len(rows)
+    z, n, bias, bias_n = {}, {}, math.log(rate / (1 - rate)), 0.0
+    weight = lambda k: 0.0 if abs(z.get(k, 0.0)) <= l1 else (math.copysign(l1, z[k]) - z[k]) / ((beta + math.sqrt(n[k])) / alpha)
+    for _ in range(2):
+        for r in rows:
+            at = sorted(set(ftrl.features([r["text"]], 16, hashes)[1].tolist()))
+            w = [weight(k) for k in at]
+            g = 1 / (1 + math.exp(-(sum(w) + bias))) - r["toxic"]
+            for k, wk in zip(at, w, strict=True):
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / alpha * wk
+                n[k] = n.get(k, 0.0) + g * g
+            bias_n += g * g
+            bias -= 0.02 * g / (1 + math.sqrt(bias_n))
+    expected = {k: weight(k) for k in z if weight(k)}
+    assert set(got.index.tolist()) == set(expected) and abs(got.bias - bias) < 1e-9
+    assert all(abs(v - expected[int(k)]) < 1e-5 for k, v in zip(got.index, got.value, strict=True))
+
+
+def test_ranking_minimises_the_pairwise_loss():
+    """No small change of a weight lowers the loss over the drawn pairs; the cut is the quantile of the share of bad rows."""
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(300, 5))
+    y = (x @ np.array([1.0, -2.0, 0.5, 0.0, 0.3]) + rnd.normal(size=300) > 0.2).astype(int)
+    ranking = bradley_terry.fit(x, y, pairs=4_000)
+    good, bad, draw = np.flatnonzero(y == 1), np.flatnonzero(y == 0), np.random.default_rng(7)
+    d = x[draw.choice(good, 4_000)] - x[draw.choice(bad, 4_000)]
+    scale = x.std(axis=0)
+    loss = lambda w: np.log1p(np.exp(-d @ w)).mean() + 1e-4 / 2 * ((w * scale) ** 2).sum()
+    w = np.array(ranking.weights)
+    for k in range(5):
+        for step in (1e-3, -1e-3):
+            assert loss(w + step * np.eye(5)[k]) > loss(w)
+    assert abs((x @ w < ranking.cut).mean() - (y == 0).mean()) < 0.01
+    assert abs(ranking.scores(x).round(6)[np.abs(x @ w - ranking.cut).argmin()] - 0.7) < 0.05

@@ -362,3 +362,31 @@ def test_wrapper_learns_from_all_pages(spark, monkeypatch, group):
     rows += [(300 + k, f"http://c{k}.example/", first.format(k=j)) for k in range(20) for j in (1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 3)]
     out = wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(out) == len(rows) and all(len(r["text"].split("\n")) == 2 and r["text"].startswith("Title") for r in out)
+
+
+def test_pipeline_stages_on_awkward_rows(spark, awkward, nothing):
+    """Nulls, empty and long texts, ties, repeated rows and clashing columns pass every stage; an empty table gives an empty one."""
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    rows = awkward.withColumns({"n_chars": F.char_length("text").cast("long"), "score": F.lit("old"), "ids": F.lit(1), "component_id": F.lit(2)})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, d)
+        ids = {r["doc_id"] for r in out.collect()}
+        assert ids <= {1, 2, 3, 4, 5, 6, 7, 8, 9, None}, name
+        if name not in ("packing",):
+            assert out.columns == list(corpus_pipeline.COLUMNS), name
+        if name in ("pii", "packing"):
+            assert ids == {1, 2, 3, 4, 5, 6, 7, 8, 9, None}, name
+        if name == "near copies":
+            assert ids == {1, 3, 4, 5, 6, 7, 8, 9, None}, name
+        assert stage(spark, nothing.withColumn("n_chars", F.lit(1).cast("long")), d).count() == 0, name
+
+
+def test_a_repeated_id_with_one_copied_text(spark):
+    import corpus_pipeline
+
+    words = lambda k: " ".join(f"w{k}{i}" for i in range(30))
+    rows = [(1, words("a"), "en", "s", 1), (2, words("a"), "en", "s", 1), (2, words("b"), "en", "s", 1), (3, words("b"), "en", "s", 1), (4, words("a"), "en", "s", 1)]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 2]
