@@ -28,7 +28,24 @@ def depth_grids(spark, d):
     return g.select("vec_id", F.array_min(F.flatten("g")).alias("least"))
 
 
-@query()
+_STATES = """WITH s AS (SELECT user_id, row_number() OVER w - 1 AS step, CASE WHEN row_number() OVER w > 1 THEN CASE event_type WHEN 'view' THEN 'left' WHEN 'click' THEN 'right' WHEN 'purchase' THEN 'forward' WHEN 'signup' THEN 'ascend' ELSE 'other' END END AS a,
+        3.0 * count(*) FILTER (event_type = 'purchase') OVER r AS x, ((30.0 * (count(*) FILTER (event_type = 'view') OVER r - count(*) FILTER (event_type = 'click') OVER r) + 180) % 360 + 360) % 360 - 180 AS yaw
+        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), r AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+    t AS (SELECT *, abs(x - lag(x) OVER w) AS moved, abs(((yaw - lag(yaw) OVER w + 180) % 360 + 360) % 360 - 180) AS h, coalesce(CAST(a <> lag(a) OVER w AS INT), 1) AS changed, coalesce(a IN ('left', 'right'), false) AS turn, coalesce(a IN ('forward', 'ascend'), false) AS go FROM s WINDOW w AS (PARTITION BY user_id ORDER BY step)),
+    u AS (SELECT *, sum(CAST(go AS INT)) OVER r AS moves, coalesce(sum(h) OVER r, 0) AS heading, max(CASE WHEN NOT turn THEN step END) OVER r AS turned, step - max(CASE WHEN changed = 1 THEN step END) OVER r + 1 AS since,
+        list_filter(list(a) OVER (PARTITION BY user_id ORDER BY step ROWS 4 PRECEDING), lambda v: v IS NOT NULL) AS recent, abs(x - first_value(x) OVER (PARTITION BY user_id ORDER BY step ROWS 5 PRECEDING)) AS net FROM t WINDOW r AS (PARTITION BY user_id ORDER BY step ROWS UNBOUNDED PRECEDING)),
+    v AS (SELECT *, step > 5 AND EXISTS (SELECT 1 FROM u o WHERE o.user_id = u.user_id AND o.step <= u.step - 5 AND abs(o.x - u.x) < 1 AND u.moves > o.moves) AS back,
+        EXISTS (SELECT 1 FROM u o WHERE o.user_id = u.user_id AND o.turned = u.turned AND o.step <= u.step - 10 AND abs(o.x - u.x) < 1 AND abs(((o.yaw - u.yaw + 180) % 360 + 360) % 360 - 180) < 15 AND u.heading - o.heading >= 300) AS looped FROM u),
+    m AS (SELECT *, CASE WHEN step = 0 THEN 'not_started' WHEN back THEN 'revisiting' WHEN list_has_any(recent, ['forward', 'ascend']) THEN CASE WHEN net < 1 THEN 'stagnant' ELSE 'progressing' END ELSE 'stationary_scanning' END AS motion_state,
+        len(recent) >= 4 AND net < 1 AND len(list_filter(recent[-4:], lambda q: q NOT IN ('left', 'right'))) = 0 AND recent[-4] <> recent[-3] AND recent[-3] <> recent[-2] AND recent[-2] <> recent[-1] AS swings,
+        len(list_filter(recent, lambda q: q NOT IN ('left', 'right'))) = 0 AS turns, len(list_filter(range(1, len(recent)), lambda k: recent[k] = recent[k + 1])) = 0 AS alternating, len(list_distinct(recent)) = 1 AS one FROM v),
+    n AS (SELECT *, CASE WHEN looped THEN 'full_rotation_loop' WHEN coalesce(swings, false) THEN 'oscillating' WHEN NOT turn THEN 'none' ELSE 'scan_' || a || '_x' || since END AS turn_state FROM m),
+    d AS (SELECT *, CASE WHEN turn_state = 'full_rotation_loop' THEN 'LOOP_RECOVERY' WHEN turn_state = 'oscillating' THEN 'OSCILLATION_RECOVERY' WHEN motion_state = 'revisiting' THEN 'POSITION_RECOVERY' WHEN go AND moved < 1 THEN 'FAILED_TRANSLATION_RECOVERY' ELSE 'NORMAL' END AS decision_mode FROM n)
+    SELECT user_id, step, motion_state, turn_state, CASE WHEN len(recent) = 0 THEN 'none' WHEN turns AND one THEN recent[1] || '_turn_x' || len(recent) WHEN turns AND alternating THEN 'alternating_turns' WHEN turns THEN 'mixed_turns' WHEN one THEN recent[1] || '_x' || len(recent) ELSE 'mixed_motion' END AS action_pattern,
+    decision_mode, CASE WHEN NOT turn THEN 'none' WHEN decision_mode = 'LOOP_RECOVERY' THEN a WHEN decision_mode = 'OSCILLATION_RECOVERY' THEN CASE WHEN a = 'right' THEN 'left' ELSE 'right' END ELSE 'none' END AS avoid_turn FROM d"""
+
+
+@query(_STATES)
 def memory_states(spark, d):
     e = seq.with_row(table(spark, d, "events"), ["user_id"], ["ts", "event_id"])
     turn = F.element_at(F.create_map(F.lit("view"), F.lit("turn left 30 degree"), F.lit("click"), F.lit("turn right 30 degree"), F.lit("purchase"), F.lit("forward 3m"), F.lit("signup"), F.lit("ascend 3m"), F.lit("error"), F.lit("stop")), F.col("event_type"))
