@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import distance
-from tessera.operators.rows import dedupe
+from tessera.operators.rows import dedupe, numbered, require
 
 
 def left_with_policy(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, policy: str, default: Column | None = None) -> DataFrame:
@@ -50,6 +50,14 @@ def positional(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
     return left.join(right, by, "full")
 
 
+def zipped(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str], strict: bool = True, place: str = "place") -> DataFrame:
+    """Rows of both sides side by side, each side in its own order, which tells its rows apart; sides of different lengths are an error where strict, else the longer one's rest has nulls beside it."""
+    out = numbered(left.withColumn("_left", F.lit(True)), left_order, place).join(numbered(right.withColumn("_right", F.lit(True)), right_order, place), place, "full")
+    if strict:
+        out = require(out, F.col("_left").isNotNull() & F.col("_right").isNotNull(), "the sides have different lengths")
+    return out.drop("_left", "_right")
+
+
 def nested_left(frames: DataFrame, array: str, by: str, extra: DataFrame, keys: Sequence[str], field: str) -> DataFrame:
     """Adds a field from ``extra`` (keys, by, field) to the structs of an array column, in the array's order, and how many were found."""
     rows = frames.select(*keys, F.posexplode(array).alias("_i", "_f"))

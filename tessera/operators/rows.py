@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import col, falsy_coalesce
+from tessera.sources.scratch import written
 
 
 def sample_key(scene="scene_id", episode="episode_id", pose="pose_idx", frame="frame_idx") -> Column:
@@ -108,6 +109,15 @@ def conflicts(df: DataFrame, input_columns: Sequence[str], label: str, order: st
     )
 
 
+def numbered(df: DataFrame, order: Sequence[str], out: str = "place") -> DataFrame:
+    """Adds the place of each row, from 0, in an order that tells rows apart: rows are dealt by ranges, numbered in each, and the sizes of the ranges before are added."""
+    dealt = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return dealt.withColumn("_k", within).join(F.broadcast(sizes.select("_p", before.alias("_b"))), "_p").withColumn(out, F.col("_b") + F.col("_k") - 1).drop("_p", "_k", "_b")
+
+
 def any_of(*tests: Column) -> Column:
     return reduce(or_, tests)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.visibility import Policy
-from tessera.operators import tables
+from tessera.operators import joins, tables
 from tessera.plans.base import query, r, table
 
 
@@ -158,6 +158,14 @@ def redirects(spark, d):
     )
 
 
+@query("""WITH a AS (SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS place, o_orderkey AS cheap FROM orders), b AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place, o_orderkey AS early FROM orders),
+    c AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS place, c_custkey FROM customer) SELECT place, cheap, early, c_custkey FROM a JOIN b USING (place) LEFT JOIN c USING (place)""")
+def zipped_rows(spark, d):
+    o = table(spark, d, "orders")
+    both = joins.zipped(o.select("o_totalprice", "o_orderkey", F.col("o_orderkey").alias("cheap")), o.select("o_orderdate", F.col("o_orderkey").alias("k"), F.col("o_orderkey").alias("early")), ["o_totalprice", "o_orderkey"], ["o_orderdate", "k"])
+    return joins.zipped(both.withColumnRenamed("place", "first"), table(spark, d, "customer").select("c_custkey"), ["first"], ["c_custkey"], strict=False).select("place", "cheap", "early", "c_custkey")
+
+
 @query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1")
 def first_steps(spark, d):
     return tables.first_steps(table(spark, d, "events"), ["user_id"], "event_id").select("user_id", "event_id")
