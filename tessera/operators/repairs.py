@@ -102,8 +102,10 @@ def represented(stops: DataFrame, queue: DataFrame, key: str, members: str, coun
     come out, and one of them that no stop covers is an error too.
     """
     met = stops.join(queue.select(key, members, count), key, "left")
-    ok = F.assert_true(F.coalesce(F.size(members) == F.col(count), F.lit(False)), F.concat(F.lit("no entry, or another count, for "), F.col(key).cast("string")))
-    rows = met.withColumn("_ok", ok).filter(F.col("_ok").isNull()).withColumn(member, F.explode(members)).drop("_ok", members, count)
+    # Within what is exploded, so that no filter on it can come before the test.
+    bad = F.raise_error(F.concat(F.lit("no entry, or another count, for "), F.col(key).cast("string"))).cast(met.schema[members].dataType)
+    checked = F.when(F.coalesce(F.size(members) == F.col(count), F.lit(False)), F.col(members)).otherwise(bad)
+    rows = met.withColumn(member, F.explode(checked)).drop(members, count)
     twice = rows.groupBy(member).agg(F.assert_true(F.count("*") == 1, F.concat(F.lit("covered twice: "), F.first(member).cast("string"))).alias("_once"))
     rows = rows.join(twice, member).filter(F.col("_once").isNull()).drop("_once")
     if only is None:

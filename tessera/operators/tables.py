@@ -45,8 +45,9 @@ def pose_at(rows: DataFrame, records: DataFrame, keys: Sequence[str], frame: str
 
 def source_frames(records: DataFrame, keys: Sequence[str], images: str, poses: str, actions: str) -> DataFrame:
     """keys, frame_idx, image, pose, action: the arrays of a record side by side; images and poses of different numbers are an error, missing actions empty."""
-    same = F.assert_true(F.size(images) == F.size(poses), F.lit("as many poses as images are needed"))
-    rows = records.withColumn("_ok", same).filter(F.col("_ok").isNull()).select(*keys, F.posexplode(images).alias("frame_idx", "image"), poses, F.coalesce(F.col(actions), F.array().cast("array<string>")).alias("_a"))
+    bad = F.raise_error(F.lit("as many poses as images are needed")).cast(records.schema[images].dataType)
+    checked = F.when(F.coalesce(F.size(images), F.lit(0)) == F.coalesce(F.size(poses), F.lit(0)), F.col(images)).otherwise(bad)
+    rows = records.select(*keys, F.posexplode(checked).alias("frame_idx", "image"), poses, F.coalesce(F.col(actions), F.array().cast("array<string>")).alias("_a"))
     return rows.select(*keys, "frame_idx", "image", F.get(poses, F.col("frame_idx")).alias("pose"), F.coalesce(F.get("_a", F.col("frame_idx")), F.lit("")).alias("action"))
 
 
