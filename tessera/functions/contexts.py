@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import col
-from tessera.operators.memory import effects
+from tessera.operators.memory import effects, states
 from tessera.operators.sequence import ordered
 
 # The texts of a context.
@@ -22,6 +22,18 @@ RULE_FORWARD_BOUNDS = "- Before choosing forward 3m, consider both CurrentViewDe
 RULE_STOP = "- Do not stop only because many steps were used; stop only when the target is visually confirmed."
 BOUNDS_OF_START_POSE = "SearchBounds are centered on EpisodeStartPose. Keep the next horizontal pose inside them.\n"
 BOUNDS_OF_START = "SearchBounds are centered on the episode start position. Keep the next horizontal pose inside them.\n"
+RULES_POSES = "- Use EpisodeMemory to avoid revisiting the same place and avoid repeated rotations.\n- If RecentActions show repeated turns, prefer moving forward only when CurrentViewDepth is safe.\n"
+RULE_POSES_BOUNDS = "- Before choosing forward 3m, consider whether the next pose would remain inside SearchBounds.\n"
+RULE_POSES_STOP = "- Do not stop only because memory shows many steps; stop only when the target is visually confirmed."
+RULES_STATES = """- Memory contains executed history only. The current RGB image and CurrentViewDepth describe the present state.
+- First inspect the current RGB image. If the target clearly matches the target description, choose stop immediately; memory must not override clear target evidence.
+- If the target is not clearly confirmed, never choose stop only because of the step count, stagnation, or repeated actions.
+- A short same-direction turn sequence is normal visual scanning. Change strategy only when RecentTurnState is oscillating or full_rotation_loop, or RecentMotionState is stagnant or revisiting.
+- For full_rotation_loop or revisiting, do not repeat the same turn pattern. Choose forward only when CurrentViewDepth indicates that the complete 3m path is safe.
+- For oscillating, do not reverse the most recent turn again; either repeat the most recent turn once to break the alternation, or choose forward when safe.
+- If a translation action moved less than 1m, do not immediately repeat that translation; inspect another direction first.
+- Never use descend only to break a loop. Use ascend only when the upper depth cells are clear."""
+RULE_STATES_BOUNDS = "\n- Keep the next horizontal pose inside SearchBounds."
 DIRECTIVES = {
     "LOOP_RECOVERY": "A full visual scan is complete. Change position now: move forward when the complete 3m path is depth-safe; otherwise turn away from {avoid} once and reassess. Do not continue turning {turn}.",
     "OSCILLATION_RECOVERY": "Break the left-right alternation. Do not turn {avoid} next; move forward when depth-safe, otherwise continue {turn} once and reassess.",
@@ -113,12 +125,48 @@ def pose_action_history(steps: DataFrame, keys: Sequence[str], step: str, action
     return df.withColumn(out, text).drop("_start", "_now", "_recent")
 
 
+def _poses(df: DataFrame, keys: Sequence[str], step: str, action: str, n: int) -> tuple[DataFrame, Column, Column]:
+    """The table with _start; the last n poses as lines in brackets, and the last n actions with commas between them."""
+    w = ordered(keys, [step])
+    pose, recent = F.struct("x", "y", "z", "yaw"), w.rowsBetween(-(n - 1), 0)
+    out = df.withColumns({"_start": F.first(pose).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_poses": F.collect_list(pose).over(recent), "_acts": F.collect_list(action).over(recent)})
+    line = lambda p: _put("  [({x}, {y}, {z}), {yaw}]", x=fixed(p["x"]), y=fixed(p["y"]), z=fixed(p["z"]), yaw=fixed(p["yaw"]))
+    lines = F.concat(F.lit(f"Previous UAV Poses (up to last {n} actual poses, oldest to newest):\nFormat: [(x, y, z), yaw_degrees]\n[\n"), F.array_join(F.transform("_poses", line), ",\n"), F.lit("\n]\nTrajectorySummary:\n"))
+    return out, lines, F.when(F.size("_acts") > 0, F.array_join("_acts", ", ")).otherwise("none")
+
+
+def pose_history(steps: DataFrame, keys: Sequence[str], step: str, action: str = "action", n: int = 5, bounds: bool = False, radius: float = 50.0, out: str = "context") -> DataFrame:
+    """Adds the context of the last n poses and actions, as of each step."""
+    df, lines, acts = _poses(effects(steps, keys, step), keys, step, action, n)
+    start = F.col("_start")
+    text = F.concat(
+        F.lit("EpisodeMemory:\n"), _bounds(radius, (start["x"], start["y"]), BOUNDS_OF_START) if bounds else F.lit(""), lines,
+        F.lit("StepsSoFar = "), F.col(step).cast("string"), F.lit("\nDistanceTraveled = "), fixed("distance_traveled"), F.lit("m\nAvgHeadingChange = "), fixed("mean_heading_change"),
+        F.lit("deg\nRecentActions = "), acts, F.lit("\n\nMemory rules:\n" + RULES_POSES + (RULE_POSES_BOUNDS if bounds else "") + RULE_POSES_STOP),
+    )
+    return df.withColumn(out, text).drop("_start", "_poses", "_acts")
+
+
+def state_history(steps: DataFrame, keys: Sequence[str], step: str, action: str = "action", n: int = 5, bounds: bool = False, radius: float = 50.0, most: int = 100, rules: str = RULES_STATES, out: str = "context") -> DataFrame:
+    """Adds the context of the last n poses and actions with the states of the episode, as of each step; ``rules`` may be another policy's."""
+    df, lines, acts = _poses(states(steps, keys, step, action, n), keys, step, action, n)
+    start = F.col("_start")
+    effect = _put("translation {move}m, heading_change {turn}deg", move=fixed("translation"), turn=fixed("heading_change", 1))
+    text = F.concat(
+        F.lit("EpisodeMemory:\n"), _bounds(radius, (start["x"], start["y"]), BOUNDS_OF_START) if bounds else F.lit(""), lines,
+        F.lit("StepsSoFar = "), F.col(step).cast("string"), F.lit(f"/{most}\nRecentNetDisplacementLast{n} = "), fixed("net_displacement"), F.lit("m\nLastActionEffect = "), F.coalesce(effect, F.lit("none")),
+        F.lit("\nRecentMotionState = "), F.col("motion_state"), F.lit("\nRecentTurnState = "), F.col("turn_state"), F.lit("\nRecentActions (oldest to newest) = "), acts,
+        F.lit("\n\nMemory rules:\n" + rules + (RULE_STATES_BOUNDS if bounds else "")),
+    )
+    return df.withColumn(out, text).drop("_start", "_poses", "_acts")
+
+
 def no_context(steps: DataFrame, keys: Sequence[str], step: str, out: str = "context", **_) -> DataFrame:
     """Adds an empty context."""
     return steps.withColumn(out, F.lit(""))
 
 
-CONTEXTS: dict[str, Callable[..., DataFrame]] = {"none": no_context, "transition_history": transition_history, "pose_action_history": pose_action_history}
+CONTEXTS: dict[str, Callable[..., DataFrame]] = {"none": no_context, "pose_history": pose_history, "state_history": state_history, "transition_history": transition_history, "pose_action_history": pose_action_history}
 
 
 def build(name: str, steps: DataFrame, keys: Sequence[str], step: str, **options) -> DataFrame:

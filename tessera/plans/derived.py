@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import geometry, prompts, rasters, text, visibility
+from tessera.functions import contexts, geometry, prompts, rasters, text, visibility
 from tessera.operators import aggregates as agg
 from tessera.operators import outcomes, rows, stats
 from tessera.operators import sequence as seq
@@ -28,6 +28,16 @@ def depth_grids(spark, d):
     return g.select("vec_id", F.array_min(F.flatten("g")).alias("least"))
 
 
+def _turning(spark, d):
+    """Steps of agents that turn and go forward, from events."""
+    e = seq.with_row(table(spark, d, "events"), ["user_id"], ["ts", "event_id"])
+    turn = F.element_at(F.create_map(F.lit("view"), F.lit("turn left 30 degree"), F.lit("click"), F.lit("turn right 30 degree"), F.lit("purchase"), F.lit("forward 3m"), F.lit("signup"), F.lit("ascend 3m"), F.lit("error"), F.lit("stop")), F.col("event_type"))
+    w = seq.running(["user_id"], ["_row"])
+    moved = F.sum((F.col("event_type") == "purchase").cast("int") * 3.0).over(w)
+    yaw = geometry.wrap_degrees(F.sum((F.col("event_type") == "view").cast("int") * 30.0 - (F.col("event_type") == "click").cast("int") * 30.0).over(w))
+    return e.select("user_id", (F.col("_row") - 1).cast("long").alias("step"), F.when(F.col("_row") > 1, turn).alias("action"), moved.alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), yaw.alias("yaw"))
+
+
 _STATES = """WITH s AS (SELECT user_id, row_number() OVER w - 1 AS step, CASE WHEN row_number() OVER w > 1 THEN CASE event_type WHEN 'view' THEN 'left' WHEN 'click' THEN 'right' WHEN 'purchase' THEN 'forward' WHEN 'signup' THEN 'ascend' ELSE 'other' END END AS a,
         3.0 * count(*) FILTER (event_type = 'purchase') OVER r AS x, ((30.0 * (count(*) FILTER (event_type = 'view') OVER r - count(*) FILTER (event_type = 'click') OVER r) + 180) % 360 + 360) % 360 - 180 AS yaw
         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), r AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
@@ -40,20 +50,25 @@ _STATES = """WITH s AS (SELECT user_id, row_number() OVER w - 1 AS step, CASE WH
         len(recent) >= 4 AND net < 1 AND len(list_filter(recent[-4:], lambda q: q NOT IN ('left', 'right'))) = 0 AND recent[-4] <> recent[-3] AND recent[-3] <> recent[-2] AND recent[-2] <> recent[-1] AS swings,
         len(list_filter(recent, lambda q: q NOT IN ('left', 'right'))) = 0 AS turns, len(list_filter(range(1, len(recent)), lambda k: recent[k] = recent[k + 1])) = 0 AS alternating, len(list_distinct(recent)) = 1 AS one FROM v),
     n AS (SELECT *, CASE WHEN looped THEN 'full_rotation_loop' WHEN coalesce(swings, false) THEN 'oscillating' WHEN NOT turn THEN 'none' ELSE 'scan_' || a || '_x' || since END AS turn_state FROM m),
-    d AS (SELECT *, CASE WHEN turn_state = 'full_rotation_loop' THEN 'LOOP_RECOVERY' WHEN turn_state = 'oscillating' THEN 'OSCILLATION_RECOVERY' WHEN motion_state = 'revisiting' THEN 'POSITION_RECOVERY' WHEN go AND moved < 1 THEN 'FAILED_TRANSLATION_RECOVERY' ELSE 'NORMAL' END AS decision_mode FROM n)
-    SELECT user_id, step, motion_state, turn_state, CASE WHEN len(recent) = 0 THEN 'none' WHEN turns AND one THEN recent[1] || '_turn_x' || len(recent) WHEN turns AND alternating THEN 'alternating_turns' WHEN turns THEN 'mixed_turns' WHEN one THEN recent[1] || '_x' || len(recent) ELSE 'mixed_motion' END AS action_pattern,
-    decision_mode, CASE WHEN NOT turn THEN 'none' WHEN decision_mode = 'LOOP_RECOVERY' THEN a WHEN decision_mode = 'OSCILLATION_RECOVERY' THEN CASE WHEN a = 'right' THEN 'left' ELSE 'right' END ELSE 'none' END AS avoid_turn FROM d"""
+    d AS (SELECT *, CASE WHEN turn_state = 'full_rotation_loop' THEN 'LOOP_RECOVERY' WHEN turn_state = 'oscillating' THEN 'OSCILLATION_RECOVERY' WHEN motion_state = 'revisiting' THEN 'POSITION_RECOVERY' WHEN go AND moved < 1 THEN 'FAILED_TRANSLATION_RECOVERY' ELSE 'NORMAL' END AS decision_mode FROM n)"""
 
 
-@query(_STATES)
+@query(_STATES + """
+    SELECT user_id, step, motion_state, turn_state, CASE WHEN len(recent) = 0 THEN 'none' WHEN turns AND one THEN recent[1] || '_turn_x' || len(recent) WHEN turns AND alternating THEN 'alternating_turns' WHEN turns THEN 'mixed_turns' WHEN one THEN recent[1] || '_x' || len(recent) ELSE 'mixed_motion' END AS action_pattern,
+    decision_mode, CASE WHEN NOT turn THEN 'none' WHEN decision_mode = 'LOOP_RECOVERY' THEN a WHEN decision_mode = 'OSCILLATION_RECOVERY' THEN CASE WHEN a = 'right' THEN 'left' ELSE 'right' END ELSE 'none' END AS avoid_turn FROM d""")
 def memory_states(spark, d):
-    e = seq.with_row(table(spark, d, "events"), ["user_id"], ["ts", "event_id"])
-    turn = F.element_at(F.create_map(F.lit("view"), F.lit("turn left 30 degree"), F.lit("click"), F.lit("turn right 30 degree"), F.lit("purchase"), F.lit("forward 3m"), F.lit("signup"), F.lit("ascend 3m"), F.lit("error"), F.lit("stop")), F.col("event_type"))
-    w = seq.running(["user_id"], ["_row"])
-    moved = F.sum((F.col("event_type") == "purchase").cast("int") * 3.0).over(w)
-    yaw = geometry.wrap_degrees(F.sum((F.col("event_type") == "view").cast("int") * 30.0 - (F.col("event_type") == "click").cast("int") * 30.0).over(w))
-    steps = e.select("user_id", (F.col("_row") - 1).cast("long").alias("step"), F.when(F.col("_row") > 1, turn).alias("action"), moved.alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), yaw.alias("yaw"))
-    return states(steps, ["user_id"], "step").select("user_id", "step", "motion_state", "turn_state", "action_pattern", "decision_mode", "avoid_turn")
+    return states(_turning(spark, d), ["user_id"], "step").select("user_id", "step", "motion_state", "turn_state", "action_pattern", "decision_mode", "avoid_turn")
+
+
+_COMMAND = "CASE v WHEN 'left' THEN 'turn left 30 degree' WHEN 'right' THEN 'turn right 30 degree' WHEN 'forward' THEN 'forward 3m' WHEN 'ascend' THEN 'ascend 3m' ELSE 'stop' END"
+
+
+@query(_STATES + f""", p AS (SELECT *, list('  [(' || printf('%.2f', x) || ', 0.00, 0.00), ' || printf('%.2f', yaw) || ']') OVER (PARTITION BY user_id ORDER BY step ROWS 4 PRECEDING) AS poses FROM d)
+    SELECT user_id, step, array_to_string(['EpisodeMemory:', 'Previous UAV Poses (up to last 5 actual poses, oldest to newest):', 'Format: [(x, y, z), yaw_degrees]', '[', array_to_string(poses, ',' || chr(10)), ']', 'TrajectorySummary:', 'StepsSoFar = ' || step || '/100', 'RecentNetDisplacementLast5 = ' || printf('%.2f', net) || 'm',
+        'LastActionEffect = ' || CASE WHEN step = 0 THEN 'none' ELSE 'translation ' || printf('%.2f', moved) || 'm, heading_change ' || printf('%.1f', h) || 'deg' END, 'RecentMotionState = ' || motion_state, 'RecentTurnState = ' || turn_state,
+        'RecentActions (oldest to newest) = ' || CASE WHEN len(recent) = 0 THEN 'none' ELSE array_to_string(list_transform(recent, lambda v: {_COMMAND}), ', ') END, '', 'Memory rules:', 'own rules'], chr(10)) AS context FROM p""")
+def state_contexts(spark, d):
+    return contexts.build("state_history", _turning(spark, d), ["user_id"], "step", rules="own rules").select("user_id", "step", "context")
 
 
 @query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'screen_missing' WHEN value * 10 > 300 THEN 'stale_' || CAST(floor(value * 10) AS BIGINT) || 's' WHEN event_type = 'view' THEN 'no_activity' END AS reason FROM events""")

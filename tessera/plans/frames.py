@@ -311,6 +311,14 @@ def pose_action_contexts(spark, d):
     return contexts.build("pose_action_history", _walk(spark, d), ["user_id"], "step", n=3, bounds=True).select("user_id", "step", "context")
 
 
+@query(_WALK + """, q AS (SELECT *, list('  ' || replace(pose, 'deg]', ']')) OVER o AS poses, list_filter(list(action) OVER o, lambda v: v IS NOT NULL) AS acts FROM n WINDOW o AS (PARTITION BY user_id ORDER BY step ROWS 2 PRECEDING))
+    SELECT user_id, step, 'EpisodeMemory:' || chr(10) || 'SearchBounds are centered on the episode start position. Keep the next horizontal pose inside them.' || chr(10) || 'SearchBounds: x=[' || printf('%.1f', sx - 50) || ', ' || printf('%.1f', sx + 50) || '], y=[' || printf('%.1f', sy - 50) || ', ' || printf('%.1f', sy + 50) || ']' || chr(10) || 'Previous UAV Poses (up to last 3 actual poses, oldest to newest):' || chr(10) || 'Format: [(x, y, z), yaw_degrees]' || chr(10) || '[' || chr(10) || array_to_string(poses, ',' || chr(10)) || chr(10) || ']' || chr(10) ||
+    'TrajectorySummary:' || chr(10) || 'StepsSoFar = ' || step || chr(10) || 'DistanceTraveled = ' || printf('%.2f', d) || 'm' || chr(10) || 'AvgHeadingChange = ' || printf('%.2f', a) || 'deg' || chr(10) || 'RecentActions = ' || CASE WHEN len(acts) = 0 THEN 'none' ELSE array_to_string(acts, ', ') END || chr(10) || chr(10) || 'Memory rules:' || chr(10) ||
+    '- Use EpisodeMemory to avoid revisiting the same place and avoid repeated rotations.' || chr(10) || '- If RecentActions show repeated turns, prefer moving forward only when CurrentViewDepth is safe.' || chr(10) || '- Before choosing forward 3m, consider whether the next pose would remain inside SearchBounds.' || chr(10) || '- Do not stop only because memory shows many steps; stop only when the target is visually confirmed.' AS context FROM q""")
+def pose_contexts(spark, d):
+    return contexts.build("pose_history", _walk(spark, d), ["user_id"], "step", n=3, bounds=True).select("user_id", "step", "context")
+
+
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'A full visual scan is complete. Change position now: move forward when the complete 3m path is depth-safe; otherwise turn away from left once and reassess. Do not continue turning left.'
     WHEN 1 THEN 'Break the left-right alternation. Do not turn right next; move forward when depth-safe, otherwise continue left once and reassess.' WHEN 2 THEN 'Leave the revisited position: move forward when depth-safe; otherwise inspect a new direction without repeating the recent motion pattern.'
     WHEN 3 THEN 'The last ' || event_type || ' movement made less than 1m progress. Do not repeat it immediately; inspect another direction first.' ELSE 'Continue normal visual search; short directional scans are allowed.' END AS directive, round(degrees(value), 4) AS yaw, '' AS context FROM events""")
