@@ -112,3 +112,33 @@ def with_field(df: DataFrame, name: str, kind: str) -> T.StructType:
 def crc_part(id_col: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
+class Vectors:
+    """The vectors of a list column: which rows hold one of finite components alone, and how long each is."""
+
+    def __init__(self, column: pa.ListArray):
+        self.lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+        self._flat = np.asarray(column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), np.float64)
+        self._starts = np.cumsum(self.lengths) - self.lengths
+        odd = np.concatenate([[0], np.cumsum(~np.isfinite(self._flat))])
+        self.finite = np.asarray(column.is_valid()) & (odd[self._starts + self.lengths] == odd[self._starts])
+
+    def of(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows have a finite vector of that length, and these as a matrix."""
+        rows = np.flatnonzero(self.finite & (self.lengths == length))
+        return rows, self._flat[self._starts[rows][:, None] + np.arange(length)]
+
+
+def floors(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as 64-bit integers; ValueError from 2^62 on."""
+    out = np.floor(x * float(scale))
+    if out.size and np.abs(out).max() >= 2.0**62:
+        raise ValueError("a component is too large for a 64-bit integer")
+    return out.astype(np.int64)
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """The same integers in the least of 2, 4 and 8 bytes that holds them all."""
+    most = int(np.abs(x).max()) if x.size else 0
+    return x.astype("<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import best_fit, bradley_terry, byte_bpe, ftrl, gif, graph_ann, parity_join, secrets, surrogates, wrapper
+from tessera.llm import best_fit, bradley_terry, byte_bpe, centroids, ftrl, gif, graph_ann, parity_join, pieces, secrets, surrogates, whitening, wrapper
 from tessera.llm import common
 from tessera.llm.common import crc_part
 
@@ -98,8 +98,25 @@ def op10_secrets_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=8).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_centroids_gemm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10)
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    back = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_surrogates, op2_quality_bradley_terry, op3_byte_bpe, op4_graph_ann, op5_html_wrapper, op6_ngram_jaccard_join, op7_best_fit_packing, op8_toxicity_ftrl, op9_media_gif, op10_secrets_markov)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_quality_bradley_terry, op3_byte_bpe, op4_graph_ann, op5_html_wrapper, op6_ngram_jaccard_join, op7_best_fit_packing, op8_toxicity_ftrl, op9_media_gif, op10_secrets_markov, op11_whitening_tiled, op12_centroids_gemm, op13_sentencepiece)}
 
 
 #: Sets of shingles, pairs that share one, and reachability: plain, and for small tables only.
@@ -122,5 +139,16 @@ SELECT sizes.doc_id, CAST(n AS BIGINT) AS n_shingles, least AS component_id FROM
 """
 
 
+def _clusters_sql(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """Every round as two tables: rows with their nearest centroid, and the centroids that follow."""
+    nearest = "SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS x, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.r, v.vec_id, v.x, m.c, list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v.x, m.x)]) AS d FROM v, m{j} m) GROUP BY r"
+    moved = f"SELECT m.c, coalesce(n.x, m.x) AS x FROM m{{j}} m LEFT JOIN (SELECT c, list((s - (s % n + n) % n) // n ORDER BY i) AS x FROM (SELECT c, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{{j}}, range(1, {dims + 1}) AS t(i) GROUP BY c, i) GROUP BY c) n ON n.c = m.c"
+    steps = [f"a{j} AS MATERIALIZED ({nearest.format(j=j)}), m{j + 1} AS MATERIALIZED ({moved.format(j=j)})" for j in range(rounds)]
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT) FOR e IN embedding] AS x FROM embeddings WHERE len(embedding) = {dims} AND len([1 FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0),
+    m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY 1, 2 LIMIT {k})), {", ".join(steps)}, a{rounds} AS MATERIALIZED ({nearest.format(j=rounds)})
+    SELECT vec_id, CAST(a.c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.x, ',')) AS centroid_sha256
+    FROM a{rounds} a JOIN m{rounds} m ON m.c = a.c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_jaccard_join": _JACCARD_SQL}
+    return {"op6_ngram_jaccard_join": _JACCARD_SQL, "op12_centroids_gemm": _clusters_sql()}
