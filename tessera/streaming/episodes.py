@@ -10,26 +10,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def windowed(steps: DataFrame, time: str, keys: list[str], size: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Counts and mean value by event-time window and keys; rows later than the watermark are left out."""
+def windowed(steps: DataFrame, time: str, keys: list[str], size: str, slide: str | None = None, late: str = "10 minutes", observed: str | None = None) -> DataFrame:
+    """Counts and mean value by event-time window and keys; rows whose windows the watermark has passed are left out.
+
+    With ``observed`` the query's progress has, under that name, the number n of
+    rows by window before any is left out: less what the windows count in the
+    end, it is what came too late.
+    """
     w = F.window(time, size, slide) if slide else F.window(time, size)
-    out = steps.withWatermark(time, late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    rows = steps.withWatermark(time, late).select(w.alias("w"), *keys, "value")
+    if observed:
+        rows = rows.observe(observed, F.count(F.lit(1)).alias("n"))
+    out = rows.groupBy("w", *keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", "mean")
 
 
 def sessions(steps: DataFrame, time: str, key: str, gap: str, late: str = "10 minutes") -> DataFrame:
-    """Counts by session of a key: a new one after a gap."""
+    """Counts by session of a key: a new one after a gap. A session is given once the watermark has passed its end; rows whose own gap it has passed are left out."""
     out = steps.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
 
 
 def distinct(steps: DataFrame, time: str, keys: list[str], late: str = "10 minutes") -> DataFrame:
-    """The first row of each key within the watermark."""
+    """The first row of each key within the watermark.
+
+    A key comes again after that time, and rows behind the watermark are left
+    out (the query's progress counts them): where all keys are wanted once, the
+    watermark's delay has to span the disorder, and what comes out is made
+    distinct.
+    """
     return steps.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
 def met(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, within: str, late: str = "10 minutes") -> DataFrame:
-    """Rows of two streams with the same key, the right one at most ``within`` after the left one."""
+    """Rows of two streams with the same key, the right one at most ``within`` after the left one.
+
+    State ends on both sides: a left row's when the watermark has passed its
+    time and ``within``, a right row's when it has passed its time. The watermark
+    is the lesser one of both streams; rows behind it are left out (the query's
+    progress counts them).
+    """
     near = (F.col("l.k") == F.col("r.k")) & (F.col("r.t") >= F.col("l.t")) & (F.col("r.t") <= F.col("l.t") + F.expr(f"INTERVAL {within}"))
     a = left.withWatermark(left_time, late).select(F.col(key).alias("k"), F.col(left_time).alias("t"), F.struct("*").alias("row")).alias("l")
     b = right.withWatermark(right_time, late).select(F.col(key).alias("k"), F.col(right_time).alias("t"), F.struct("*").alias("row")).alias("r")
