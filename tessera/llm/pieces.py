@@ -44,7 +44,7 @@ from sentencepiece import sentencepiece_model_pb2
 from tessera.llm.common import slices, with_field
 
 SPACE = "▁"
-_REMEMBERED, _LONG = 300_000, 64
+_REMEMBERED, _LONG, _HASH_BITS = 400_000, 64, 20
 _NONE = np.iinfo(np.int32).max
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
@@ -55,12 +55,24 @@ class Merges:
     def __init__(self, pairs: np.ndarray, ranks: np.ndarray, merged: np.ndarray):
         order = np.argsort(pairs)
         self._pairs, self._ranks, self._merged = pairs[order], np.append(ranks[order], _NONE).astype(np.int32), np.append(merged[order], -1).astype(np.int32)
+        # A pair's place by its hash; pairs that share a hash are searched for.
+        self._place = np.full(1 << _HASH_BITS, len(pairs), np.int32)
+        slot = self._slot(self._pairs)
+        self._place[slot] = np.arange(len(pairs))
+        self._place[slot[self._place[slot] != np.arange(len(pairs))]] = -1
+        self._keys = np.append(self._pairs, -1)
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)
 
     def _of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks and merged symbols of pairs; _NONE and -1 where they are none."""
         key = left.astype(np.int64) << 32 | right.astype(np.int64)
-        at = np.searchsorted(self._pairs, key)
-        at[self._pairs[np.minimum(at, len(self._pairs) - 1)] != key] = len(self._pairs)
+        at = self._place[self._slot(key)]
+        if len(shared := np.flatnonzero(at < 0)):
+            at[shared] = np.minimum(np.searchsorted(self._pairs, key[shared]), len(self._pairs))
+        at[self._keys[at] != key] = len(self._pairs)
         return self._ranks[at], self._merged[at]
 
     def contract(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +156,7 @@ class Codec:
         for i in np.flatnonzero(kinds == _BYTE):
             self._byte[int(names[i][3:-1], 16)] = i
         self._longest, self._shorter = self._space_runs(score)
-        self._cut = re.compile(f"{SPACE}?[^{SPACE}]+|{SPACE}+(?={SPACE}|$)").findall if self._longest else None
+        self._cut = re.compile(" ?[^ ]+| +(?= |$)").findall if self._longest else None
         self._known: dict[str, bytes] = {}
         self._table(model, names, kinds)
 
@@ -156,8 +168,8 @@ class Codec:
         if SPACE not in self._ids or any(n.strip(SPACE) for n in several) or len(scores) > 1 or (others and max(scores, default=-np.inf) >= min(others)):
             return b"", []
         longest = max(map(len, several), default=1)
-        found = self._contracted([SPACE * n for n in range(1, longest + 1)])
-        runs = [b"", *(found[SPACE * n] for n in range(1, longest + 1))]
+        found = self._contracted([" " * n for n in range(1, longest + 1)])
+        runs = [b"", *(found[" " * n] for n in range(1, longest + 1))]
         return (runs[-1], runs[:-1]) if len(runs[-1]) == 4 else (b"", [])
 
     def _table(self, model, names: list[str], kinds: np.ndarray) -> None:
@@ -172,7 +184,7 @@ class Codec:
 
     def _contracted(self, words: list[str]) -> dict[str, bytes]:
         """The ids of each word, as 32-bit integers."""
-        symbols = self._chars[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        symbols = self._chars[np.frombuffer("".join(words).replace(" ", SPACE).encode("utf-32-le"), np.uint32)]
         names, sizes, ids = self._merges.contract(symbols, np.fromiter(map(len, words), np.int64, len(words)))
         ends, odd = np.cumsum(sizes), ids >= self._size
         data, out = ids.tobytes(), {}
@@ -187,19 +199,22 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        marked = [f" {t.replace(SPACE, ' ')}" if t else "" for t in texts]
         if self._cut is None:
             known = self._contracted([*{t for t in marked if t}])
             return [np.frombuffer(known.get(t, b""), np.int32) for t in marked]
         cut = [self._cut(t) for t in marked]
-        words = {w for w in set().union(*cut) if w.strip(SPACE)} | {SPACE}
+        double = ["  " in t for t in marked]
+        words = set().union(*cut)
+        if any(double):
+            words = {w for w in words if w.strip(" ")}
+        words.add(" ")
         new = [w for w in words if w not in self._known]
         if len(self._known) + len(new) > _REMEMBERED:
             self._known.clear()
             new = [*words]
         if new:
             self._known |= self._contracted(new)
-        double = [SPACE * 2 in t for t in marked]
         out = [np.frombuffer(self._spaced_out(parts) if two else b"".join(map(self._known.__getitem__, parts)), np.int32) for parts, two in zip(cut, double, strict=True)]
         for w in new:
             if len(w) > _LONG:
@@ -210,11 +225,11 @@ class Codec:
         """Joins words and runs of spaces: a space that its word left alone belongs to the run before it."""
         out, run, one = [], 0, self._run(1)
         for w in parts:
-            if not w.strip(SPACE):
+            if not w.strip(" "):
                 run += len(w)
                 continue
             ids = self._known[w]
-            if w[0] == SPACE and ids[:4] == one:
+            if w[0] == " " and ids[:4] == one:
                 run, ids = run + 1, ids[4:]
             out += [self._run(run), ids]
             run = 0
