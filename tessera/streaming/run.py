@@ -13,18 +13,24 @@ from pyspark.sql import types as T
 from tessera.sources.readers import exists
 from tessera.sources.scratch import folder
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: The RocksDB state store, which takes disk as it needs it, not ahead.
+_ROCKS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 @contextmanager
 def rocks(spark: SparkSession) -> Iterator[None]:
     """The RocksDB state store for the queries that start meanwhile."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = {k: spark.conf.get(k, None) for k in _ROCKS}
+    for k, v in _ROCKS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 @dataclass
