@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -54,24 +54,72 @@ def balanced(df: DataFrame, label: str, sub: str, quotas: dict[tuple[str, str],
 def assign_shards(costs: DataFrame, key: str, cost: str, shards: int) -> DataFrame:
     """key, cost, shard: the largest first to the least loaded shard, ties by key and number.
 
-    The greedy rule needs all costs in one order, so the table of keys and costs
-    (episodes or scenes, not their rows) is read by one task, row by row.
-    """
+    Equal costs are one run. When a run of cost c begins, a shard lies so many
+    whole steps of c above the least loaded one, and a rest; its j-th row of the
+    run comes at step whole + j, and within a step shards stand by rest and
+    number. So the shard of the t-th row follows from t, and only the runs are
+    gone through one after another, in one task that holds the loads alone: its
+    steps are the distinct costs. Rows get their t by ranges of cost and key, so
+    a run with most rows is spread over most ranges.
 
-    def run(batches):
-        loads = [(0.0, s) for s in range(shards)]
+    Loads are added as exact fractions; rows without a cost count as 0, a cost
+    of 0 or less goes to the least loaded shard; NaN is an error.
+    """
+    rows = costs.select(F.col(key).alias("_key"), F.col(cost).alias("_given"), F.coalesce(F.col(cost).cast("double"), F.lit(0.0)).alias("_cost"))
+    dealt = written(rows.repartitionByRange(F.desc("_cost"), F.asc("_key")).withColumn("_part", F.spark_partition_id()))
+    sizes = written(dealt.groupBy("_cost", "_part").agg(F.count("*").alias("_n")))
+    runs = sizes.groupBy("_cost").agg(F.sum("_n").alias("_n")).repartition(1).sortWithinPartitions(F.desc("_cost"))
+    begun = written(runs.mapInPandas(_Loads(shards), "_cost double, steps array<long>, shard array<int>"))
+    below = F.sum("_n").over(Window.partitionBy("_cost").orderBy("_part")) - F.col("_n")
+    # When i shards take part: from the row on at which the i-th highest of them is reached.
+    steps = F.array_sort("steps")
+    reached = F.transform(steps, lambda top, i: F.aggregate(F.slice(steps, F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, x: s + top - x))
+    parts = sizes.withColumn("_below", below).join(begun, "_cost").select("_cost", "_part", "_below", steps.alias("_steps"), reached.alias("_from"), F.arrays_zip("steps", "shard").alias("_order"))
+    t = F.row_number().over(Window.partitionBy("_cost", "_part").orderBy("_key")) - 1 + F.col("_below")
+    placed = dealt.join(parts, ["_cost", "_part"]).withColumn("_t", t)
+    placed = placed.withColumn("_i", F.size(F.filter("_from", lambda f: f <= F.col("_t"))))
+    step = F.when(F.col("_cost") > 0, F.col("_t") - F.element_at("_from", F.col("_i"))).otherwise(F.lit(0))
+    taking = F.filter("_order", lambda o: o["steps"] <= F.element_at("_steps", F.col("_i")))
+    chosen = F.when(F.col("_cost") > 0, F.get(taking, (step % F.col("_i")).cast("int"))["shard"]).otherwise(F.element_at("_order", 1)["shard"])
+    return placed.select(F.col("_key").alias(key), F.col("_given").cast("double").alias(cost), chosen.alias("shard"))
+
+
+class _Loads:
+    """Goes through the runs, highest cost first: gives each run's shards by rest and number, with their whole steps above the least loaded one."""
+
+    def __init__(self, shards: int):
+        self._shards = shards
+
+    def __call__(self, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loads = [Fraction(0)] * self._shards
         for pdf in batches:
             out = []
-            for c in pdf["cost"]:
-                load, s = heapq.heappop(loads)
-                heapq.heappush(loads, (load + float(c), s))
-                out.append(s)
-            yield pdf.assign(shard=out)
-
-    rows = costs.select(F.col(key).alias("key"), F.col(cost).cast("double").alias("cost"))
-    kind = rows.schema["key"].dataType.simpleString()
-    placed = rows.repartition(1).sortWithinPartitions(F.desc("cost"), "key").mapInPandas(run, f"key {kind}, cost double, shard int")
-    return placed.select(F.col("key").alias(key), F.col("cost").alias(cost), "shard")
+            for cost, n in zip(pdf["_cost"].tolist(), pdf["_n"].tolist(), strict=True):
+                c, least = Fraction(cost), min(loads)
+                if c <= 0:
+                    order = sorted(range(self._shards), key=lambda s: (loads[s], s))
+                    out.append((cost, [0] * self._shards, order))
+                    loads[order[0]] += n * c
+                    continue
+                above = [divmod(x - least, c) for x in loads]
+                order = sorted(range(self._shards), key=lambda s: (above[s][1], s))
+                out.append((cost, [int(above[s][0]) for s in order], order))
+                for s, k in zip(order, taken([int(above[s][0]) for s in order], n), strict=True):
+                    loads[s] += k * c
+            yield pd.DataFrame(out, columns=["_cost", "steps", "shard"])
+
+
+def taken(steps: Sequence[int], n: int) -> list[int]:
+    """How many of n rows each shard gets, of shards in the order in which they stand within a step, that lie so many steps high."""
+    most = sorted(steps)
+    i = max(k for k in range(1, len(most) + 1) if sum(most[k - 1] - x for x in most[:k]) <= n)
+    rounds, rest = divmod(n - sum(most[i - 1] - x for x in most[:i]), i)
+    level, out = most[i - 1] + rounds, []
+    for x in steps:
+        one = x <= most[i - 1]
+        out.append((level - x + (rest > 0)) if one else 0)
+        rest -= one
+    return out
 
 
 def every_nth(df: DataFrame, index: str, shard: int, shards: int) -> DataFrame:

@@ -198,6 +198,15 @@ def lpt_shards(spark, d):
     return sampling.assign_shards(costs, "user_id", "n", 4)
 
 
+@query("""WITH RECURSIVE c AS (SELECT o_orderkey, n, row_number() OVER (ORDER BY n DESC, o_orderkey) AS i FROM (SELECT o_orderkey, CAST(count(l_orderkey) AS DOUBLE) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)),
+    s AS (SELECT CAST(0 AS BIGINT) AS i, [0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS loads, CAST(NULL AS INT) AS shard
+      UNION ALL SELECT c.i, list_transform(loads, lambda v, k: v + CASE WHEN k = list_position(loads, list_min(loads)) THEN n ELSE 0 END), CAST(list_position(loads, list_min(loads)) - 1 AS INT) FROM s JOIN c ON c.i = s.i + 1)
+    SELECT o_orderkey, n, s.shard FROM s JOIN c USING (i)""")
+def lpt_orders(spark, d):
+    costs = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_orderkey").agg(F.count("l_orderkey").cast("double").alias("n"))
+    return sampling.assign_shards(costs, "o_orderkey", "n", 5)
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey % 8 = 3")
 def rank_shard(spark, d):
     return sampling.every_nth(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 3, 8)

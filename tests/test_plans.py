@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 #: Joins with a table of one row, or a product of two fixed small ranges.
 ONE_ROW = {"arrays_and_lines", "js_divergence", "numbered_files", "recovery_offsets", "representative_order", "salvage_unions", "tolerant_files", "wilcoxon"}
 #: Greedy choices, resampling and packed rasters, which columns cannot express.
-PYTHON = {"bootstrap_delta", "lpt_shards", "packed_changes", "packed_depths", "packed_masks", "stored_arrays"}
+PYTHON = {"bootstrap_delta", "packed_changes", "packed_depths", "packed_masks", "stored_arrays"}
 
 
 def _plan(spark, name):
