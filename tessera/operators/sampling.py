@@ -137,11 +137,13 @@ def best_of_pool(df: DataFrame, keys: Sequence[str], pool: int, order: Sequence[
     return first_n(df, keys, order, pool).groupBy(*keys).applyInPandas(choose, df.schema)
 
 
-def greedy(df: DataFrame, keys: Sequence[str], n: int, identity: str, remember: Sequence[str], order: Callable[[Column], Sequence[Column]]) -> DataFrame:
+def greedy(df: DataFrame, keys: Sequence[str], n: int, identity: str, remember: Sequence[str], order: Callable[[Column], Sequence[Column]], largest: bool = False, unless: Callable[[Column], Column] | None = None) -> DataFrame:
     """n rows of each key, one a round: that which is least in ``order``, over all rows of the key that are not taken yet; adds pick, from 1.
 
     ``order`` makes its sort keys from the taken ones, an array of structs of
-    ``identity`` and ``remember``; it must tell rows apart. A round is one
+    ``identity`` and ``remember``; it must tell rows apart. ``largest`` takes the
+    greatest instead, and rows for which ``unless`` (of the taken ones) holds are
+    passed over. A round is one
     aggregate of all rows, of which each task sends one a key, so a key can
     hold any number of rows; rounds are written, each key's taken ones are n at most.
     """
@@ -151,7 +153,9 @@ def greedy(df: DataFrame, keys: Sequence[str], n: int, identity: str, remember:
     taken = written(rows.select("_k").distinct().withColumn("_taken", kind))
     for _ in range(n):
         met = rows.join(taken, "_k").filter(~F.exists("_taken", lambda t: t[identity].eqNullSafe(F.col(identity))))
-        best = met.groupBy("_k").agg(F.min_by(F.struct(*fields), F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order(F.col("_taken")))))).alias("_b"))
+        if unless is not None:
+            met = met.filter(~unless(F.col("_taken")))
+        best = met.groupBy("_k").agg((F.max_by if largest else F.min_by)(F.struct(*fields), F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order(F.col("_taken")))))).alias("_b"))
         taken = written(taken.join(best, "_k", "left").select("_k", F.when(F.col("_b").isNull(), F.col("_taken")).otherwise(F.concat("_taken", F.array("_b"))).alias("_taken")))
     picks = taken.select(F.col("_k"), F.posexplode("_taken").alias("pick", "_b")).select("_k", (F.col("pick") + 1).alias("pick"), F.col(f"_b.{identity}").alias(identity))
     return df.withColumn("_k", key).join(picks, ["_k", identity]).drop("_k")
