@@ -17,7 +17,9 @@ part and the domain of an address move apart, so that addresses of one domain
 still share one. Listed given names stay in the list of their gender and script.
 Other names keep their length, doubled letters, kinds of sounds and the ending
 that tells script and gender (Petrova and Petrov share a stem, before and after);
-a permutation is walked on where its image would read as another form.
+a permutation is walked on where its image would read as another form, and short
+forms are gone through in the order of a keyed hash, so that none keeps its own;
+where a form has one name alone, its letters move among all vowels or consonants.
 
 Before anything is replaced, ``collisions`` checks this on the corpus at hand:
 surrogates that two entities of a kind share, from distinct pairs of surrogates
@@ -29,7 +31,9 @@ text is unchanged; overlapping finds give way to the leftmost, then the longest;
 further columns are kept as they are, one of the made column's name gives way to
 it; repeated rows stay; an empty table gives an empty table. A name that nothing
 in its document marks as one is not found, nor are inflected forms but the
-genitive s.
+genitive s. A name whose document also uses the word in lower case ("Lisa Long
+took a long walk. Long ago ...") is replaced where it is marked, nowhere else, so
+a later bare mention of it stays.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import product
+from math import prod
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,11 +67,15 @@ TITLES = frozenset("Mr Mrs Ms Miss Mister Dr Prof Professor Herr Herrn Frau Mons
 GREETINGS = frozenset("Dear Liebe Lieber Cher Chère Querido Querida Дорогой Дорогая".split())
 _LABEL = re.compile(r"(?<!\w)(?:[Nn]ame|[Cc]ontact|[Aa]uthor|[Nn]om|[Nn]ombre|[Ии]мя)\s?:\s?$|(?:[Mm]y name is|[Ii]ch heiße|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]e llamo|[Mm]i nombre es|[Мм]еня зовут) $")
 _LABEL_WORDS = frozenset("name Name contact Contact author Author nom Nom nombre Nombre имя Имя heiße appelle llamo зовут".split())
+# What stands before or after a name in scripts without case.
+_BARE_BEFORE = "姓名|名字|联系人|聯絡人|名前|氏名|お名前|이름|성명|الاسم|اسم|שם|नाम"
+_BARE_TITLES = "السيد|السيدة|الدكتور|الأستاذ|מר|גברת|גב|श्री|श्रीमती|डॉ"
+_BARE_AFTER = "先生|女士|小姐|さん|様|씨|선생님"
 _NO_NAME = frozenset("Sir Madam Sirs All Team Customer Friend Friends Colleagues Reader Readers Herr Frau Dr Prof".split())
 # Endings of names that are kept, the longer ones first tried.
 ENDINGS = tuple(sorted("mann berg stein son sen ski ska sky skaya ova ov eva ev ina in ez es er ini elli etti ard ман берг ова ева ёва ина ына ская цкая ов ев ёв ин ын ский цкий енко ович евич овна евна πουλος πούλου ίδης άκης ης ου ας".split(), key=len, reverse=True))
 # Letters of a kind of sound; others move as in any text.
-_SOUNDS = {c: letters for letters in ("aeiouy", "lmnr", "bdgkpt", "fsvwz", "c", "h", "jqx", "аеиоу", "эыюя", "лмнр", "бвгдзкпст", "жфхцчшщ", "αεηιουω", "βγδζθκ", "λμνρ", "πστφχ", "äöü", "áéíóú", "àèìòù", "âêîôû") for c in letters}
+_SOUNDS = {c: letters for letters in ("aeiouy", "lmnr", "bcdgkpt", "fsvwz", "hjqx", "аеиоу", "эыюя", "лмнр", "бвгдзкпст", "жфхцчшщ", "αεηιουω", "βγδζθκ", "λμνρ", "πστφχ", "äöü", "áéíóú", "àèìòù", "âêîôû") for c in letters}
 # Letters that stand for each other, by script.
 _LETTERS = ("aeiouy", "bcdfghjklmnpqrstvwxz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "äöü", "áéíóú", "àèìòù", "âêîôû")
 _CLASS = {c: letters for letters in (*_LETTERS, "0123456789") for c in letters}
@@ -96,6 +106,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SURNAME = re.compile(r"(?: [^\W\d_]\.)?(?: (?:von|van|de|der|den|del|della|di|da|dos|la|le|du|ten|ter|zu|zum|al|bin)){0,3} ([^\W\d_]{2,})(?:-([^\W\d_]{2,}))?")
 _CALLED = re.compile(r"\.? ?([^\W\d_]{2,})(?: ([^\W\d_]{2,}))?(?: ([^\W\d_]{2,}))?")
 _PATRONYMIC = re.compile(r"([А-ЯЁ][а-яё]+) ([А-ЯЁ][а-яё]+(?:вич|вна))(?: ([А-ЯЁ][а-яё]+))?")
+#: A word of a script without case, with its marks: two to four characters where words are not spaced, else up to three words.
+_BARE = r"(?:[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]{2,4}(?![\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af])|[\u0590-\u08ff\u0900-\u0dff]{2,}(?: [\u0590-\u08ff\u0900-\u0dff]{2,}){0,2})"
+_BARE_NAME = re.compile(rf"(?:(?:{_BARE_BEFORE})\s?[:：]\s?|(?<!\w)(?:{_BARE_TITLES})[.'׳]? )({_BARE})|([\u3400-\u9fff\uac00-\ud7af]{{2,3}}) ?(?:{_BARE_AFTER})")
+_BARE_LETTER = re.compile(r"[\u0590-\u08ff\u0900-\u0dff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+_STOPS = frozenset(".!?…:;\n\r")
 _DIGIT = re.compile(r"\d")
 
 
@@ -118,19 +133,33 @@ def _holds(kind: str, value: str) -> bool:
     return kind != "iban" or _iban(value.replace(" ", ""))
 
 
-def _names(text: str, words: set[str]) -> tuple[set[str], set[str]]:
-    """The given names and surnames, in lower case, that a text shows to be names."""
-    given, surnames = set(), set()
+def _begins(text: str, at: int) -> bool:
+    """Whether a sentence begins there: behind the start, a stop or a line's end, with spaces, quotes and brackets between."""
+    k = at - 1
+    while k >= 0 and text[k] not in _STOPS and not text[k].isalnum() and text[k] != ",":
+        k -= 1
+    return k < 0 or text[k] in _STOPS
 
-    def add(names: list[str | None], first_is_given: bool) -> None:
+
+def _alone(text: str, at: int) -> bool:
+    """Whether no word follows there, but the end, a line's end or a mark."""
+    return not re.match(r" ?[^\W_]", text[at : at + 2])
+
+
+def _marks(text: str, words: set[str]) -> list[tuple[str, int, int]]:
+    """The names (kind, start, end) that a text marks as such."""
+    found: list[tuple[str, int, int]] = []
+
+    def add(m: re.Match, first: int, first_is_given: bool) -> None:
         kept = []
-        for name in names:
+        for k in range(first, m.re.groups + 1):
+            name = m[k]
             if not name or not name[0].isupper() or name in _NO_NAME or name in TITLES:
                 break
-            kept.append(name.lower())
-        if kept and (first_is_given or len(kept) > 1 or kept[0] in _LISTED):
-            given.add(kept.pop(0))
-        surnames.update(kept)
+            kept.append((name, *m.span(k)))
+        if kept and (first_is_given or len(kept) > 1 or kept[0][0].lower() in _LISTED):
+            found.append(("given", *kept.pop(0)[1:]))
+        found.extend(("surname", a, b) for _, a, b in kept)
 
     listed, titles, greetings = words & _GIVEN, words & TITLES, words & GREETINGS
     shouted = {w for w in words if w.isupper() and len(w) > 2 and w.lower() in _LISTED}
@@ -138,25 +167,38 @@ def _names(text: str, words: set[str]) -> tuple[set[str], set[str]]:
         for m in _WORD.finditer(text):
             word = m[0]
             if word in listed or word in shouted:
-                given.add(word.lower())
                 after = _SURNAME.match(text, m.end())
-                for name in after.groups() if after else ():
-                    if name and name[0].isupper() and name not in _GIVEN:
-                        surnames.add(name.lower())
+                own = [(k, *after.span(k)) for k in (1, 2) if after[k] and after[k][0].isupper() and after[k] not in _GIVEN and after[k] not in _NO_NAME] if after else []
+                inside = not _begins(text, m.start())
+                if own and (inside or word in listed) or word.lower() not in words and (inside or _alone(text, m.end())):
+                    found.append(("given", *m.span()))
+                found.extend(("surname", a, b) for _, a, b in own if inside or word in listed)
             elif word in titles:
                 if called := _CALLED.match(text, m.end()):
-                    add(list(called.groups()), False)
+                    add(called, 1, False)
             elif word in greetings:
                 if (called := _CALLED.match(text, m.end())) and text[called.end() : called.end() + 1] in (",", "!"):
-                    add(list(called.groups()), True)
+                    add(called, 1, True)
             elif word[0].isupper() and _LABEL.search(text, max(0, m.start() - 20), m.start()) and (called := _CALLED.match(text, m.start())):
                 if called[2] and called[2][0].isupper() or text[m.start() - 2] != ":":
-                    add(list(called.groups()), True)
+                    add(called, 1, True)
     if any(w.endswith(("вич", "вна")) for w in words):
         for m in _PATRONYMIC.finditer(text):
-            given.add(m[1].lower())
-            surnames.update(name.lower() for name in m.groups()[1:] if name)
-    return given, surnames - given
+            found += [("given", *m.span(1)), *(("surname", *m.span(k)) for k in (2, 3) if m[k])]
+    return found
+
+
+def _bare(text: str) -> list[tuple[str, int, int]]:
+    """Names in scripts without case: marked ones, and their further mentions."""
+    marked = [(k, *m.span(k)) for m in _BARE_NAME.finditer(text) for k in (1, 2) if m[k]]
+    names = {w for _, a, b in marked for w in text[a:b].split(" ")}
+    if not names:
+        return []
+    spaced = "|".join(sorted((re.escape(n) for n in names if n < "\u3000"), key=len, reverse=True))
+    dense = "|".join(sorted((re.escape(n) for n in names if n >= "\u3000"), key=len, reverse=True))
+    letter = r"[\u0590-\u08ff\u0900-\u0dff]"
+    patterns = [p for p in (f"(?<!{letter})(?:{spaced})(?!{letter})" if spaced else "", dense) if p]
+    return [("surname", *m.span()) for m in re.finditer("|".join(patterns), text)]
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -169,14 +211,23 @@ def find(text: str) -> list[tuple[str, int, int]]:
             if needs is None or needs in text:
                 found += [(kind, *m.span()) for m in pattern.finditer(text) if _holds(kind, m[0])]
     words = set(_WORD.findall(text))
-    given, surnames = _names(text, words)
-    if given or surnames:
-        for m in _WORD.finditer(text):
-            for a, b in ((m.start(), m.end()), (m.start(), m.end() - 1)):
-                word = text[a:b].lower()
-                if (word in given or word in surnames) and (b == m.end() or text[b] == "s"):
-                    found.append(("given" if word in given else "surname", a, b))
-                    break
+    if marked := _marks(text, words):
+        found += marked
+        kinds: dict[str, str] = {}
+        for kind, a, b in marked:
+            name = text[a:b].lower()
+            if name not in words:  # a word that is also used in lower case is no name elsewhere
+                kinds[name] = "given" if kind == "given" else kinds.get(name, kind)
+        for m in _WORD.finditer(text) if kinds else ():
+            if m[0][0].isupper():
+                for b in (m.end(), m.end() - 1):
+                    if (kind := kinds.get(text[m.start() : b].lower())) and (b == m.end() or text[b] == "s"):
+                        found.append((kind, m.start(), b))
+                        break
+    if _BARE_LETTER.search(text):
+        found += _bare(text)
+    kinds_at = {(a, b): kind for kind, a, b in found if kind == "given"}
+    found = [(kinds_at.get((a, b), kind) if kind == "surname" else kind, a, b) for kind, a, b in found]
     out, end = [], 0
     for kind, a, b in sorted(found, key=lambda s: (s[1], -s[2])):
         if a >= end:
@@ -189,7 +240,7 @@ class Cipher:
     """Keyed permutations of 0..size-1 without fixed points."""
 
     def __init__(self, key: bytes, rounds: int = 8):
-        self._key, self._rounds = hashlib.blake2b(key, digest_size=32).digest(), rounds
+        self.key, self._key, self._rounds = key, hashlib.blake2b(key, digest_size=32).digest(), rounds
 
     def _round(self, tweak: bytes, k: int, half: int, width: int) -> int:
         data = k.to_bytes(1, "big") + half.to_bytes((width + 7) // 8 + 1, "big")
@@ -252,27 +303,71 @@ def _form(stem: str) -> tuple[str, ...]:
     return tuple("=" if k and c == stem[k - 1] else _SOUNDS.get(c) or _class_of(c) or c for k, c in enumerate(stem))
 
 
+#: Forms of so many names at most are gone through in an order, larger ones by a permutation.
+_ORDERED = 4_096
+
+
+def _reads_as(new: str, form: tuple[str, ...], kind: str, ending: str) -> bool:
+    """Whether a new stem has that form, and with its ending is no listed name."""
+    return _form(new) == form and _split(kind, new + ending) == (new, ending) and new + ending not in _LISTED
+
+
+def _stems(form: tuple[str, ...], letters: tuple[str, ...]) -> Iterator[str]:
+    for some in product(*letters):
+        new = ""
+        for c in some:
+            new += new[-1] if c == "=" else c
+        yield new
+
+
+@lru_cache(maxsize=2_000)
+def _order(form: tuple[str, ...], kind: str, ending: str, key: bytes) -> dict[str, str]:
+    """The next of each stem of a form in a keyed order, round and round."""
+    cipher = Cipher(key)
+    stems = sorted((s for s in _stems(form, form) if _reads_as(s, form, kind, ending)), key=lambda s: cipher.fingerprint(f"{kind}|{s}"))
+    return dict(zip(stems, stems[1:] + stems[:1], strict=True))
+
+
+def _single(stem: str, kind: str, ending: str, key: bytes) -> bool:
+    """Whether a stem is the only one of its form."""
+    form = _form(stem)
+    return prod(map(len, form)) <= _ORDERED and len(_order(form, kind, ending, key)) == 1
+
+
+@lru_cache(maxsize=2_000)
+def _wide_order(letters: tuple[str, ...], kind: str, ending: str, key: bytes) -> dict[str, str]:
+    """The next of each stem that is the only one of its form, among those whose letters are of the same wide classes."""
+    cipher = Cipher(key)
+    some = {s for s in _stems(letters, letters) if _reads_as(s, _form(s), kind, ending) and _single(s, kind, ending, key)}
+    stems = sorted(some, key=lambda s: cipher.fingerprint(f"wide|{kind}|{s}|{ending}"))
+    return dict(zip(stems, stems[1:] + stems[:1], strict=True))
+
+
 def _renamed(value: str, kind: str, cipher: Cipher) -> str:
     """A name of the same form and ending; letters move within their kind of sound."""
     name = value.lower()
     stem, ending = _split(kind, name)
-    form, size, new = _form(stem), 1, stem
-    for letters in form:
-        size *= len(letters)
-    tweak = f"{kind}:{hashlib.blake2b('|'.join(form).encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
-    while size > 1:
-        number, out = 0, []
-        for c, letters in zip(new, form, strict=True):
-            number = number * len(letters) + (letters.index(c) if len(letters) > 1 else 0)
-        number = cipher.move(number, size, tweak)
-        for letters in reversed(form):
-            number, at = divmod(number, len(letters))
-            out.append(letters[at])
-        new = ""
-        for c in reversed(out):
-            new += new[-1] if c == "=" else c
-        if new == stem or _form(new) == form and _split(kind, new + ending) == (new, ending) and new + ending not in _LISTED:
-            break
+    form, new = _form(stem), stem
+    size = prod(map(len, form))
+    if size <= _ORDERED:
+        new = _order(form, kind, ending, cipher.key).get(stem, stem)
+        if new == stem:
+            new = _wide_order(tuple(_class_of(c) or c for c in stem), kind, ending, cipher.key).get(stem, stem) if len(stem) < 4 else stem
+    else:
+        tweak = f"{kind}:{hashlib.blake2b('|'.join(form).encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
+        while True:
+            number, out = 0, []
+            for c, letters in zip(new, form, strict=True):
+                number = number * len(letters) + (letters.index(c) if len(letters) > 1 else 0)
+            number = cipher.move(number, size, tweak)
+            for letters in reversed(form):
+                number, at = divmod(number, len(letters))
+                out.append(letters[at])
+            new = ""
+            for c in reversed(out):
+                new += new[-1] if c == "=" else c
+            if new == stem or _reads_as(new, form, kind, ending):
+                break
     new += ending
     return "".join(n.upper() if v.isupper() else n for n, v in zip(new, value, strict=True)) if len(new) == len(value) else new
 
@@ -298,7 +393,7 @@ def surrogate(kind: str, value: str, cipher: Cipher) -> str:
     """The replacement of an entity; equal normalised entities have equal ones, others of the same form never."""
     digits = "".join(str(int(c)) for c in value if c.isdecimal())
     n = len(digits)
-    if kind == "given" and value.lower() in _LISTED:
+    if kind in ("given", "surname") and value.lower() in _LISTED:
         group, k = _LISTED[value.lower()]
         name = NAMES[group][cipher.move(k, len(NAMES[group]), "|".join(group))]
         return name.upper() if value.isupper() else name.lower() if value.islower() else name

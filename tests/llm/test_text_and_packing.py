@@ -1,5 +1,6 @@
 """Surrogates, packing, HTML, nearest neighbours, and the pipeline."""
 
+import itertools
 import random
 import re
 
@@ -92,6 +93,72 @@ def test_every_mention_goes_and_equal_names_stay_equal():
     assert woman == man + "а"
 
 
+#: Texts, and the words in them that are names.
+MARKED = [
+    ("Lisa Long took a long walk. A long day.", "Lisa Long"),
+    ("Peter Black wore black.", "Peter Black"),
+    ("Mark the date. mark it.", ""),
+    ("Mark the date", ""),
+    ("MARK YOUR CALENDARS NOW", ""),
+    ("Dear Will, I will come.", "Will"),
+    ("Frau Weiß weiß es.", "Weiß"),
+    ("I met Anna. Anna left.", "Anna"),
+    ("Name: Anna Long. Then it took long.", "Anna Long"),
+    ("Mr. Smith spoke; SMITH wrote, Smiths came.", "Smith SMITH Smiths"),
+    ("Herr Ch kam. Ch ging.", "Ch"),
+    ("姓名：王伟，王伟说。", "王伟 王伟说"),
+    ("李娜女士来了。", "李娜女士来了"),
+    ("الاسم: محمد علي. قال محمد", "محمد علي"),
+    ("שם: דוד כהן. אמר דוד", "דוד כהן"),
+]
+
+
+def _tokens(text):
+    return re.findall(r"[^\W_]+|[\W_]", text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([*range(9), *range(9, len(MARKED))]), min_size=1, max_size=1), st.text(alphabet="abcdefghij .,\n", max_size=40), st.binary(min_size=1, max_size=4))
+def test_no_word_but_a_marked_name_changes(chosen, filler, key):
+    text = " ".join([MARKED[k][0] for k in chosen] + [filler])
+    names = {w for k in chosen for w in MARKED[k][1].split()}
+    new, _ = surrogates.replace(text, key)
+    before, after = _tokens(text), _tokens(new)
+    assert len(before) == len(after)
+    for x, y in zip(before, after, strict=True):
+        assert (x != y) == (x in names), (x, y, text, new)
+
+
+def _brute(text, key):
+    """A plain replacement of patterns and of the names of MARKED, in one pass from left to right."""
+    known = {w for t, names in MARKED if t in text for w in names.split()}
+    kinds = {w: "given" if w in ("Lisa", "Peter", "Will", "Anna") else "surname" for w in known}
+    put, out, k = lambda kind, v: surrogates.surrogate(kind, v, surrogates.Cipher(key)), "", 0
+    while k < len(text):
+        hits = [("email", r"[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), ("ssn", r"\d{3}-\d{2}-\d{4}(?![\w-])"), *((kinds[w], rf"{w}(?![^\W\d_])") for w in known)]
+        found = next(((kind, m) for kind, p in hits if (m := re.compile(p).match(text, k)) and (k == 0 or not re.match(r"[\w.+-]", text[k - 1]))), None)
+        out, k = (out + put(found[0], found[1][0]), found[1].end()) if found else (out + text[k], k + 1)
+    return out
+
+
+def test_whole_texts_equal_a_plain_replacement():
+    rnd = random.Random(11)
+    # Apart from each other by a line, and without words that another one uses in lower case.
+    for _ in range(60):
+        some = rnd.sample([MARKED[k][0] for k in (1, 5, 7, 8)], 2)
+        text = "\n".join([*some, f"Write to a{rnd.randrange(99)}.b@x{rnd.randrange(9)}.org, 123-45-{rnd.randrange(1000, 9999)}."])
+        assert surrogates.replace(text, KEY)[0] == _brute(text, KEY)
+
+
+def test_no_short_name_keeps_its_own_form():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    cipher = surrogates.Cipher(KEY)
+    for n in (2, 3):
+        names = ["".join(x) for x in itertools.product(letters, repeat=n)]
+        new = [surrogates.surrogate("surname", x, cipher) for x in names]
+        assert all(a != b for a, b in zip(names, new, strict=True)) and len(set(new)) == len(names)
+
+
 def test_names_of_one_form_are_permuted():
     cipher = surrogates.Cipher(KEY)
     rnd = random.Random(6)
