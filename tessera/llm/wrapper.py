@@ -17,10 +17,18 @@ element, this is the content; else headings that stand before it count with it.
 Pages of hosts without a wrapper (fewer than three different pages, null urls)
 go by markup: an article or main element where there is one, else the body.
 
+Readers' comments go by structure. Articles inside an article are what others wrote
+about it; of several articles beside each other the one with most text is the
+content (by the wrapper's slots, if there is one), and others join it only if the
+wrapper gives them half as much. An element whose entries, two or more of one tag,
+each hold two or more short pieces (a name, a date, a picture, links) and a block of
+text, and begin with no heading, is a list of comments or teasers if text of the
+content stands before it: a single comment is not told apart from a paragraph.
+
 Whatever the host, markup drops what it names as no part of an article: menus,
 headers, footers, asides, forms, scripts, styles, hidden elements, and elements
 with a class or id that is, as a whole word, one for adverts, notices, reader
-comments and the like; outside an article also those for bars, banners and
+comments and the like (an article too, unless it is the content); outside an article also those for bars, banners and
 searches. Each block's text makes a line.
 
 The trees of a host are folded in groups of about ``GROUP`` pages, dealt by the
@@ -64,12 +72,15 @@ BROADCAST_BYTES = 8 << 20
 CELLS = 2_000_000
 #: What one child must hold of the slots below a node for the content to lie in it.
 SHARE = 0.8
+#: Characters of a short piece of a comment (a name, a date) at most.
+SHORT = 40
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("head script style noscript template nav header footer aside form iframe object svg canvas audio video button select textarea dialog menu".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 HEADINGS = frozenset("h1 h2 h3 hgroup".split())
+_LISTS, _ENTRIES = frozenset("div section ul ol main article".split()), frozenset("div li section article blockquote".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOPS = frozenset("ul ol dl table tbody thead article section div body".split())
 _WHOLE = frozenset("html body article main".split())
@@ -96,7 +107,7 @@ _ASKED = re.compile(r"class|id|role|hidden", re.IGNORECASE)
 class Node:
     """An element: its tag, its children in order (elements and texts), the elements alone, whether markup drops it; what a wrapper says of it."""
 
-    template, words, own, seen, mass, kind = False, 0, 0.0, 0, None, -1
+    template, words, own, seen, mass, kind, named = False, 0, 0.0, 0, None, -1, False
 
     def __init__(self, tag: str, dropped: bool = False):
         self.tag, self.dropped, self.children, self.kids = tag, dropped, [], []
@@ -138,7 +149,7 @@ class _Builder:
             self.close(("p",), _STOPS)
         elif tag in _CLOSED_BY:
             self.close(_CLOSED_BY[tag], _STOPS)
-        dropped = tag in DROPPED
+        dropped, beside = tag in DROPPED, False
         if dropped and tag == "header" and (self.inside["article"] or self.inside["main"]):
             dropped = False  # an article has a heading of its own
         if not dropped and attributes and _ASKED.search(attributes):
@@ -146,10 +157,14 @@ class _Builder:
             for name, value in _ATTRIBUTE.findall(attributes):
                 a.setdefault(name.lower(), references.unescape(value[1:-1] if value[:1] in ("'", '"') else value))
             dropped = a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden") == "true"
-            if not dropped and tag not in _WHOLE and ("class" in a or "id" in a):
-                named = f"{a.get('class', '')} {a.get('id', '')}"
+            named = f"{a.get('class', '')} {a.get('id', '')}"
+            if tag == "article":
+                beside = bool(_NEVER.search(named))
+            elif not dropped and tag not in _WHOLE and ("class" in a or "id" in a):
                 dropped = bool(_NEVER.search(named)) or not (self.inside["article"] or self.inside["main"]) and bool(_OUTSIDE.search(named))
         node = Node(tag, dropped)
+        if beside:
+            node.named = True
         self.open[-1].add(node)
         if tag not in VOID and attributes[-1:] != "/":
             self.open.append(node)
@@ -413,17 +428,86 @@ def apply(tree: Node, wrapper: Node, kinds: Kinds | None = None) -> None:
             node.mass = node.own + sum([c.mass for c in node.kids])
 
 
-def content(tree: Node) -> list[Node]:
-    """Where the content of a page lies: by its slots if a wrapper was applied, else by markup."""
-    articles, todo = [], [tree]
+def _articles(tree: Node) -> list[Node]:
+    """The outermost articles and main elements below a node."""
+    found, todo = [], list(reversed([c for c in tree.kids if not c.dropped]))
     while todo:
         node = todo.pop()
         if node.tag in ("article", "main"):
-            articles.append(node)
+            found.append(node)
         else:
             todo += [c for c in reversed(node.kids) if not c.dropped]
+    return found
+
+
+def _length(tree: Node) -> int:
+    """Characters of text outside links and what markup drops."""
+    total, todo = 0, [tree]
+    while todo:
+        node = todo.pop()
+        total += len(node.own_text())
+        todo += [c for c in node.kids if not c.dropped and c.tag != "a"]
+    return total
+
+
+def _best(articles: list[Node], weighed: bool) -> list[Node]:
+    """Of articles beside each other the one with most text; by a wrapper also those to which it gives half as much."""
+    free = [a for a in articles if not a.named] or articles
+    if len(free) < 2:
+        return free
+    if weighed and (most := max(a.mass for a in free)):
+        return [a for a in free if a.mass >= most / 2]
+    return [max(free, key=_length)]
+
+
+def _entry(node: Node) -> bool:
+    """Whether an element reads as a comment: two short pieces or more, no heading first, and a block of text."""
+    pieces, blocks, todo = 0, bool(node.own_text()), list(reversed(node.kids))
+    while todo:
+        c = todo.pop()
+        text = c.own_text()
+        if c.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "dt", "th", "figcaption") and not pieces:
+            return False
+        if c.tag in ("p", "pre", "blockquote") or text and c.tag not in INLINE and len(text) > SHORT:
+            blocks = True
+        elif c.tag == "img" or text and len(text) <= SHORT:
+            pieces += 1
+        else:
+            todo += reversed(c.kids)
+    return pieces > 1 and blocks
+
+
+def _without_comments(root: Node) -> None:
+    """Drops lists of entries that text of the content stands before."""
+    before, todo = False, [root]
+    while todo:
+        node = todo.pop()
+        if node.dropped and node is not root:
+            continue
+        if node is not root and before and len(node.kids) > 1 and node.tag in _LISTS and not node.own_text():
+            entries = [c for c in node.kids if not c.dropped and c.tag not in ("br", "hr", "p", "h1", "h2", "h3", "h4", "h5", "h6")]
+            if len(entries) > 1 and entries[0].tag in _ENTRIES and all(c.tag == entries[0].tag for c in entries) and all(_entry(c) for c in entries):
+                node.dropped = True
+                continue
+        before = before or node.tag not in INLINE and node.tag not in HEADINGS and bool(node.own_text())
+        todo += reversed(node.kids)
+
+
+def content(tree: Node) -> list[Node]:
+    """Where the content of a page lies: by its slots if a wrapper was applied, else by markup; what it names or shows to be readers' comments is dropped."""
+    roots, weighed = _places(tree), tree.mass is not None
+    for root in roots:
+        inner = _articles(root)
+        for a in inner if root.tag == "article" else set(inner).difference(_best(inner, weighed)) if inner else ():
+            a.dropped = True
+        _without_comments(root)
+    return roots
+
+
+def _places(tree: Node) -> list[Node]:
+    articles = _articles(tree)
     if not tree.mass:
-        return articles or [tree]
+        return _best(articles, False) or [tree]
     node, headings = tree, []
     while node.tag not in ("article", "main"):
         inside = [c for c in node.kids if not c.dropped and c.tag not in INLINE and c.mass]
@@ -432,7 +516,13 @@ def content(tree: Node) -> list[Node]:
             break
         headings += [c for c in node.kids[: node.kids.index(best)] if c.tag in HEADINGS]
         node = best
-    return [node] if node.tag in ("article", "main") else [*headings, node]
+    if node.tag in ("article", "main"):
+        return [node]
+    # Articles beside each other, none of which has nearly all.
+    held = [a for a in _articles(node) if a.mass]
+    if len(held) > 1 and sum(a.mass for a in held) >= SHARE * node.mass:
+        return _best(held, True)
+    return [*headings, node]
 
 
 def main_text(tree: Node) -> str:

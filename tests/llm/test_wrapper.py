@@ -107,3 +107,51 @@ def test_awkward_rows(spark):
     out = sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in wrapper.extract(df).collect())
     assert out == sorted([("1", "", 0), ("2", "", 0), ("None", "no id", 5), ("3", "a & b é", 7), ("3", "a & b é", 7), ("4", "a < b", 5), ("5", ("word " * 100_000).strip(), 499_999)])
     assert wrapper.extract(df.limit(0)).count() == 0
+
+
+def _layouts():
+    """Six ways to hang readers' comments beside a text; classes say nothing in the last four."""
+    entry = {
+        "articles after it": ("</article>{c}", "<article class='comment'><b>{a}</b><time>{d}</time><p>{t}</p></article>", ""),
+        "articles inside it": ("{c}</article>", "<article class='comment-body'><b>{a}</b><p>{t}</p></article>", ""),
+        "divs": ("<div class='k1'>{c}</div></article>", "<div class='k2'><b>{a}</b> <span>{d}</span><p>{t}</p></div>", ""),
+        "list": ("<ol>{c}</ol></article>", "<li><cite>{a}</cite><p>{t}</p><a href='#'>Reply</a></li>", ""),
+        "pictures": ("<section><h3>Voices</h3>{c}</section></article>", "<div><img src='a.png'><div><strong>{a}</strong></div><div>{t}</div></div>", ""),
+        "no article": ("{c}", "<div><b>{a}</b><em>{d}</em><p>{t}</p></div>", "plain"),
+    }
+    return entry
+
+
+def _commented(layout, k):
+    """A page with a text of its own and two to four comments."""
+    end, form, plain = _layouts()[layout]
+    text = [f"Paragraph {j} of page {k} tells what happened to number {k * 7 + j} on that long day." for j in range(3 + k % 3)]
+    body = f"<h1>Title {k}</h1>" + "".join(f"<p>{t}</p>" for t in text) + f"<ul><li><strong>Term{k}</strong> {k} meant something</li><li><strong>Other{k}</strong> {k} did not</li></ul>"
+    said = "".join(form.format(a=f"Reader{k}{j}", d=f"{j} days ago", t=f"I think that {k} and {j} were quite wrong about it, and I shall say so every time.") for j in range(2 + k % 3))
+    html = f"<html><body><div>Menu of the site</div><div id='c{k}'>{body}</div><div>{said}</div></body></html>" if plain else f"<html><body><article>{body}{end.format(c=said)}</body></html>"
+    lines = [f"Title {k}", *text, f"Term{k} {k} meant something", f"Other{k} {k} did not"]
+    return html, "\n".join((["Menu of the site"] if plain else []) + lines)
+
+
+@pytest.mark.parametrize("layout", list(_layouts()))
+def test_comments_go_by_structure(spark, layout):
+    pages = [(k, f"http://{layout.replace(' ', '-')}.example/{k}", *_commented(layout, k)) for k in range(7)]
+    for _, _, html, want in pages:
+        assert wrapper.main_text(wrapper.parse(html)) == want
+    got = wrapper.extract(spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")).collect()
+    want = {p[0]: p[3].removeprefix("Menu of the site\n") for p in pages}  # the wrapper knows the menu as template
+    assert {r.page_id: r.text for r in got} == want
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article><p>One</p><section><div><h2>A</h2><p>text</p></div><div><h2>B</h2><p>more</p></div></section></article>", "One\nA\ntext\nB\nmore"),
+        ("<article><p>One</p><ul><li><b>x</b> <p>long</p></li><li><b>y</b> <p>more</p></li></ul></article>", "One\nx\nlong\ny\nmore"),
+        ("<article><div><div><b>Q</b><i>1</i><p>first</p></div><div><b>A</b><i>2</i><p>second</p></div></div></article>", "Q1\nfirst\nA2\nsecond"),
+        ("<article class='comments'><p>All there is</p></article>", "All there is"),
+        ("<main><h1>T</h1><article><p>text of it</p></article><article><p>x</p></article></main>", "T\ntext of it"),
+    ],
+)
+def test_what_is_no_list_of_comments_stays(html, text):
+    assert wrapper.main_text(wrapper.parse(html)) == text
