@@ -362,6 +362,14 @@ def test_neighbours_ties_and_odd_rows(spark):
     assert graph_ann.search(one, F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_pivots_are_drawn_without_a_shuffle(spark):
+    nodes = spark.range(20_000).select(F.lit(0).alias("band"), F.xxhash64("id").alias("node"), F.array(F.col("id").cast("double")).alias("v"))
+    drawn = graph_ann._drawn(nodes, {0: 20_000}, {0: 50})
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+    assert 50 <= drawn.count() < 150
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
