@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.text import falsy_coalesce
 from tessera.plans.base import query, table
-from tessera.sources import readers, writers
+from tessera.sources import readers, stored, writers
 from tessera.sources.scratch import folder
 
 _ORDER = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_orderstatus", T.StringType()), T.StructField("o_totalprice", T.DoubleType()), T.StructField("note", T.StringType())])
@@ -259,3 +259,18 @@ def resolved_paths(spark, d):
     for place in ("aligned", "root"):
         raw = raw.withColumn("path", F.concat(F.lit(f"{place}/"), F.col("raw"))).join(files, "path", "left").withColumn(place, F.when(F.col("there"), F.lit(place))).drop("path", "there")
     return raw.select("raw", falsy_coalesce("aligned", "root").alias("found"))
+
+
+@query("""SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 3 <> 0 THEN 2 * o_totalprice ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderpriority IS DISTINCT FROM '5-LOW' AND NOT (o_orderpriority = '1-URGENT' AND o_orderkey % 3 = 0)
+    UNION ALL SELECT o_orderkey + 100000000, '2-HIGH', -1.0 FROM orders WHERE o_orderpriority = '2-HIGH' AND o_orderkey % 5 = 0""")
+def replaced_scenes(spark, d):
+    at = folder(spark, "stored")
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    stored.create(rows, at, "o_orderpriority")
+    # One part is repaired and loses rows, one goes, one gets new rows by their keys.
+    urgent = stored.read(spark, at, ["1-URGENT"]).filter("o_orderkey % 3 <> 0").withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    stored.replace(urgent, at)
+    stored.replace(rows.limit(0), at, ["5-LOW"])
+    new = rows.filter("o_orderpriority = '2-HIGH' AND o_orderkey % 5 = 0").select((F.col("o_orderkey") + 100_000_000).alias("o_orderkey"), "o_orderpriority", F.lit(-1.0).alias("o_totalprice"))
+    stored.upsert(new, at, ["o_orderpriority", "o_orderkey"])
+    return stored.read(spark, at)

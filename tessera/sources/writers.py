@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.readers import file_system
+from tessera.sources.stored import move_over
 
 
 def json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -42,17 +43,14 @@ def manifest(df: DataFrame, measures: dict[str, Column], facts: dict[str, str])
 
 
 def replace_file(lines: DataFrame, path: str) -> None:
-    """Writes one column of text as one file, beside its place first, and moves it there; what stood there is gone only when the new file is whole. For small files."""
+    """Writes one column of text as one file, beside its place first, and moves it over what stands there in one step: there is always the old file or the new one. For small files."""
     spark, beside = lines.sparkSession, f"{path}.{uuid.uuid4().hex}.tmp"
     lines.coalesce(1).write.text(beside)
     fs, source = file_system(spark, beside)
     part = next(f.getPath() for f in fs.listStatus(source) if f.getPath().getName().startswith("part-"))
     target = file_system(spark, path)[1]
     fs.mkdirs(target.getParent())
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"cannot move {beside} to {path}")
+    move_over(spark, part.toString(), path)
     fs.delete(source, True)
 
 
