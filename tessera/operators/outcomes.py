@@ -117,3 +117,13 @@ def offset_lattice(spark, most: float, step: float = 3.0) -> DataFrame:
     far = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2)
     order = F.array_sort(F.collect_list(F.struct(far.alias("far"), (F.col("dz") >= 0).cast("int").alias("down"), F.abs("dz").alias("level"), (F.abs("dx") + F.abs("dy")).alias("moves"), "dx", "dy", "dz")))
     return rows.agg(order.alias("o")).select(F.posexplode("o").alias("rank", "s")).select("s.dx", "s.dy", "s.dz", "rank")
+
+
+def first_free_offset(starts: DataFrame, x: Column, y: Column, z: Column, blocked, most: float, step: float = 3.0) -> DataFrame:
+    """Adds offset, the first (rank, dx, dy, dz) of the lattice around each start that is not ``blocked`` (a function of x, y and z); null if all are.
+
+    The lattice is one row of a few hundred offsets, sent to every task.
+    """
+    o = offset_lattice(starts.sparkSession, most, step).agg(F.sort_array(F.collect_list(F.struct("rank", "dx", "dy", "dz"))).alias("_lattice"))
+    free = F.filter("_lattice", lambda s: ~F.coalesce(blocked(x + s["dx"], y + s["dy"], z + s["dz"]), F.lit(False)))
+    return starts.crossJoin(F.broadcast(o)).withColumn("offset", F.get(free, F.lit(0))).drop("_lattice")

@@ -189,7 +189,14 @@ def action_aliases(spark, d):
 
 
 @query("""WITH f AS (SELECT a.i * 3.0 AS dx, b.i * 3.0 AS dy FROM range(-4, 5) a(i), range(-4, 5) b(i) WHERE sqrt((a.i * 3.0) ** 2 + (b.i * 3.0) ** 2) <= 12.000001),
-    l AS (SELECT dx, dy, unnest(CASE WHEN dx = 0 AND dy = 0 THEN [-3.0, -6.0, -9.0, 3.0] ELSE [0.0, -3.0, -6.0, 3.0] END) AS dz FROM f)
-    SELECT CAST(dx AS DOUBLE) AS dx, CAST(dy AS DOUBLE) AS dy, CAST(dz AS DOUBLE) AS dz, CAST(row_number() OVER (ORDER BY sqrt(CAST(dx * dx + dy * dy + dz * dz AS DOUBLE)), CAST(dz >= 0 AS INT), abs(dz), abs(dx) + abs(dy), dx, dy, dz) - 1 AS INT) AS rank FROM l""")
+    l AS (SELECT dx, dy, unnest(CASE WHEN dx = 0 AND dy = 0 THEN [-3.0, -6.0, -9.0, 3.0] ELSE [0.0, -3.0, -6.0, 3.0] END) AS dz FROM f),
+    o AS (SELECT dx, dy, dz, CAST(row_number() OVER (ORDER BY sqrt(CAST(dx * dx + dy * dy + dz * dz AS DOUBLE)), CAST(dz >= 0 AS INT), abs(dz), abs(dx) + abs(dy), dx, dy, dz) - 1 AS INT) AS rank FROM l),
+    e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 40 AS x, CAST(embedding[2] AS DOUBLE) * 40 AS y, CAST(embedding[3] AS DOUBLE) * 40 AS z FROM embeddings),
+    c AS (SELECT e.vec_id, min(rank) AS rank FROM e, o WHERE CAST(floor(x + dx) AS INT) % 5 = 0 AND CAST(floor(y + dy) AS INT) % 4 = 0 AND z + dz < 20 GROUP BY 1)
+    SELECT e.vec_id, c.rank, CAST(dx AS DOUBLE) AS dx, CAST(dy AS DOUBLE) AS dy, CAST(dz AS DOUBLE) AS dz FROM e LEFT JOIN c USING (vec_id) LEFT JOIN o ON o.rank = c.rank""")
 def recovery_offsets(spark, d):
-    return outcomes.offset_lattice(spark, 12.0)
+    e = table(spark, d, "embeddings").select("vec_id", *((F.element_at("embedding", k).cast("double") * 40).alias(n) for k, n in enumerate("xyz", 1)))
+    whole = lambda v: F.floor(v).cast("int")
+    blocked = lambda x, y, z: ~((whole(x) % 5 == 0) & (whole(y) % 4 == 0) & (z < 20))
+    out = outcomes.first_free_offset(e, F.col("x"), F.col("y"), F.col("z"), blocked, 12.0)
+    return out.select("vec_id", "offset.*").select("vec_id", "rank", "dx", "dy", "dz")

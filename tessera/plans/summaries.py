@@ -130,12 +130,14 @@ def pivot_counts(spark, d):
     return out.select("c_mktsegment", *(F.coalesce(F.col(f"`{k}`"), F.lit(0)).alias(f"n{k}") for k in range(3)))
 
 
-@query("""WITH RECURSIVE g AS (SELECT n, k FROM (VALUES (0, 0), (1, 0), (5, 1), (12, 3), (20, 9), (40, 11)) v(n, k)),
-    t AS (SELECT n, k, 0 AS i, 1.0::DOUBLE AS c FROM g UNION ALL SELECT n, k, i + 1, c * (n - i) / (i + 1) FROM t WHERE i < k)
-    SELECT CAST(n - k AS BIGINT) AS gains, CAST(k AS BIGINT) AS losses, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * sum(c) * pow(0.5, n)) END, 8) AS p FROM t GROUP BY n, k""")
+@query("""WITH RECURSIVE w AS (SELECT c_custkey, count(*) FILTER (o_totalprice > 150000) AS gains, count(*) FILTER (o_totalprice <= 150000) AS losses FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey),
+    g AS (SELECT DISTINCT gains + losses AS n, least(gains, losses) AS k FROM w), t AS (SELECT n, k, CAST(0 AS BIGINT) AS i, 1.0::DOUBLE AS c FROM g UNION ALL SELECT n, k, i + 1, c * (n - i) / (i + 1) FROM t WHERE i < k),
+    p AS (SELECT n, k, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * sum(c) * pow(0.5, n)) END, 8) AS p FROM t GROUP BY n, k)
+    SELECT c_custkey, gains, losses, p FROM w JOIN p ON n = gains + losses AND k = least(gains, losses)""")
 def exact_paired_p(spark, d):
-    rows = spark.createDataFrame([(n - k, k) for n, k in ((0, 0), (1, 0), (5, 1), (12, 3), (20, 9), (40, 11))], "gains long, losses long")
-    return rows.select("gains", "losses", r(stats.exact_paired_p(F.col("gains"), F.col("losses")), 8).alias("p"))
+    runs = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    wins = runs.groupBy("c_custkey").agg(F.count_if(F.col("o_totalprice") > 150_000).alias("gains"), F.count_if(F.col("o_totalprice") <= 150_000).alias("losses"))
+    return wins.select("c_custkey", "gains", "losses", r(stats.exact_paired_p(F.col("gains"), F.col("losses")), 8).alias("p"))
 
 
 @query("""WITH r AS (SELECT rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS x, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0 AS y FROM orders)
@@ -144,13 +146,15 @@ def spearman(spark, d):
     return stats.spearman(table(spark, d, "orders"), "o_totalprice", "o_custkey").select("n", r(F.col("rho")).alias("rho"), r(F.col("t"), 5).alias("t"))
 
 
-@query("""WITH v AS (SELECT round(c_acctbal / 100) AS v FROM customer), a AS (SELECT abs(v) AS a, v > 0 AS up FROM v WHERE v <> 0),
+@query("""WITH RECURSIVE v AS (SELECT round(c_acctbal / 100) AS v FROM customer), a AS (SELECT abs(v) AS a, v > 0 AS up FROM v WHERE v <> 0),
     r AS (SELECT a, up, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS r FROM a), t AS (SELECT sum(pow(c, 3) - c) AS ties FROM (SELECT count(*) AS c FROM a GROUP BY a)),
-    s AS (SELECT count(*) AS n, CAST(sum(r) FILTER (up) AS DOUBLE) AS w_plus, CAST(sum(r) FILTER (NOT up) AS DOUBLE) AS w_minus FROM r)
-    SELECT n, w_plus, w_minus, round((w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM s, t""")
+    s AS (SELECT count(*) AS n, CAST(sum(r) FILTER (up) AS DOUBLE) AS w_plus, CAST(sum(r) FILTER (NOT up) AS DOUBLE) AS w_minus FROM r),
+    z AS (SELECT *, (w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48) AS z FROM s, t),
+    q AS (SELECT 0 AS k, CAST(abs(z) AS DOUBLE) AS x, CAST(abs(z) AS DOUBLE) AS term, CAST(abs(z) AS DOUBLE) AS total, CAST(abs(z) AS DOUBLE) AS tail FROM z UNION ALL SELECT k + 1, x, term * x * x / (2 * (k + 1) + 1), total + term * x * x / (2 * (k + 1) + 1), x + (61 - (k + 1)) / tail FROM q WHERE k < 60)
+    SELECT n, w_plus, w_minus, round(z, 6) AS z, round(CASE WHEN x < 3 THEN 1 - 2 * exp(-x * x / 2) / sqrt(2 * pi()) * total ELSE 2 * exp(-x * x / 2) / sqrt(2 * pi()) / tail END, 8) AS p FROM z, q WHERE k = 60""")
 def wilcoxon(spark, d):
     c = table(spark, d, "customer").select(F.round(F.col("c_acctbal") / 100).alias("v"))
-    return stats.wilcoxon(c, "v").select("n", "w_plus", "w_minus", r(F.col("z")).alias("z"))
+    return stats.wilcoxon(c, "v").select("n", "w_plus", "w_minus", r(F.col("z")).alias("z"), r(F.col("p"), 8).alias("p"))
 
 
 @query()
