@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import contexts, geometry, prompts, rasters, text, visibility
 from tessera.operators import aggregates as agg
-from tessera.operators import outcomes, rows, stats
+from tessera.operators import machines, outcomes, rows, stats
 from tessera.operators import sequence as seq
 from tessera.operators.memory import restart_reason, states
 from tessera.plans.base import query, r, table
@@ -164,11 +164,14 @@ _STEPS = """WITH s AS (SELECT user_id AS episode, row_number() OVER (PARTITION B
     o AS (SELECT episode, termination, steps, final_distance, termination = 'stop' AND final_distance <= 20 AS success, termination <> 'collision' AND reach AS oracle_reach, final_distance <= 20 AS legacy_success, legacy_reach FROM g)"""
 
 
-def _ended(spark, d):
+def _stepped(spark, d):
     e = seq.with_row(table(spark, d, "events"), ["user_id"], ["ts", "event_id"])
     action = F.when(F.col("event_type") == "purchase", "stop").otherwise(F.col("event_type"))
-    steps = e.select(F.col("user_id").alias("episode"), (F.col("_row") - 1).cast("long").alias("step"), action.alias("action"), (F.col("value") / 2).alias("distance"), (F.col("event_id") % 29 == 0).alias("hit"))
-    return outcomes.end_episodes(steps, ["episode"], "step", "action", "distance", "hit", 20)
+    return e.select(F.col("user_id").alias("episode"), (F.col("_row") - 1).cast("long").alias("step"), action.alias("action"), (F.col("value") / 2).alias("distance"), (F.col("event_id") % 29 == 0).alias("hit"))
+
+
+def _ended(spark, d):
+    return outcomes.end_episodes(_stepped(spark, d), ["episode"], "step", "action", "distance", "hit", 20)
 
 
 @query(_STEPS + " SELECT * FROM o")
@@ -176,6 +179,11 @@ def episode_outcomes(spark, d):
     return _ended(spark, d)
 
 
+@query(_STEPS + " SELECT * FROM o")
+def episode_machine(spark, d):
+    return machines.end_episodes(_stepped(spark, d).withColumnRenamed("hit", "collided"), 20)
+
+
 @query(_STEPS + """ SELECT CASE WHEN success THEN 'success' WHEN oracle_reach THEN 'osr_only' ELSE 'no_official_osr' END AS "group", count(*) AS num, round(avg(CAST(success AS INT)), 6) AS acc, round(avg(CAST(oracle_reach AS INT)), 6) AS osr, round(avg(final_distance), 4) AS ne FROM o GROUP BY 1""")
 def outcome_report(spark, d):
     out = outcomes.report(_ended(spark, d), outcomes.outcome(F.col("success"), F.col("oracle_reach")))
