@@ -63,6 +63,17 @@ def vector_to_name(c: Column | str, atol: float = 1e-4, rtol: float = 1e-5) -> C
     return F.when(F.size(col(c)) == 8, _first([(same(n), F.lit(n)) for n in ACTIONS], F.lit(None).cast("string")))
 
 
+# Of the older vectors, the place and the value there by id.
+LEGACY = ((0, 1), (1, 3), (2, 15), (3, 15), (4, 2), (5, 2), (6, 5), (7, 5), (1, 6), (1, 9))
+
+
+def legacy_id(c: Column | str) -> Column:
+    """The id of an older action vector of eight single-precision values, which must be met exactly; 0 for any other, and for null."""
+    own = F.transform(F.coalesce(col(c), F.array()), lambda x: x.cast("float"))
+    exact = [F.array(*(F.lit(float(value if k == place else 0)).cast("float") for k in range(8))) for place, value in LEGACY]
+    return F.coalesce(F.nullif(F.array_position(F.array(*exact), own), F.lit(0)) - 1, F.lit(0)).cast("int")
+
+
 def normalize_command(c: Column | str) -> Column:
     """A free text as a command: first line, lower case, units made equal, the first command that a word of it names; else the text."""
     t = F.substring_index(F.lower(F.trim(F.coalesce(col(c), F.lit("")))), "\n", 1)

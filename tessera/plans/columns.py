@@ -266,3 +266,12 @@ def action_patterns(spark, d):
     names = F.create_map(*(F.lit(x) for kv in {"view": actions.TURNS[0], "click": actions.TURNS[1], "purchase": "forward 3m", "signup": "ascend 3m"}.items() for x in kv))
     e = table(spark, d, "events").withColumn("action", F.coalesce(F.element_at(names, F.col("event_type")), F.lit("stop")))
     return e.select("event_id", memory.pattern(seq.history("action", ["user_id"], ["event_id"], 5)).alias("pattern"))
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_suppkey, [CASE WHEN k = l_suppkey % 8 THEN [1.0, 3, 15, 15, 2, 2, 5, 5][k + 1] * CASE WHEN l_linenumber = 3 THEN 2 WHEN l_linenumber = 4 THEN 3 ELSE 1 END ELSE 0 END FOR k IN range(CASE WHEN l_linenumber = 5 THEN 7 ELSE 8 END)] AS v FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN len(v) < 8 THEN 0 WHEN l_linenumber IN (3, 4) THEN CASE WHEN l_suppkey % 8 = 1 THEN l_linenumber + 5 ELSE 0 END ELSE CAST(l_suppkey % 8 AS INT) END AS id FROM v""")
+def legacy_actions(spark, d):
+    value = F.element_at(F.array(*(F.lit(float(v)) for _, v in actions.LEGACY[:8])), (F.col("l_suppkey") % 8 + 1).cast("int"))
+    times = F.when(F.col("l_linenumber") == 3, 2).when(F.col("l_linenumber") == 4, 3).otherwise(1)
+    vector = F.transform(F.sequence(F.lit(0), F.when(F.col("l_linenumber") == 5, 6).otherwise(7)), lambda k: F.when(k == F.col("l_suppkey") % 8, value * times).otherwise(0.0))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", actions.legacy_id(vector).alias("id"))

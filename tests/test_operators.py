@@ -273,3 +273,11 @@ def test_nearest_points_far_away(spark):
     assert {r["q"]: r["p"] for r in out} == {a: b for a, (_, b) in best.items()}
     one = joins.nearest_point(spark.createDataFrame([(1, 3.0)], "q int, x double"), spark.createDataFrame([(2, 1.0)], "p int, x double"), "q", "p", ["x"], 0.05).collect()
     assert [(r["q"], r["p"], r["distance"]) for r in one] == [(1, 2, 2.0)]
+
+
+def test_legacy_vectors(spark):
+    from tessera.functions import actions
+
+    rows = [([0.0, 9.0, 0, 0, 0, 0, 0, 0],), ([0.0, 3.0, 0, 0, 0, 0, 0, 0],), ([1.0] + [0.0] * 7,), ([0.0] * 8,), ([0.0, 9.0],), (None,), ([0.0, 3.0000001, 0, 0, 0, 0, 0, 0],), ([0.0, 3.1, 0, 0, 0, 0, 0, 0],), ([None] * 8,)]
+    df = spark.createDataFrame([([None if x is None else float(x) for x in r[0]] if r[0] else None,) for r in rows], "v array<double>")
+    assert [r.id for r in df.select(actions.legacy_id("v").alias("id")).collect()] == [9, 1, 0, 0, 0, 0, 1, 0, 0]
