@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import audits, cameras, choices, columns, derived, episodes, files, frames, packed, quantiles, relations, streams, summaries, tables, tpch, variants  # noqa: F401  each module registers its queries
+from tessera.plans import audits, cameras, choices, columns, derived, diagnoses, episodes, files, frames, packed, quantiles, relations, streams, summaries, tables, tpch, variants  # noqa: F401  each module registers its queries
 from tessera.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
