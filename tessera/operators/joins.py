@@ -135,9 +135,23 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, val
 
 
 def interval(events: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, start: str, end: str, width: float) -> DataFrame:
-    """Events within ranges [start, end) of the same keys: ranges are laid out in bins of a width, so the join is on equal keys and bins."""
-    binned = ranges.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    return events.withColumn("_bin", F.floor(F.col(at) / width)).join(binned, [*keys, "_bin"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bin")
+    """Events within ranges [start, end) of the same keys, joined on equal keys, levels and bins.
+
+    A range's level is the number of doublings of ``width`` that reach its
+    length, so whatever its length it lies in two bins of its level. Events are
+    laid out in a bin of each level that some range has (70 at most, found
+    first): one, where ranges have about one length. Null bounds, and ranges that
+    end before they start, hold nothing.
+    """
+    length = F.greatest((F.col(end) - F.col(start)).cast("double"), F.lit(width))
+    level = F.ceil(F.log2(length / width)).cast("int")
+    level = F.when(F.pow(F.lit(2.0), level) * width < length, level + 1).otherwise(level)
+    bins = lambda c, l: F.floor(F.col(c) / (F.pow(F.lit(2.0), l) * width))  # noqa: E731, E741
+    laid = ranges.filter(F.col(end) > F.col(start)).withColumn("_level", level)
+    levels = sorted(r[0] for r in laid.select("_level").distinct().collect())
+    laid = laid.withColumn("_bin", F.explode(F.sequence(bins(start, F.col("_level")), bins(end, F.col("_level")))))
+    each = events.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_bin", bins(at, F.col("_level")))
+    return each.join(laid, [*keys, "_level", "_bin"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_level", "_bin")
 
 
 def all_equal(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> Column:
