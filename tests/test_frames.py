@@ -79,3 +79,10 @@ def test_texts_keep_the_sign_of_a_zero(spark):
     values = [-0.03, -0.001, -0.004999, 0.0, 0.03, -0.06, -1e-300]
     out = spark.createDataFrame([(v,) for v in values], "v double").select(contexts.fixed("v").alias("two"), contexts.fixed("v", 1).alias("one")).collect()
     assert [(r["two"], r["one"]) for r in out] == [(f"{v:.2f}", f"{v:.1f}") for v in values]
+
+
+def test_bounds_just_below_zero(spark):
+    """A start at 49.97 has bounds from -0.0, in pose contexts and in chains of poses and actions."""
+    steps = spark.createDataFrame([(1, 0, None, 49.97, 0.0, 0.0, 0.0), (1, 1, "forward 3m", 52.97, 0.0, 0.0, 0.0)], "k int, step int, action string, x double, y double, z double, yaw double")
+    for name in ("pose_history", "pose_action_history"):
+        assert all("SearchBounds: x=[-0.0, 100.0], y=[-50.0, 50.0]" in r["context"] for r in contexts.build(name, steps, ["k"], "step", bounds=True).collect())
