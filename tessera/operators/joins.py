@@ -26,9 +26,9 @@ def left_with_policy(left: DataFrame, right: DataFrame, keys: Sequence[str], val
     raise ValueError(f"unknown policy {policy}")
 
 
-def excluded_keys(original: DataFrame, repair: DataFrame, key: str, hit: Column, error: Column, order: Sequence[str]) -> DataFrame:
-    """The keys to leave out: repaired ones by their last repair without error, all others if any row is a hit or an unresolved error."""
-    last = dedupe(repair.filter(~F.coalesce(error, F.lit(False))), [key], order, "last")
+def excluded_keys(original: DataFrame, repair: DataFrame, key: str, hit: Column, error: Column, order: Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
+    """The keys to leave out: repaired ones by their last repair without error (of equals in ``order`` the first in ``ties``), all others if any row is a hit or an unresolved error."""
+    last = dedupe(repair.filter(~F.coalesce(error, F.lit(False))), [key], order, "last", ties=ties)
     bad = original.join(last.select(key), key, "left_anti").groupBy(key).agg(F.bool_or(F.coalesce(hit, F.lit(False)) | F.coalesce(error, F.lit(False))).alias("_bad")).filter("_bad").select(key)
     return bad.union(last.filter(hit).select(key)).distinct()
 

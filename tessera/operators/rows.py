@@ -38,17 +38,18 @@ def is_error(error: Column, failed: Column, status: Column) -> Column:
 POLICIES = ("first", "last", "last_success", "success_over_error", "raise")
 
 
-def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], policy: str = "last", error: Column | None = None) -> DataFrame:
+def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], policy: str = "last", error: Column | None = None, ties: Sequence[Column | str] = ()) -> DataFrame:
     """One row a key.
 
     first and last by ``order``; last_success: the last row without error, else
     the last; success_over_error: the last row without error, else the first;
     raise: the rows as they are, and an error where a key has two. ``order``
-    must tell all rows of a key apart.
+    must tell all rows of a key apart, or ``ties`` the ones that it leaves equal:
+    of these the first is taken, under every policy.
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy}")
-    up, down = [col(c).asc_nulls_first() for c in order], [col(c).desc_nulls_last() for c in order]
+    up, down = ([*(turned(col(c)) for c in order), *(col(c).asc_nulls_first() for c in ties)] for turned in (Column.asc_nulls_first, Column.desc_nulls_last))
     if policy == "raise":
         n = F.count("*").over(Window.partitionBy(*keys))
         return df.withColumn("_n", n).withColumn("_n", F.assert_true(F.col("_n") == 1, F.concat(F.lit("duplicate key "), F.concat_ws("::", *(F.col(k).cast("string") for k in keys))))).filter(F.col("_n").isNull()).drop("_n")

@@ -25,6 +25,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stored_place() -> Column:
+    """Where a row of a table stands: the file, and the row in it; of equal rows it tells the first stored, however the scan is split."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def micros(c: str = "ts") -> Column:
     """Microseconds since 1970 of a timestamp without zone."""
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {c})")

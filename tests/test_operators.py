@@ -287,3 +287,12 @@ def test_legacy_vectors(spark):
 def test_dearest_order_of_equals(spark, tmp_path):
     spark.createDataFrame([(7, 1, 9.0), (3, 1, 9.0), (5, 1, 9.0), (1, 1, 2.0), (4, 2, None)], "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     assert {r["o_custkey"]: r["best"] for r in QUERIES["best_rows"](spark, str(tmp_path)).collect()} == {1: 3, 2: None}
+
+
+def test_equal_repairs_go_by_their_place(spark):
+    """Of last repairs with one number the first in ``ties`` holds, in whatever order the rows come."""
+    original = spark.createDataFrame([("a", False, False)], "k string, hit boolean, err boolean")
+    for turned in (False, True):
+        rows_ = [("a", 2, True, False, 1), ("a", 2, False, False, 2), ("a", 1, False, False, 0), ("b", 2, False, False, 3), ("b", 2, True, False, 4)]
+        repair = spark.createDataFrame(rows_[::-1] if turned else rows_, "k string, n int, hit boolean, err boolean, place int").coalesce(1)
+        assert [r["k"] for r in joins.excluded_keys(original, repair, "k", F.col("hit"), F.col("err"), ["n"], ["place"]).collect()] == ["a"]
