@@ -303,3 +303,11 @@ def test_added_orders_stand_beside_stored_ones(spark, tmp_path):
     spark.createDataFrame([(14, "O"), (1000014, "P"), (21, "O"), (21, "P"), (None, "O")], "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
     out = QUERIES["upsert_merge"](spark, str(tmp_path)).collect()
     assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, [(14, "F"), (1000014, "F"), (1000014, "P"), (21, "F"), (21, "F"), (None, "O")]))
+
+
+def test_action_vector_is_made_once(spark):
+    """A vector that is computed, not stored, is not computed again for each comparison."""
+    rows = spark.createDataFrame([([0.0, 3.0] + [0.0] * 6,), ([0.0, 3.1] + [0.0] * 6,), ([0.0] * 7,), ([None] * 8,), (None,)], "v array<double>")
+    out = rows.select(actions.vector_to_name(F.reverse(F.reverse("v"))).alias("name"))
+    assert [r["name"] for r in out.collect()] == ["Move Forward", None, None, None, None]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("reverse(v") <= 1
