@@ -89,38 +89,46 @@ def override(rows: DataFrame, manual: DataFrame, key: str, fields: Sequence[str]
 
 
 def nearest_point(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, axes: Sequence[str], size: float, keys: Sequence[str] = ()) -> DataFrame:
-    """query_id, point_id, distance of the nearest point (of equals the smallest id), by grid cells of a size and its doubles.
-
-    A query's level is the first at which its cell or a neighbouring one has a
-    point. That point is nearer than 2 * sqrt(axes) cells of the level, so the
-    nearest one lies in the neighbouring cells of the level whose cells are
-    that wide. At the last level all queries and points are neighbours, so each
-    query with any point under its keys has a row, however far away. Points are
-    reduced to one a place first, so a hot place is one row.
+    """query_id, point_id, distance of the nearest point (of equals the smallest id), by grid cells of a size, its doubles and its halves.
+
+    One point of each cell of each level stands for it. The nearest of those in
+    whose cells a query lies bounds its search: the nearest point is no farther,
+    so it lies in the cells that this distance reaches, two an axis at the level
+    whose cells are twice as wide; only points within it go on. Cells are halved
+    until they are small beside the mean gap of the points, so that what a
+    query meets does not grow with the table. At the last level all lie in one
+    cell, so each query with any point under its keys has a row, however far
+    away. Points and queries are reduced to one a place first, so a hot place is
+    one row.
     """
     points = points.groupBy(*keys, *axes).agg(F.min(point_id).alias(point_id))
-    both = points.select(*axes).unionByName(queries.select(*axes))
-    span = both.agg(*(F.max(c).alias(f"h{k}") for k, c in enumerate(axes)), *(F.min(c).alias(f"l{k}") for k, c in enumerate(axes))).first()
-    wide = max([float(span[f"h{k}"] or 0) - float(span[f"l{k}"] or 0) for k in range(len(axes))], default=0.0)
-    top = max(0, math.ceil(math.log2(wide / size)) + 1) if wide > size else 0
-    more = math.ceil(math.log2(2 * math.sqrt(len(axes))))
-    names = [f"_c{k}" for k in range(len(axes))]
-    cells = [F.floor(F.col(c) / (size * F.pow(F.lit(2.0), "_level"))).cast("long") for c in axes]
-    levels = F.explode(F.sequence(F.lit(0), F.lit(top)))
-
-    def around(df: DataFrame) -> DataFrame:
-        for name, c in zip(names, cells, strict=True):
-            df = df.withColumn(name, F.explode(F.sequence(c - 1, c + 1)))
-        return df
-
-    place = [F.col(c).alias(f"_p{k}") for k, c in enumerate(axes)]
-    stored = points.withColumn("_level", levels).select(*keys, "_level", *(c.alias(n) for n, c in zip(names, cells, strict=True)), point_id, *place)
-    asked = queries.select(*keys, query_id, *axes)
-    full = stored.select(*keys, "_level", *names).distinct()
-    level = around(asked.withColumn("_level", levels)).join(full, [*keys, "_level", *names]).groupBy(*keys, query_id, *axes).agg(F.least(F.min("_level") + more, F.lit(top)).alias("_level"))
-    gap = distance([F.col(c) for c in axes], [F.col(f"_p{k}") for k in range(len(axes))])
-    best = around(level).join(stored, [*keys, "_level", *names]).groupBy(*keys, query_id).agg(F.min(F.struct(gap.alias("distance"), F.col(point_id))).alias("_b"))
-    return best.select(*keys, query_id, F.col(f"_b.{point_id}").alias(point_id), F.col("_b.distance").alias("distance"))
+    both = points.select(*axes, F.lit(1).alias("_p")).unionByName(queries.select(*axes, F.lit(None).cast("int").alias("_p")))
+    found = both.agg(F.count("_p").alias("n"), *(f(c).cast("double").alias(f"{name}{k}") for k, c in enumerate(axes) for name, f in (("h", F.max), ("l", F.min), ("s", F.stddev_pop)))).first()
+    value = lambda name: [float(found[f"{name}{k}"] or 0) for k in range(len(axes))]
+    low = value("l")
+    wide, spread = (max(x, default=0.0) for x in ([h - b for h, b in zip(value("h"), low, strict=True)], value("s")))
+    top = max(0, math.ceil(math.log2(wide / size)) + 1) if wide > size else 1
+    finest = min(0, math.floor(math.log2(spread / size / max(found["n"], 1) ** (1 / len(axes)))) - 2) if spread > 0 else 0
+    names, place = [f"_c{k}" for k in range(len(axes))], [f"_p{k}" for k in range(len(axes))]
+    width = F.lit(float(size)) * F.pow(F.lit(2.0), "_level")
+    cell = lambda c, k: F.floor((c - low[k]) / width).cast("long")
+    cells = [cell(F.col(c), k).alias(n) for k, (n, c) in enumerate(zip(names, axes, strict=True))]
+    levels = F.explode(F.sequence(F.lit(finest), F.lit(top)))
+    gap = distance([F.col(c) for c in axes], [F.col(p) for p in place])
+
+    stored = points.withColumn("_level", levels).select(*keys, "_level", *cells, point_id, *(F.col(c).alias(p) for p, c in zip(place, axes, strict=True)))
+    asked = queries.select(*keys, *axes).distinct()
+    one = stored.dropDuplicates([*keys, "_level", *names]).select(*keys, "_level", *names, *place)
+    reach = asked.withColumn("_level", levels).select("*", *cells).join(one, [*keys, "_level", *names]).groupBy(*keys, *axes).agg(F.min(gap).alias("_far"))
+    doubled = F.ceil(F.log2(F.col("_far") * 2 / size)).cast("int")  # null where a point lies at the place itself
+    near = reach.withColumn("_level", F.least(F.greatest(doubled, F.lit(finest)), F.lit(top)))
+    beyond = F.col("_far") * (1 + 1e-9)
+    for k, (name, c) in enumerate(zip(names, axes, strict=True)):
+        near = near.withColumn(name, F.explode(F.sequence(cell(F.col(c) - beyond, k), cell(F.col(c) + beyond, k))))
+    met = near.join(stored, [*keys, "_level", *names]).withColumn("_gap", gap).filter(F.col("_gap") <= F.col("_far"))
+    best = met.groupBy(*keys, *axes).agg(F.min(F.struct(F.col("_gap").alias("distance"), F.col(point_id))).alias("_b"))
+    out = queries.select(*keys, query_id, *axes).join(best, [*keys, *axes])
+    return out.select(*keys, query_id, F.col(f"_b.{point_id}").alias(point_id), F.col("_b.distance").alias("distance"))
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], tolerance: Column | None = None) -> DataFrame:

@@ -311,3 +311,33 @@ def test_action_vector_is_made_once(spark):
     out = rows.select(actions.vector_to_name(F.reverse(F.reverse("v"))).alias("name"))
     assert [r["name"] for r in out.collect()] == ["Move Forward", None, None, None, None]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("reverse(v") <= 1
+
+
+def _joined_rows(df):
+    """Rows that each join of a collected plan has made."""
+    made, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        else:
+            if "Join" in name:
+                made.append(node.metrics().apply("numOutputRows").value())
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+    return made
+
+
+def test_nearest_points_meet_few(spark):
+    """Of points that lie closer than a cell of the size, what is met to find the nearest ones does not grow with their square; copies of a query each have a row."""
+    rnd = random.Random(5)
+    p, q = ([(i, rnd.gauss(0, 0.1), rnd.gauss(0, 0.1)) for i in range(n)] for n in (4000, 400))
+    q += [(1000 + i, *q[0][1:]) for i in range(5)]
+    out = joins.nearest_point(spark.createDataFrame(q, "q int, x double, y double"), spark.createDataFrame(p, "p int, x double, y double"), "q", "p", ["x", "y"], 1.0)
+    rows_ = out.collect()
+    best = {a: min((math.dist(s, t), b) for b, *t in p) for a, *s in q}
+    assert {r["q"]: r["p"] for r in rows_} == {a: b for a, (_, b) in best.items()} and len(rows_) == len(q)
+    made = _joined_rows(out)
+    assert made and max(made) < 40 * len(p)
