@@ -3,12 +3,13 @@
 A labelled good text is preferred to a labelled bad one. With s(x) = w.x for
 the features x of a text, the chance that a is preferred to b is
 1 / (1 + exp(s(b) - s(a))), so w comes from a logistic loss on differences of
-features. The latent scores of the sample are then cut at a quantile: the share
-of bad rows. Scores are put on 0 to 1 by a logistic curve which has 0.7 at that
-cut. Pairs are drawn by a seeded generator from a bounded sample of labelled
-rows (the ``max_rows`` with the smallest hash of their id); only their short
-feature vectors reach the driver. Scoring takes every whole text, without a
-shuffle; labels, source, language and id are no inputs of it.
+features. The latent scores of all labelled rows are then cut at a quantile: the
+share of bad rows. Scores are put on 0 to 1 by a logistic curve which has 0.7 at
+that cut. Every usable labelled row takes part in pairs: rows of both labels are
+numbered by a hash of their id and dealt to blocks in turn, about eight of the
+rarer label to each, and all pairs of a block count; so the pairs grow with the
+rows, and only sums over blocks reach the driver. Scoring takes every whole
+text, without a shuffle; labels, source, language and id are no inputs of it.
 
 Defined results: null and empty texts are scored on all-zero features; labels
 other than 0 and 1 are not used; without rows of both labels all scores are 0.7
@@ -26,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, with_field
+from tessera.llm.common import materialize, slices, with_field
+from tessera.operators.rows import numbered
 
 CUT = 0.7
 FEATURES = (
@@ -77,7 +79,7 @@ class Ranking:
 
 
 def fit(x: np.ndarray, y: np.ndarray, pairs: int = 100_000, seed: int = 7, l2: float = 1e-4, steps: int = 25) -> Ranking:
-    """Newton's method on the logistic loss of the differences of drawn (good, bad) pairs."""
+    """Newton's method on the logistic loss of the differences of drawn (good, bad) pairs, for rows at hand; ``train`` fits tables, on pairs of all rows."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return Ranking((0.0,) * x.shape[1], 0.0, 1.0)
@@ -95,21 +97,89 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = 100_000, seed: int = 7, l2: f
     return Ranking(tuple(w), cut, float(1.0 / max(latent.std() / 4, 1e-9)))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000) -> Ranking:
-    """Fits on at most ``max_rows`` rows of ``labels`` for which ``usable`` (over id_col) holds."""
-    chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1)).withColumn(id_col, F.col("doc_id")).filter(usable)
-    chosen = chosen.withColumn("turn", F.xxhash64("doc_id")).select("doc_id", "label", "turn").orderBy("turn", "doc_id", "label").limit(max_rows)
-    sample = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+#: Rows of the rarer label in a block, and the most of the other one.
+_RARE, _MOST = 8, 4_096
+
+
+def _featured(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """turn, label, x of each chosen row that has a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             x = pa.array([features(t) for t in part.column("text").to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([part.column("turn"), part.column("label"), x], ["turn", "label", "x"])
 
-    rows = sorted((r["turn"], r["label"], r["x"]) for r in sample.mapInArrow(run, "turn long, label int, x array<double>").collect())
-    if not rows:
-        return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
-    return fit(np.array([r[2] for r in rows]), np.array([r[1] for r in rows]))
+    return docs.join(chosen, "doc_id").select("doc_id", "text", "turn", "label").mapInArrow(run, "turn long, label int, x array<double>")
+
+
+def _blocks(rows: DataFrame, bad: int, good: int) -> DataFrame:
+    """block, good, bad: the features of a block's rows, one after another; each row is in a block that has both labels."""
+    rare, most = min(bad, good), max(bad, good)
+    n = max(1, rare // _RARE, -(-most // _MOST))
+    place = F.when(F.col("label") == 0, F.col("place")).otherwise(F.col("place") - bad)
+    turns = F.when(F.col("label") == (0 if bad == rare else 1), F.sequence(place % n, F.lit(n - 1).cast("long"), F.lit(rare).cast("long"))).otherwise(F.array(place % n)) if n > rare else F.array(place % n)
+    dealt = numbered(rows, ["label", "turn", "x"]).withColumn("block", F.explode(turns))
+    side = lambda label: F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("label") == label, F.struct("place", "x")))), lambda r: r["x"]))
+    return dealt.groupBy("block").agg(side(1).alias("good"), side(0).alias("bad"))
+
+
+def _sums(blocks: DataFrame, w: np.ndarray, scale: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Pairs, gradient and curvature of the loss at w, summed over all pairs of the blocks."""
+    m = len(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, total = None, np.zeros(1 + m + m * m)
+        for part in batches:
+            for block, good, bad in zip(part.column("block").to_pylist(), part.column("good"), part.column("bad"), strict=True):
+                a, b = (c.values.to_numpy(zero_copy_only=False).reshape(-1, m) / scale for c in (good, bad))
+                d = (a[:, None, :] - b[None, :, :]).reshape(-1, m)
+                p = 1.0 / (1.0 + np.exp(np.clip(d @ w, -35, 35)))
+                total += np.concatenate([[len(d)], d.T @ p, ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+                least = block if least is None else min(block, least)
+        if least is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([least]), pa.array([total.tolist()], pa.list_(pa.float64()))], ["block", "total"])
+
+    total = np.sum([r["total"] for r in sorted(blocks.mapInArrow(run, "block long, total array<double>").collect())], axis=0)
+    return total[0], total[1 : m + 1], total[m + 1 :].reshape(m, m)
+
+
+def _rounded(x) -> np.ndarray:
+    """Ten digits, which do not depend on the order of a sum."""
+    return np.array([float(f"{v:.10g}") for v in x])
+
+
+def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", l2: float = 1e-4, steps: int = 25) -> Ranking:
+    """Fits on all rows of ``labels`` for which ``usable`` (over id_col) holds."""
+    chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1)).withColumn(id_col, F.col("doc_id")).filter(usable)
+    chosen = chosen.withColumn("turn", F.xxhash64("doc_id")).select("doc_id", "label", "turn")
+    rows = materialize(_featured(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), chosen))
+    m = len(FEATURES)
+    found = rows.agg(F.count_if(F.col("label") == 0).alias("bad"), F.count_if(F.col("label") == 1).alias("good"), *(F.stddev_pop(F.col("x")[k]).alias(f"s{k}") for k in range(m))).first()
+    bad, good = found["bad"], found["good"]
+    if not bad or not good:
+        return fit(np.zeros((0, m)), np.zeros(0))
+    scale = np.maximum(_rounded(found[f"s{k}"] for k in range(m)), 1e-6)
+    blocks = materialize(_blocks(rows, bad, good))
+    w = np.zeros(m)
+    for _ in range(steps):
+        pairs, slope, curve = _sums(blocks, w, scale)
+        step = np.linalg.solve(curve / pairs + l2 * np.eye(m), slope / pairs - l2 * w)
+        size = np.linalg.norm(step)
+        w = w + step * min(1.0, 5.0 / max(size, 1e-12))
+        if size < 1e-11 * max(1.0, np.linalg.norm(w)):
+            break
+    w = _rounded(w / scale)
+
+    def latent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+            yield pa.RecordBatch.from_arrays([pa.array((x * w).sum(axis=1)), part.column("turn")], ["latent", "turn"])
+
+    scores = numbered(rows.mapInArrow(latent, "latent double, turn long"), ["latent", "turn"])  # so that copies of a text go to several ranges
+    at = (bad / (bad + good)) * (bad + good - 1)
+    middle = [r["latent"] for r in scores.filter(F.col("place").isin(int(np.floor(at)), int(np.ceil(at)))).collect()]
+    spread = _rounded([scores.agg(F.stddev_pop("latent")).first()[0]])[0]
+    return Ranking(tuple(map(float, w)), float((min(middle) + max(middle)) / 2), float(1.0 / max(spread / 4, 1e-9)))
 
 
 def score(docs: DataFrame, ranking: Ranking, text_col: str = "text", score_col: str = "score") -> DataFrame:

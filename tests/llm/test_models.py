@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import bradley_terry, ftrl
@@ -128,3 +129,12 @@ def test_ranking_minimises_the_pairwise_loss():
             assert loss(w + step * np.eye(5)[k]) > loss(w)
     assert abs((x @ w < ranking.cut).mean() - (y == 0).mean()) < 0.01
     assert abs(ranking.scores(x).round(6)[np.abs(x @ w - ranking.cut).argmin()] - 0.7) < 0.05
+
+
+@pytest.mark.parametrize("bad", [3, 100, 137])
+def test_every_labelled_row_is_in_a_pair(spark, bad):
+    """Blocks have rows of both labels and together all rows, however few have one label."""
+    rows = spark.createDataFrame([(k * 7919 % 1000, int(k >= bad), [float(k)] * 2) for k in range(240)], "turn long, label int, x array<double>")
+    blocks = bradley_terry._blocks(rows, bad, 240 - bad).collect()
+    assert all(b["good"] and b["bad"] for b in blocks)
+    assert {v for b in blocks for v in (*b["good"], *b["bad"])} == set(map(float, range(240)))
