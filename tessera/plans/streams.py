@@ -46,9 +46,10 @@ def streamed_days(spark, d):
 _BLOCK, _TURNS = 5, [0, 2, 1, 3, 5, 4]
 
 
-def _arrivals(spark, d):
-    """The events in as many tables as blocks, out of order in time."""
+def _arrivals(spark, d, kinds=None):
+    """The events, or those of some kinds, in as many tables as blocks, out of order in time."""
     e = table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    e = e if kinds is None else e.filter(F.col("event_type").isin(kinds))
     block = F.least(F.lit(len(_TURNS) - 1), F.floor((F.dayofmonth("at") - 1) / _BLOCK)).cast("int")
     turn = F.element_at(F.array(*map(F.lit, _TURNS)), block + 1)
     turn = F.when(F.col("event_id") % 50 == 7, F.least(F.lit(len(_TURNS) - 1), turn + 2)).otherwise(turn)
@@ -93,10 +94,10 @@ def streamed_sessions(spark, d):
     FROM kept v JOIN kept p ON p.user_id = v.user_id AND v.event_type = 'view' AND p.event_type = 'purchase' AND p.us BETWEEN v.us AND v.us + {_DAY}""")
 def streamed_meetings(spark, d):
     def met(stream):
-        kind = lambda k: stream.filter(F.col("event_type") == k)
+        kind = lambda k: stream.filter(F.col("event_type") == k).select("user_id", "event_id", "at")  # noqa: E731  # what the state holds of a row
         return episodes.met(kind("view"), kind("purchase"), "user_id", "at", "at", "1 day", "12 days")
 
-    out, accounts = resumed(_arrivals(spark, d), met, "append")
+    out, accounts = resumed(_arrivals(spark, d, ["view", "purchase"]), met, "append")
     return out.select("user_id", F.col("left.event_id").alias("view_id"), F.col("right.event_id").alias("purchase_id"), F.lit(accounts.dropped).cast("long").alias("late"))
 
 
