@@ -26,10 +26,10 @@ def thinned(times: Iterable[int], quiet: int) -> list[int]:
 class Silences(StatefulProcessor):
     """A row for each activity that no other of its lane follows within ``quiet`` ms of event time.
 
-    State of a lane: the times that may still begin a silence (a list, thinned
-    out: at most two for each ``quiet`` of the watermark's delay), when it was
-    started and where its timer stands (a value). The one timer stands at the end of
-    the first open time's wait. A lane that is only started, by the initial
+    State of a lane, one value that is read and written once a call: the times
+    that may still begin a silence (thinned out: at most two for each ``quiet`` of
+    the watermark's delay), when it was started and where its timer stands. The
+    one timer stands at the end of the first open time's wait. A lane that is only started, by the initial
     state, has "no_activity", any other "stale".
     """
 
@@ -38,15 +38,13 @@ class Silences(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._own = handle.getValueState("own", "started long, timer long")
-        self._open = handle.getListState("open", "at long")
+        self._own = handle.getValueState("own", "started long, timer long, open array<long>")
 
     def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:
         self._settle([initialState.at], initialState.at, None)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        started, timer = self._owned()
-        times = [r[0] for r in self._open.get()]
+        started, timer, times = self._owned()
         for row in rows:
             times.append(row.at)
             if len(times) > _HELD:
@@ -58,8 +56,8 @@ class Silences(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        started, _ = self._owned()
-        times, out = [r[0] for r in self._open.get()], []
+        started, _, times = self._owned()
+        out = []
         while times and times[0] + self._quiet < now:
             first, *times = times
             if not times or times[0] - first > self._quiet:
@@ -67,8 +65,9 @@ class Silences(StatefulProcessor):
         self._settle(times, started, None)
         return iter(out)
 
-    def _owned(self) -> tuple[int | None, int | None]:
-        return self._own.get() if self._own.exists() else (None, None)
+    def _owned(self) -> tuple[int | None, int | None, list[int]]:
+        started, timer, times = self._own.get() or (None, None, ())
+        return started, timer, list(times or ())
 
     def _settle(self, times: list[int], started: int | None, timer: int | None) -> None:
         wanted = times[0] + self._quiet + 1 if times else None  # a timer fires when the watermark has reached it
@@ -77,8 +76,7 @@ class Silences(StatefulProcessor):
                 self._handle.deleteTimer(timer)
             if wanted is not None:
                 self._handle.registerTimer(wanted)
-        self._open.put([(t,) for t in times]) if times else self._open.clear()
-        self._own.update((started, wanted))
+        self._own.update((started, wanted, times))
 
 
 def silences(activity: DataFrame, lane: str, time: str, quiet_ms: int, late: str, started: DataFrame | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tessera.sources.readers import exists
@@ -86,3 +87,31 @@ def test_nothing_and_empty_arrivals(spark):
         resumed([], lambda s: s)
     out, accounts = resumed(_arrived(spark, []), lambda s: episodes.sessions(s, "time", "lane", "1 minute"))
     assert out.count() == 0 and accounts.dropped == 0 and "stream" in folder(spark, "stream")
+
+
+def test_a_lane_is_read_and_written_once_a_call():
+    """Each call on the state is a round trip to the JVM: one read, one write, and the timer's."""
+    calls = []
+
+    class Handle:
+        held = None
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        def __getattr__(self, name):
+            return lambda *_: calls.append(name)
+
+    lane = lanes.Silences(100)
+    lane.init(Handle())
+    for at in (1_000, 1_050):
+        list(lane.handleInputRows((1,), iter([Row(at=at)]), None))
+    assert calls == ["get", "registerTimer", "update", "get", "update"]
