@@ -102,14 +102,15 @@ _RARE, _MOST = 8, 4_096
 
 
 def _featured(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """turn, label, x of each chosen row that has a document."""
+    """turn, label, x of each chosen row that has a document; features are taken where the texts lie, so that no text is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             x = pa.array([features(t) for t in part.column("text").to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([part.column("turn"), part.column("label"), x], ["turn", "label", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), x], ["doc_id", "x"])
 
-    return docs.join(chosen, "doc_id").select("doc_id", "text", "turn", "label").mapInArrow(run, "turn long, label int, x array<double>")
+    ids = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, x array<double>").join(chosen, "doc_id").select("turn", "label", "x")
 
 
 def _blocks(rows: DataFrame, bad: int, good: int) -> DataFrame:
@@ -152,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     """Fits on all rows of ``labels`` for which ``usable`` (over id_col) holds."""
     chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1)).withColumn(id_col, F.col("doc_id")).filter(usable)
     chosen = chosen.withColumn("turn", F.xxhash64("doc_id")).select("doc_id", "label", "turn")
-    rows = materialize(_featured(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), chosen))
+    rows = materialize(_featured(docs.filter(usable).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), chosen))
     m = len(FEATURES)
     found = rows.agg(F.count_if(F.col("label") == 0).alias("bad"), F.count_if(F.col("label") == 1).alias("good"), *(F.stddev_pop(F.col("x")[k]).alias(f"s{k}") for k in range(m))).first()
     bad, good = found["bad"], found["good"]

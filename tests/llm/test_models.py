@@ -138,3 +138,14 @@ def test_every_labelled_row_is_in_a_pair(spark, bad):
     blocks = bradley_terry._blocks(rows, bad, 240 - bad).collect()
     assert all(b["good"] and b["bad"] for b in blocks)
     assert {v for b in blocks for v in (*b["good"], *b["bad"])} == set(map(float, range(240)))
+
+
+def test_no_text_is_shuffled_for_the_ranking(spark):
+    """Features are taken below the join with the labels, and of whole texts."""
+    docs, labels = _labelled(spark, 60)
+    chosen = labels.select("doc_id", F.col("quality").alias("label"), F.xxhash64("doc_id").alias("turn"))
+    found = bradley_terry._featured(docs, chosen)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("MapInArrow")
+    texts = {r["turn"]: r["text"] for r in docs.select(F.xxhash64("doc_id").alias("turn"), "text").collect()}
+    assert {r["turn"]: r["x"] for r in found.collect()} == {k: bradley_terry.features(t) for k, t in texts.items()}
