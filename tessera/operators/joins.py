@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import distance
-from tessera.operators.rows import dedupe, numbered, require
+from tessera.operators.rows import all_of, dedupe, numbered, require
 
 
 def left_with_policy(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, policy: str, default: Column | None = None) -> DataFrame:
@@ -27,10 +27,15 @@ def left_with_policy(left: DataFrame, right: DataFrame, keys: Sequence[str], val
 
 
 def excluded_keys(original: DataFrame, repair: DataFrame, key: str, hit: Column, error: Column, order: Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
-    """The keys to leave out: repaired ones by their last repair without error (of equals in ``order`` the first in ``ties``), all others if any row is a hit or an unresolved error."""
-    last = dedupe(repair.filter(~F.coalesce(error, F.lit(False))), [key], order, "last", ties=ties)
+    """The keys to leave out: repaired ones by their last repair without error (of equals in ``order`` the first in ``ties``), all others if any row is a hit or an unresolved error.
+
+    A repair that may have an error is none. One without a known hit or place in
+    ``order`` still makes its key a repaired one, but says nothing where another does.
+    """
+    told = all_of(hit.isNotNull(), *(F.col(c).isNotNull() for c in order))
+    last = dedupe(repair.filter(F.coalesce(~error, F.lit(False))).withColumn("_told", told), [key], ["_told", *order], "last", ties=ties)
     bad = original.join(last.select(key), key, "left_anti").groupBy(key).agg(F.bool_or(F.coalesce(hit, F.lit(False)) | F.coalesce(error, F.lit(False))).alias("_bad")).filter("_bad").select(key)
-    return bad.union(last.filter(hit).select(key)).distinct()
+    return bad.union(last.filter(F.col("_told") & hit).select(key)).distinct()
 
 
 def exclude(rows: DataFrame, excluded: DataFrame, key: str, keep: Column) -> DataFrame:

@@ -4,12 +4,13 @@ import json
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import actions, geometry, prompts, text, visibility
 from tessera.operators import aggregates, joins, rows, sampling, sequence, stats
-from tessera.plans.registry import QUERIES
+from tessera.plans.registry import ORACLES, QUERIES
 from tessera.sources import readers, writers
 from tessera.streaming import episodes
 
@@ -298,6 +299,24 @@ def test_equal_repairs_go_by_their_place(spark):
         assert [r["k"] for r in joins.excluded_keys(original, repair, "k", F.col("hit"), F.col("err"), ["n"], ["place"]).collect()] == ["a"]
 
 
+def test_repairs_of_which_something_is_unknown(spark, tmp_path):
+    """As the SQL has them: without a known error none, without a known hit or number only where no other repair is."""
+    lines = [
+        (1, 1, 1.0, 0.1, 0.0, "N"), (1, 2, 30.0, 0.0, None, "R"),  # tax unknown: no repair, the original's hit holds
+        (2, 1, 1.0, 0.0, 0.0, "N"), (2, 3, None, 0.0, 0.0, "R"), (2, 2, 30.0, 0.0, 0.0, "R"),  # the last known hit
+        (3, 1, 1.0, 0.1, 0.0, "N"), (3, 2, None, 0.0, 0.0, "R"),  # repaired, by a hit that is unknown
+        (4, 1, 1.0, 0.1, 0.0, "N"), (4, None, 30.0, 0.0, 0.0, "R"),  # repaired, by a line without a number
+        (5, 1, 1.0, 0.0, None, "N"), (None, 1, 1.0, 0.1, 0.0, "N"),
+    ]
+    rows_ = [(*line, f"s{n}") for n, line in enumerate(lines)]
+    spark.createDataFrame(rows_, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = con.execute(ORACLES["collision_filter"]).fetchall()
+    assert sorted((r["key"], r["l_linestatus"]) for r in QUERIES["collision_filter"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_added_orders_stand_beside_stored_ones(spark, tmp_path):
     """An added order whose number is taken, and two rows of one number."""
     spark.createDataFrame([(14, "O"), (1000014, "P"), (21, "O"), (21, "P"), (None, "O")], "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
